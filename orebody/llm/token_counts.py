@@ -25,6 +25,9 @@ CACHE_SCHEMA = "content binary, tokenizer binary, n_tokens long"
 #: Words whose counts a worker keeps; beyond that it starts anew.
 MEMO_WORDS = 300_000
 
+#: Characters of text that are encoded at once.
+SLICE_CHARS = 1_000_000
+
 #: What byte-level BPE splits a text into first, for texts of these characters only;
 #: on any other character the whole text goes through the library.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ſ"
@@ -53,7 +56,9 @@ class Counter:
             self._whole = lambda texts: [len(ids) for ids in model.encode(texts, num_threads=1)]
             return
         import json
+        import os
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
@@ -74,22 +79,37 @@ class Counter:
         self._memo: dict[str, int] = {}
 
     def __call__(self, texts: list[str]) -> list[int]:
+        out: list[int] = []
+        for part in _slices(texts):
+            out += self._some(part)
+        return out
+
+    def _some(self, texts: list[str]) -> list[int]:
         if not self.by_word:
             return self._whole(texts)
         odd = [i for i, t in enumerate(texts) if _OTHER.search(t) or (self._added and self._added.search(t))]
         out = dict(zip(odd, self._whole([texts[i] for i in odd]), strict=True)) if odd else {}
-        return [out[i] if i in out else self._words(t) for i, t in enumerate(texts)]
-
-    def _words(self, text: str) -> int:
-        words, memo = _WORDS.findall(text), self._memo
-        try:
-            return sum(map(memo.__getitem__, words))
-        except KeyError:
-            if len(memo) > MEMO_WORDS:
-                memo.clear()
-            new = [w for w in dict.fromkeys(words) if w not in memo]
-            memo.update(zip(new, self._whole(new), strict=True))
-            return sum(map(memo.__getitem__, words))
+        words = {i: _WORDS.findall(t) for i, t in enumerate(texts) if i not in out}
+        memo = self._memo
+        if len(memo) > MEMO_WORDS:
+            memo.clear()
+        new = list(set().union(*words.values()).difference(memo)) if words else []
+        memo.update(zip(new, self._whole(new), strict=True))
+        return [out[i] if i in out else sum(map(memo.__getitem__, words[i])) for i in range(len(texts))]
+
+
+def _slices(texts: list[str]) -> Iterator[list[str]]:
+    """``texts`` in order, in lists of about ``SLICE_CHARS`` characters."""
+    part: list[str] = []
+    held = 0
+    for t in texts:
+        part.append(t)
+        held += len(t)
+        if held >= SLICE_CHARS:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
 
 
 def file_digest(path: str) -> bytes:
