@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cube_mix, decontaminate, secret_scan, simhash, token_counts
+from . import cube_mix, decontaminate, quality_cnn, secret_scan, simhash, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,15 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumnRenamed("id", "doc_id")
 
 
+def op5_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = quality_cnn.fit(docs, _table(spark, sf_dir, "labels"))
+    scored = quality_cnn.score(docs, net)
+    return scored.select(
+        "doc_id", quality_cnn.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 def op6_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cube_mix.mix(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2.0)
     return found.withColumnRenamed("id", "doc_id")
@@ -54,6 +63,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_token_counts": op2_token_counts,
+    "op5_quality_cnn": op5_quality_cnn,
     "op6_cube_mix": op6_cube_mix,
     "op7_secrets": op7_secrets,
     "op8_decontaminate": op8_decontaminate,
