@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cube_mix, decontaminate, quality_cnn, secret_scan, simhash, token_counts
+from . import cube_mix, decontaminate, embedding_dups, quality_cnn, secret_scan, simhash, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,11 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embedding_dups.embedding_groups(_table(spark, sf_dir, "embeddings"), least=0.95)
+    return found.withColumnsRenamed({"id": "vec_id", "component": "component_id"})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_token_counts": op2_token_counts,
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_cube_mix": op6_cube_mix,
     "op7_secrets": op7_secrets,
     "op8_decontaminate": op8_decontaminate,
+    "op9_embedding_dups": op9_embedding_dups,
 }
 
 #: DuckDB SQL of those queries that SQL can express.
