@@ -243,3 +243,19 @@ def embedding_groups(rows: DataFrame, least: float = 0.95, id_col: str = "vec_id
         "id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component"),
         F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"),
     )
+
+
+#: DuckDB SQL of the registered query, by all pairs.
+ORACLE_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a, v b
+  WHERE a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+low AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM link GROUP BY a)
+SELECT e.vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN low USING (vec_id) LEFT JOIN n USING (vec_id)
+"""

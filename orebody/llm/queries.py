@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cube_mix, decontaminate, embedding_dups, quality_cnn, secret_scan, simhash, token_counts
+from . import cube_mix, decontaminate, embedding_dups, html_extract, quality_cnn, secret_scan, simhash, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,11 @@ def op9_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnsRenamed({"id": "vec_id", "component": "component_id"})
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_token_counts": op2_token_counts,
@@ -73,9 +78,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_secrets": op7_secrets,
     "op8_decontaminate": op8_decontaminate,
     "op9_embedding_dups": op9_embedding_dups,
+    "op10_html_extract": op10_html_extract,
 }
 
 #: DuckDB SQL of those queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
     "op7_secrets": secret_scan.ORACLE_SQL,
+    "op8_decontaminate": decontaminate.ORACLE_SQL,
+    "op9_embedding_dups": embedding_dups.ORACLE_SQL,
+    "op10_html_extract": html_extract.ORACLE_SQL,
 }
