@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cube_mix, decontaminate, embedding_dups, html_extract, quality_cnn, secret_scan, simhash, token_counts
+from . import cube_mix, decontaminate, embedding_dups, html_extract, license_scan, quality_cnn, secret_scan, simhash, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumnRenamed("id", "doc_id")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op5_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     net = quality_cnn.fit(docs, _table(spark, sf_dir, "labels"))
@@ -73,6 +77,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_token_counts": op2_token_counts,
+    "op3_license_scan": op3_license_scan,
     "op5_quality_cnn": op5_quality_cnn,
     "op6_cube_mix": op6_cube_mix,
     "op7_secrets": op7_secrets,
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB SQL of those queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
+    "op3_license_scan": license_scan.ORACLE_SQL,
     "op7_secrets": secret_scan.ORACLE_SQL,
     "op8_decontaminate": decontaminate.ORACLE_SQL,
     "op9_embedding_dups": embedding_dups.ORACLE_SQL,
