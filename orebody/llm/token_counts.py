@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import new_path
+from .storage import new_path, stored
 
 CACHE_SCHEMA = "content binary, tokenizer binary, n_tokens long"
 #: Words whose counts a worker keeps; beyond that it starts anew.
@@ -162,4 +162,5 @@ def count_tokens(
 
     need.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
     rows = docs.select(F.col(id_col).alias("id"), content.alias("content"), F.octet_length(text).cast("long").alias("n_bytes"))
-    return rows.join(known(), "content").select("id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # Written first, so that the join stands on its own and a text with very many copies can be split.
+    return rows.join(stored(known(), "counts"), "content").select("id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
