@@ -258,7 +258,8 @@ def contamination(
     hit = hit.select("key", F.aggregate("spans", start, add, lambda acc: acc["sum"]).alias("n_hit"))
     named = runs.select("key", "bench").distinct().join(items.select("bench", "item").distinct(), "bench")
     named = named.groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    found = hit.join(named, "key")
+    # Written first, so that the join stands on its own and a text with very many copies can be split.
+    found = stored(hit.join(named, "key"), "hits")
     rows = document_words(docs, id_col, text_col).join(found, "key", "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return rows.select(
