@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cube_mix, decontaminate, embedding_dups, html_extract, license_scan, quality_cnn, secret_scan, simhash, token_counts
+from . import chat_tools, cube_mix, decontaminate, embedding_dups, html_extract, license_scan, quality_cnn, secret_scan, simhash, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,11 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op4_chat_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = chat_tools.turns_as_calls(_table(spark, sf_dir, "conversations"))
+    return chat_tools.link(calls, results, chat_tools.ask_tool(spark)).withColumnRenamed("conv", "conv_id")
+
+
 def op5_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     net = quality_cnn.fit(docs, _table(spark, sf_dir, "labels"))
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_token_counts": op2_token_counts,
     "op3_license_scan": op3_license_scan,
+    "op4_chat_tools": op4_chat_tools,
     "op5_quality_cnn": op5_quality_cnn,
     "op6_cube_mix": op6_cube_mix,
     "op7_secrets": op7_secrets,
@@ -89,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: DuckDB SQL of those queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
     "op3_license_scan": license_scan.ORACLE_SQL,
+    "op4_chat_tools": chat_tools.ORACLE_SQL,
     "op7_secrets": secret_scan.ORACLE_SQL,
     "op8_decontaminate": decontaminate.ORACLE_SQL,
     "op9_embedding_dups": embedding_dups.ORACLE_SQL,
