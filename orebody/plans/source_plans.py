@@ -150,10 +150,11 @@ def _(t: Tables):
     return cat.text_blocks(t.documents).groupBy("doc_id").agg(F.count("*").alias("units"))
 
 
-@query("c3_hard_split", """
-WITH p AS (SELECT doc_id, CASE WHEN length(text) <= 600 THEN [text] ELSE regexp_extract_all(replace(text, '. ', '。'), '(?s).{299,}?[。！？；\\n]|.+$') END AS cut FROM documents WHERE text <> ''),
+@query("c3_hard_split", r"""
+WITH d AS (SELECT doc_id, replace(text, '. ', '。') AS x FROM documents WHERE text <> ''),
+p AS (SELECT doc_id, CASE WHEN length(x) <= 600 THEN [x] ELSE regexp_extract_all(x, '(?s).{299,}?[。！？；\n]|.+$') END AS cut FROM d),
 q AS (SELECT doc_id, unnest(cut) AS x FROM p)
-SELECT doc_id, sum(greatest(1, ceil(length(x) / 600.0)))::BIGINT AS pieces, sum(length(x))::BIGINT AS chars FROM q GROUP BY doc_id""".replace("SELECT doc_id, CASE WHEN length(text) <= 600", "SELECT doc_id, CASE WHEN length(replace(text, '. ', '。')) <= 600").replace("THEN [text] ELSE", "THEN [replace(text, '. ', '。')] ELSE").replace("\\\\n", "\\n"))
+SELECT doc_id, sum(greatest(1, ceil(length(x) / 600.0)))::BIGINT AS pieces, sum(length(x))::BIGINT AS chars FROM q GROUP BY doc_id""")
 def _(t: Tables):
     text = F.replace(F.col("text"), F.lit(". "), F.lit("。"))
     pieces = c.hard_split(text)
@@ -165,7 +166,7 @@ def _(t: Tables):
     return c.chunk_blocks(cat.text_blocks(_chapters(t))).drop("content")
 
 
-@query("c7_catalogue_chunks", "SELECT doc_id AS work, length(regexp_replace(replace(text, chr(10), ' '), '\\s+', '', 'g')) AS chars FROM documents".replace("\\\\", "\\"))
+@query("c7_catalogue_chunks", r"SELECT doc_id AS work, length(regexp_replace(text, '\s+', '', 'g')) AS chars FROM documents")
 def _(t: Tables):
     works = t.documents.select(F.col("doc_id").alias("work"), F.col("source").alias("title"), F.col("text").alias("content"))
     made = c.catalogue_chunks(works)
