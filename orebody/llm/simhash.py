@@ -151,7 +151,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     groups = simhash_groups(docs, id_col, text_col)
     ids = groups.where("id is not null").groupBy("id").agg(F.count("*").alias("n"), F.max(F.expr("id = component")).alias("keep"))
     ids = stored(ids.where("keep").select(F.col("id").alias("__id"), "n"), "kept")
-    named = docs.join(ids.where("n = 1"), F.col(id_col) == F.col("__id"), "left_semi")
+    # The same plan at every size: kept ids grow with the documents, so both sides are dealt by id.
+    named = docs.join(ids.where("n = 1").hint("merge"), F.col(id_col) == F.col("__id"), "left_semi")
     twice = docs.join(ids.where("n > 1"), F.col(id_col) == F.col("__id"), "left_semi").dropDuplicates([id_col])
     lone = groups.where("id is null and component is null").select(F.col("fp").alias("__fp")).distinct()
     return named.unionByName(twice).unionByName(_unnamed(docs, lone, id_col, text_col))
