@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import label_of
+from ..functions.text import label_of, strip
 
 MIN_CHARS, MAX_CHARS, WRAP = 300, 600, 220
 
@@ -47,7 +47,7 @@ def pack(pieces: Column, least: int = MIN_CHARS, most: int = MAX_CHARS) -> Colum
             F.when(close, F.length(p)).otherwise(acc["len"] + F.length(p)).alias("len"), F.lit(True).alias("any"),
         )
 
-    return F.filter(F.transform(F.aggregate(pieces, start, step, lambda a: F.when(a["any"], F.concat(a["done"], F.array(a["buf"]))).otherwise(a["done"])), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.aggregate(pieces, start, step, lambda a: F.when(a["any"], F.concat(a["done"], F.array(a["buf"]))).otherwise(a["done"])), lambda x: strip(x)), lambda x: x != "")
 
 
 def merge_short(chunks: Column, least: int = MIN_CHARS) -> Column:
@@ -56,7 +56,7 @@ def merge_short(chunks: Column, least: int = MIN_CHARS) -> Column:
     def step(acc: Column, c: Column) -> Column:
         last = F.element_at(acc, -1)
         short = (F.size(acc) > 0) & ((F.length(c) < least) | (F.length(last) < least))
-        joined = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.trim(F.concat_ws("\n", last, c))))
+        joined = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(strip(F.concat_ws("\n", last, c))))
         return F.when(short, joined).otherwise(F.concat(acc, F.array(c)))
 
     return F.aggregate(chunks, F.array().cast("array<string>"), lambda acc, c: F.when(F.size(acc) == 0, F.array(c)).otherwise(step(acc, c)))
