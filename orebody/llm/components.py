@@ -2,8 +2,9 @@
 
 Alternates *large-star* and *small-star* steps (Kiveris et al., "Connected
 Components in MapReduce and Beyond", 2014).  Each step is a ``groupBy().min()``,
-which combines before its shuffle, and an equi-join whose one side has one row a
-node, so that a node with very many links can be split by adaptive execution.
+which combines before its shuffle and is cut there, and an equi-join whose one side
+has one row a node, so that a node with very many links can be split by adaptive
+execution.
 The driver sees two numbers a round.
 """
 
@@ -21,13 +22,13 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = _both_ways(edges)
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a"), F.least("a", "m").alias("m"))
+    least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a"), F.least("a", "m").alias("m")))
     return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = cut(down.groupBy("a").agg(F.min("b").alias("m")))
     moved = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
