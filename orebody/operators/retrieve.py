@@ -6,6 +6,10 @@ that the order of a shuffle cannot change a result; ties go to the lesser identi
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,17 +82,34 @@ def bm25f(fields: DataFrame, queries: DataFrame, weights: dict[str, float], k: i
     return top(found, k)
 
 
-def cosine_top(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 64, most: int = 4096) -> DataFrame:
+def cosine_top(vectors: DataFrame, queries: DataFrame, k: int = 10, most: int = 4096) -> DataFrame:
     """Exact nearest vectors: ``query``, ``doc``, ``score``, ``rank`` for unit vectors (id, vec) against (query, vec).
 
-    Queries are packed into blocks that every vector meets once; the pairs of a block are
-    cut to the best ``k`` of each query and partition by the window's own group limit.
-    Query sides of up to ``most`` rows are broadcast, larger ones are dealt over a key.
+    Up to ``most`` queries are broadcast as one matrix: each Arrow batch of vectors is
+    multiplied with it and hands on each query's ``k`` best, ties included, so little is
+    shuffled.  More queries meet the vectors in a partitioned product.
     """
-    small = queries.limit(most + 1).count() <= most
-    pairs = vectors.crossJoin(F.broadcast(queries.withColumnRenamed("vec", "qvec"))) if small else vectors.join(queries.withColumnRenamed("vec", "qvec"))
-    scored = pairs.select("query", F.col("id").alias("doc"), F.round(dot(F.col("vec"), F.col("qvec")), 6).alias("score"))
-    return top(scored, k)
+    if queries.limit(most + 1).count() > most:
+        pairs = vectors.crossJoin(queries.withColumnRenamed("vec", "qvec"))
+        return top(pairs.select("query", F.col("id").alias("doc"), F.round(dot(F.col("vec"), F.col("qvec")), 6).alias("score")), k)
+    rows = queries.select("query", "vec").collect()
+    held = queries.sparkSession.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], dtype=float)))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, matrix = held.value
+        for batch in batches:
+            if not batch.num_rows or not names:
+                continue
+            ids = batch.column(0).to_numpy()
+            rows_ = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+            scores = np.round(rows_ @ matrix.T, 6)
+            least = np.partition(scores, -k, axis=0)[-k] if len(ids) > k else scores.min(axis=0)
+            doc, query = np.nonzero(scores >= least)
+            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(names)[query]), pa.array(ids[doc]), pa.array(scores[doc, query])], names=["query", "doc", "score"])
+
+    kinds = dict(queries.dtypes)["query"], dict(vectors.dtypes)["id"]
+    found = vectors.select("id", F.col("vec").cast("array<double>").alias("vec")).mapInArrow(best, f"query {kinds[0]}, doc {kinds[1]}, score double")
+    return top(found, k)
 
 
 def fuse(lanes: DataFrame, top_k: int = 5, constant: int = 60) -> DataFrame:

@@ -155,3 +155,17 @@ def test_stream_equals_batch_over_several_files(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 4).parquet(str(tmp_path / "m.parquet"))
     got = jobs.drained(jobs.numbered(stream)).collect()
     assert sorted((r.session, r.id, r.seq) for r in got) == sorted((s, i, i // 7 + 1) for s, i, _ in rows)
+
+
+def test_nearest_vectors_by_both_ways(spark):
+    rows = [(i, [math.cos(i * 0.1), math.sin(i * 0.1)]) for i in range(60)] + [(100, [1.0, 0.0])]
+    v = spark.createDataFrame(rows, "id long, vec array<double>")
+    q = v.where("id in (0, 30)").select(F.col("id").alias("query"), "vec")
+    want = []
+    for query in (0, 30):
+        s = sorted((-round(sum(a * b for a, b in zip(rows[query][1], x, strict=True)), 6), i) for i, x in rows)
+        want += [(query, i, -d, k + 1) for k, (d, i) in enumerate(s[:4])]
+    for most in (4096, 0):
+        got = sorted(map(tuple, retrieve.cosine_top(v, q, 4, most).collect()))
+        assert got == [pytest.approx(x) for x in sorted(want)]
+    assert retrieve.cosine_top(v, q.limit(0), 4).count() == 0
