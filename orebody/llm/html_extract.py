@@ -51,12 +51,14 @@ _FENCE = frozenset("ul ol dl table select div section article main body".split()
 #: Elements whose text is never main text unless told otherwise by their article.
 AWAY = frozenset("nav footer aside form button select menu head dialog search".split())
 NEGATIVE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|adbox|banner|breadcrumbs?|comments?|respond|replies|disqus|cookies?|consent|gdpr|copyright|footer|footnav|hidden|"
+    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|adbox|banner|breadcrumbs?|comment\w*|discussion|respond|replies|disqus|cookies?|consent|gdpr|copyright|footer|footnav|hidden|"
     r"legal|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|notification|outbrain|pager|pagination|paywall|popup|promo\w*|"
     r"recommend\w*|related|rss|share|sharing|sidebar|signup|site-?header|skip|skyscraper|social|sponsor\w*|subscribe|taboola|tags|toolbar|topbar|tweet|"
     r"widget|alert|warning|contentinfo|complementary)(?=$|[\s_-])",
     re.I,
 )
+#: A page's header by class; inside an article it is the article's own.
+HEADER = re.compile(r"(?:^|\s)(?:(?:site|page|main|top|global)[_-]?)?header(?=$|\s)", re.I)
 POSITIVE = re.compile(r"(?:^|[\s_-])(?:article|articlebody|body|content|entry|main|post|story|text)(?=$|[\s_-])", re.I)
 
 #: Weights of the linear classifier; positive speaks for content.
@@ -102,6 +104,7 @@ def _element(tag: str, attrs: str, above: Element | None, serial: int) -> Elemen
         e.article, e.away, e.negative, e.positive = above.article, above.away, above.negative, above.positive
     e.article |= tag in ("article", "main")
     e.away |= tag in AWAY or (tag == "header" and not e.article)
+    e.away |= bool(said and not e.article and HEADER.search(said))
     e.negative |= hidden or bool(said and tag not in ("html", "body") and NEGATIVE.search(said))
     e.positive |= bool(said and POSITIVE.search(said))
     return e

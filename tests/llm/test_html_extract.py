@@ -34,6 +34,13 @@ def test_page_without_article():
     assert hx.main_text(f"<p>{para}") == para
 
 
+def test_cues_in_classes():
+    para = "This is a paragraph of the text, and it has more than fifteen words in it, as prose does."
+    outside = "".join(f'<div class="{c}"><p>{para}</p></div>' for c in ("header", "page-header", "comment-list", "ad slot", "sidebar", "cookie_bar notice", "footer-links"))
+    inside = "".join(f'<div class="{c}"><p>{c} words</p></div>' for c in ("header", "content-box", "adult", "story"))
+    assert hx.main_text(f"{outside}<article>{inside}</article>{outside}").split("\n") == ["header words", "content-box words", "adult words", "story words"]
+
+
 @pytest.mark.parametrize("page", [None, "", " ", "<", "<p", "<!--", "<script>x", "</p></div>", "<nav><p>x", "<article></article>", "&amp", "<a<b>"])
 def test_broken_pages(page):
     assert isinstance(hx.main_text(page), str)
