@@ -14,13 +14,13 @@ from .registry import Tables, query
 
 
 @query("l1_references", """
-WITH c AS (SELECT l_orderkey AS src, 'see ' || (SELECT any_value(p_name) FROM part WHERE p_partkey = l_partkey) AS t, l_partkey FROM lineitem WHERE l_quantity < 3),
-n AS (SELECT src, p_name AS name, count(*) AS n FROM c JOIN part ON p_partkey = l_partkey GROUP BY ALL),
-t AS (SELECT p_partkey AS dst, CASE WHEN p_partkey % 50 = 0 THEN '' ELSE p_name || ' ' || p_brand END AS title FROM part WHERE p_partkey < 300)
-SELECT src, dst, sum(n)::BIGINT AS n_matches, 0.95::DOUBLE AS confidence FROM n JOIN t ON src <> dst AND title <> '' AND (contains(title, name) OR contains(name, title)) GROUP BY ALL""")
+WITH n AS (SELECT s_suppkey AS src, p_name AS name FROM supplier JOIN part ON p_partkey = s_suppkey),
+t AS (SELECT p_partkey AS dst, CASE WHEN p_partkey % 50 = 0 THEN '' ELSE p_name || ' ' || p_brand END AS title FROM part)
+SELECT src, dst, 2::BIGINT AS n_matches, 0.95::DOUBLE AS confidence FROM n JOIN t ON src <> dst AND title <> '' AND (contains(title, name) OR contains(name, title))""")
 def _(t: Tables):
-    c = t.lineitem.where("l_quantity < 3").join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey").select(F.col("l_orderkey").alias("doc"), F.concat(F.lit("see <"), "p_name", F.lit("> there")).alias("text"))
-    titles = t.part.where("p_partkey < 300").select(F.col("p_partkey").alias("doc"), F.when(F.col("p_partkey") % 50 == 0, "").otherwise(F.concat_ws(" ", "p_name", "p_brand")).alias("title"))
+    named = t.supplier.join(t.part, F.col("p_partkey") == F.col("s_suppkey"))
+    c = named.select(F.col("s_suppkey").alias("doc"), F.concat(F.lit("see <"), "p_name", F.lit("> and see <"), "p_name", F.lit(">")).alias("text"))
+    titles = t.part.select(F.col("p_partkey").alias("doc"), F.when(F.col("p_partkey") % 50 == 0, "").otherwise(F.concat_ws(" ", "p_name", "p_brand")).alias("title"))
     return d.references(c, titles, ("see <([^>]{2,40})>",))
 
 
@@ -323,12 +323,12 @@ def _(t: Tables):
     return _features(t).select("event_id", F.transform(v.same_surface(F.col("features")), lambda x: x["relation"]).alias("relations"))
 
 
-TIER = f"""t AS (SELECT user_id AS photo, event_id AS candidate, value AS score, CASE WHEN event_type = 'error' THEN 'different' WHEN event_type = 'purchase' OR event_id % 2 = 1 AND {SECOND} THEN 'agreement' ELSE 'partial' END AS reason FROM events WHERE event_id % 10 = user_id % 10),
+TIER = f"""t AS (SELECT user_id AS photo, event_id AS candidate, value AS score, CASE WHEN event_type = 'error' THEN 'different' WHEN event_type = 'purchase' OR event_id % 2 = 1 AND {SECOND} THEN 'agreement' ELSE 'partial' END AS reason FROM events),
 r AS (SELECT photo, candidate, score, CASE reason WHEN 'agreement' THEN 'likely' WHEN 'partial' THEN 'uncertain' ELSE 'similar' END AS tier, CASE reason WHEN 'different' THEN 'visible_difference' ELSE reason END AS reason FROM t)"""
 
 
 def _tiers(t: Tables):
-    n = _features(t).where("event_id % 10 = user_id % 10").withColumn("features", v.normalised_visible(F.col("features"), ("neck", "base")))
+    n = _features(t).withColumn("features", v.normalised_visible(F.col("features"), ("neck", "base")))
     n = n.join(t.events.select("event_id", F.col("value").alias("score")), "event_id")
     return v.tiers(n.select(F.col("user_id").alias("photo"), F.col("event_id").alias("candidate"), F.lit("same_work").alias("identity"), "features", (F.col("event_type") == "purchase").alias("label"), F.lit(False).alias("label_required"), "score"))
 

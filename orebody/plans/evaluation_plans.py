@@ -162,10 +162,9 @@ def _(t: Tables):
     return ev.additions(t.part.where("p_partkey % 50 <> 0").select(*cols), t.part.where("p_partkey % 70 <> 1").select(*cols)).drop("p_partkey")
 
 
-@query("x17_same_inputs", 'SELECT user_id AS "case", count(DISTINCT (event_type, value > 200)) = 1 AS controlled FROM events WHERE event_type IN (\'view\', \'error\') AND event_id % 37 = user_id % 37 GROUP BY 1')
+@query("x17_same_inputs", 'SELECT event_id // 2 AS "case", count(DISTINCT event_type) = 1 AS controlled FROM events GROUP BY 1')
 def _(t: Tables):
-    e = t.events.where("event_type in ('view', 'error') and event_id % 37 = user_id % 37")
-    return ev.same_inputs(e.select(F.col("user_id").alias("case"), F.sha2(F.concat_ws("|", "event_type", (F.col("value") > 200).cast("string")), 256).alias("digest")))
+    return ev.same_inputs(t.events.select(F.floor(F.col("event_id") / 2).alias("case"), F.sha2("event_type", 256).alias("digest")))
 
 
 @query("x18_graded", "SELECT p_partkey AS task, CASE p_partkey % 4 WHEN 0 THEN p_size < 10 WHEN 1 THEN p_size >= 10 AND contains(p_name, 'ring') WHEN 2 THEN contains(p_name, 'red') END AS passed FROM part")
