@@ -33,7 +33,8 @@ _TOKEN = re.compile(
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
     re.S | re.I,
 )
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: One attribute, its value quoted either way or bare; what stands inside a value is never a name.
+_ATTR = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -51,10 +52,12 @@ _FENCE = frozenset("ul ol dl table select div section article main body".split()
 #: Elements whose text is never main text unless told otherwise by their article.
 AWAY = frozenset("nav footer aside form button select menu head dialog search".split())
 NEGATIVE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|adbox|banner|breadcrumbs?|comment\w*|discussion|respond|replies|disqus|cookies?|consent|gdpr|copyright|footer|footnav|hidden|"
+    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|adbox|banner|breadcrumbs?|comment\w*|discussion|respond|replies|disqus|cookies?|consent|gdpr|copyright|footer|footnav|"
     r"legal|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|notification|outbrain|pager|pagination|paywall|popup|promo\w*|"
     r"recommend\w*|related|rss|share|sharing|sidebar|signup|site-?header|skip|skyscraper|social|sponsor\w*|subscribe|taboola|tags|toolbar|topbar|tweet|"
-    r"widget|alert|warning|contentinfo|complementary)(?=$|[\s_-])",
+    r"widget|alert|warning|contentinfo|complementary)(?=$|[\s_-])"
+    # A class of its own; overflow-hidden or hidden-xs is layout.
+    r"|(?:^|\s)(?:(?:is|visually)[_-])?hidden(?=$|\s)",
     re.I,
 )
 #: A page's header by class; inside an article it is the article's own.
@@ -90,22 +93,34 @@ class Block:
         return " ".join(html.unescape("".join(self.parts)).split())
 
 
-def _element(tag: str, attrs: str, above: Element | None, serial: int) -> Element:
-    cues, hidden = [], False
+def _attributes(attrs: str) -> dict[str, str]:
+    """Values by lower-case name; of a repeated name the first counts."""
+    found: dict[str, str] = {}
     for name, *values in _ATTR.findall(attrs):
-        value = next((v for v in values if v), "")
-        if name.lower() == "hidden" or (name.lower() == "aria-hidden" and value.lower() == "true"):
-            hidden = True
-        else:
-            cues.append(value)
-    said = " ".join(cues)
+        found.setdefault(name.lower(), next((v for v in values if v), ""))
+    return found
+
+
+def _unseen(style: str) -> bool:
+    """Whether inline ``style`` says display:none or visibility:hidden; of a repeated property the last counts."""
+    said = {}
+    for part in style.lower().split(";"):
+        name, _, value = part.partition(":")
+        said[name.strip()] = value.replace("!important", "").strip()
+    return said.get("display") == "none" or said.get("visibility") == "hidden"
+
+
+def _element(tag: str, attrs: str, above: Element | None, serial: int) -> Element:
+    given = _attributes(attrs)
+    hidden = "hidden" in given or given.get("aria-hidden", "").lower() == "true" or _unseen(given.get("style", ""))
+    said = " ".join(given[name] for name in ("class", "id", "role") if name in given)
     e = Element(tag, serial=serial)
     if above:
         e.article, e.away, e.negative, e.positive = above.article, above.away, above.negative, above.positive
     e.article |= tag in ("article", "main")
     e.away |= tag in AWAY or (tag == "header" and not e.article)
     e.away |= bool(said and not e.article and HEADER.search(said))
-    e.negative |= hidden or bool(said and tag not in ("html", "body") and NEGATIVE.search(said))
+    e.negative |= tag not in ("html", "body") and (hidden or bool(said and NEGATIVE.search(said)))
     e.positive |= bool(said and POSITIVE.search(said))
     return e
 

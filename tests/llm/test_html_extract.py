@@ -87,3 +87,18 @@ def test_rows_and_columns_stay(spark):
     assert out.columns == ["page_id", "url", "n_chars", "text"]
     assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, "u", 5, ""), (1, "u", 5, ""), (None, None, 6, "x")], key=str)
     assert hx.extract(df.limit(0)).count() == 0
+
+
+def test_attributes_are_read_by_name():
+    para = "This is a paragraph of the text, and it has more than fifteen words in it, as prose does."
+    layout = (
+        'style="overflow:hidden"', 'style="overflow: hidden; color: red"', 'data-id="footer"', 'data-role=menu', 'class="overflow-hidden"', 'class="hidden-xs row"',
+        "title='the id=footer hidden class=ad'", 'data-hidden', "data-x='class=\"ad\"'", 'style="display:none;display:block"', 'aria-hidden="false"', 'aria-label="hidden"',
+    )
+    unseen = ("hidden", "HIDDEN=''", 'aria-hidden="true"', 'style="color:red; DISPLAY : none !important"', "style=visibility:hidden", 'class="row hidden"', 'class="is-hidden"', "data-a=b id=footer", 'class="a"id="ad"')
+    for attrs in layout:
+        assert hx.main_text(f"<article {attrs}><p>{para}</p></article>") == para, attrs
+        assert hx.main_text(f"<article><div {attrs}><p>{para}</p></div></article>") == para, attrs
+    for attrs in unseen:
+        assert hx.main_text(f"<article><p>{para}</p><div {attrs}><p>Gone. {para}</p></div></article>") == para, attrs
+    assert hx.main_text(f'<body style="visibility:hidden"><article><p>{para}</p></article></body>') == para
