@@ -14,6 +14,8 @@ a licence are not cut at all.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,7 +63,8 @@ RULES = (
     ("All-rights-reserved", "RESERVED;"),
 )
 #: What a text must mention to be cut into sentences: a word of every known sentence.
-MENTION = "(?i)licens|permission|warrant|public domain|free software|redistribution|reserved"
+#: Words stand apart as they may in a sentence before it is normalised.
+MENTION = "(?i)licens|permission|warrant|public[^a-z0-9.]+domain|free[^a-z0-9.]+software|redistribution|reserved"
 _END = r"\.+(\s+|$)|\n\s*\n"
 _CAPITAL = r"\n\s*([A-Z])"
 _OTHER = r"[^a-z0-9.]+"
@@ -85,20 +88,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     found = F.filter(F.transform(_sentences(text), lambda s: F.element_at(known, s)), lambda x: x.isNotNull())
     ids = F.when(text.rlike(MENTION), found).otherwise(F.array().cast("array<string>"))
     out = docs.select(F.col(id_col).alias("id"), ids.alias("ids"))
-    out = out.withColumn("left", F.concat_ws("", F.transform("ids", lambda x: F.concat(x, F.lit(";")))))
+    # Each identifier has semicolons of its own on both sides, so neighbours share none and one pass takes all.
+    out = out.withColumn("left", F.concat_ws("", F.transform("ids", lambda x: F.concat(F.lit(";"), x, F.lit(";")))))
     hits = []
     for k, (name, pattern) in enumerate(RULES):
-        # An identifier begins the sequence or follows a semicolon.
-        whole = f"(^|;){pattern}"
+        whole = re.sub("([A-Z0-9_]+;)", r";\1", pattern)
         out = out.withColumn(f"hit{k}", F.when(F.col("left").rlike(whole), F.lit(name)))
-        # Twice: neighbours share the semicolon between them.
-        taken = F.regexp_replace(F.regexp_replace("left", whole, "$1"), whole, "$1")
+        taken = F.regexp_replace("left", whole, "")
         out = out.withColumn("left", F.when(F.col("left") == "", F.col("left")).otherwise(taken))
         hits.append(F.col(f"hit{k}"))
     licenses = F.array_distinct(F.array_compact(F.array(*hits)))
     return out.select(
         "id", F.array_join(licenses, ",").alias("licenses"), F.size("ids").cast("long").alias("n_sentences"),
-        F.array_join("ids", ",").alias("sentences"), F.rtrim(F.col("left"), F.lit(";")).alias("unmatched"),
+        F.array_join("ids", ",").alias("sentences"), F.trim(F.replace("left", F.lit(";;"), F.lit(";")), F.lit(";")).alias("unmatched"),
     )
 
 

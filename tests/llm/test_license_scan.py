@@ -78,3 +78,20 @@ def test_sql_agrees(spark, tmp_path):
 
 def test_empty_table(spark):
     assert lic.scan(spark.createDataFrame([], "doc_id long, text string, ids int, left int")).count() == 0
+
+
+def test_cue_words_apart_by_any_white_space(spark):
+    texts = [f"This work is dedicated to the public{gap}domain." for gap in (" ", "\n", "\t", "  ", "\r\n", "-", "\n  ")]
+    for r in lic.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        assert (r.licenses, r.sentences, r.unmatched) == ("CC0-1.0", "CC0", ""), texts[r.id]
+
+
+def test_any_number_of_neighbours_is_taken(spark):
+    mit, head = "Released under the MIT License. Some words. ", lic.SENTENCES["BSD_HEAD"] + ".\n"
+    cases = [(mit * n, "MIT", "") for n in (1, 2, 4, 10, 101)]
+    cases += [(("All rights reserved. " + head) * n, "BSD", "") for n in (1, 2, 4, 10)]
+    cases += [("All rights reserved. " + head + mit * 4 + "All rights reserved. " * 5, "MIT,BSD,All-rights-reserved", "")]
+    cases += [("MIT License. " + mit * 5 + "MIT License. " + lic.SENTENCES["GPL_SEE"] + ". ", "MIT", "MIT_NAME;MIT_NAME;GPL_SEE")]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "doc_id long, text string")
+    for r in lic.scan(df).collect():
+        assert (r.licenses, r.unmatched) == cases[r.id][1:], cases[r.id]
