@@ -8,8 +8,9 @@ characters of the base64 alphabet with a letter and a digit.  A window of 20
 characters slides over each; the counts of its characters are kept up to date by the
 one that enters and the one that leaves, and with them the sum of c * log2(c), which
 gives the window's Shannon entropy.  A candidate whose highest window reaches the
-threshold of its character class is a span, unless the allow-list names it or it
-touches a base span.
+threshold of its character class is a span, unless the allow-list names it.  Where
+base spans cover a part of a candidate, what they leave of it, in pieces of 20 or more
+characters, are the candidates; such a piece is judged without the separators at its ends.
 
 Offsets come from lengths: what ``split`` leaves between the matches of a pattern and
 the matches themselves take turns.
@@ -96,6 +97,34 @@ def _is_secret(run: Column) -> Column:
     return F.when(mixed, highest_entropy(run) >= least).otherwise(False)
 
 
+def _uncovered(run: Column, base: Column) -> Column:
+    """What the spans of ``base``, sorted by start, leave of ``run``: spans of at least ``WINDOW`` characters."""
+
+    def piece(start: Column, end: Column) -> Column:
+        body = F.substring(run["body"], start - run["start"] + 1, end - start)
+        return F.array(F.struct(start.alias("start"), run["kind"].alias("kind"), end.alias("end"), body.alias("body"))).cast(SPAN)
+
+    def step(acc: Column, b: Column) -> Column:
+        out = F.when(b["start"] - acc["at"] >= WINDOW, F.concat(acc["out"], piece(acc["at"], b["start"]))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), out.alias("out"))
+
+    def last(acc: Column) -> Column:
+        return F.when(run["end"] - acc["at"] >= WINDOW, F.concat(acc["out"], piece(acc["at"], run["end"]))).otherwise(acc["out"])
+
+    zero = F.struct(run["start"].alias("at"), F.array().cast(SPAN).alias("out"))
+    return F.aggregate(F.filter(base, lambda b: _touch(b, run)), zero, step, last)
+
+
+def _touch(a: Column, b: Column) -> Column:
+    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+
+
+def _stem(piece: Column) -> Column:
+    """``piece`` without separators at its ends, as long as it stays a candidate."""
+    stem = F.regexp_replace(piece, "^[+/=_-]+|[+/=_-]+$", "")
+    return F.when(F.length(stem) >= WINDOW, stem).otherwise(piece)
+
+
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``__base`` and ``__spans``: sorted arrays of (start, kind, end, body).
 
@@ -106,10 +135,12 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     assign = F.filter(_spans(text, ASSIGN, "assign", 2), lambda x: F.length(x["body"]) >= VALUE_CHARS)
     base = F.array_sort(F.concat(assign, _spans(text, ACCESS, "access"), _spans(text, HEX, "hex")))
-    runs = F.filter(_spans(text, RUN, "entropy"), lambda x: _is_secret(x["body"]))
-    found = docs.withColumn("__base", base).withColumn("__runs", runs)
-    free = F.filter("__runs", lambda r: ~F.exists("__base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    return found.withColumn("__spans", F.array_sort(F.concat("__base", free))).drop("__runs")
+    found = docs.withColumn("__base", base).withColumn("__runs", _spans(text, RUN, "entropy"))
+    touches = lambda r: F.exists("__base", lambda b: _touch(b, r))
+    free = F.filter("__runs", lambda r: ~touches(r) & _is_secret(r["body"]))
+    pieces = F.flatten(F.transform(F.filter("__runs", touches), lambda r: _uncovered(r, F.col("__base"))))
+    more = F.filter(pieces, lambda p: _is_secret(_stem(p["body"])))
+    return found.withColumn("__spans", F.array_sort(F.concat("__base", free, more))).drop("__runs")
 
 
 def _written(spans: str) -> Column:
