@@ -142,9 +142,11 @@ def percentiles(rows: DataFrame, by: str, value: str, shares: tuple[float, ...]
     return rows.groupBy(by).agg(*picked)
 
 
-def matrix_gaps(runs: DataFrame, cases: DataFrame, modes: DataFrame, repeats: int) -> DataFrame:
-    """Cells of the full case x mode x repeat matrix that ``runs`` lacks; modes are a short fixed list."""
-    full = cases.select("case").crossJoin(F.broadcast(modes.limit(1000).select("mode"))).select("case", "mode", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat"))
+def matrix_gaps(runs: DataFrame, cases: DataFrame, modes: DataFrame, repeats: int, most: int = 1000) -> DataFrame:
+    """Cells of the full case x mode x repeat matrix that ``runs`` lacks; up to ``most`` modes are broadcast, more are joined without it."""
+    modes = modes.select("mode")
+    few = modes.limit(most + 1).count() <= most
+    full = cases.select("case").crossJoin(F.broadcast(modes) if few else modes).select("case", "mode", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat"))
     return full.join(runs.select("case", "mode", "repeat"), ["case", "mode", "repeat"], "left_anti")
 
 

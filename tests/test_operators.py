@@ -169,3 +169,11 @@ def test_nearest_vectors_by_both_ways(spark):
         got = sorted(map(tuple, retrieve.cosine_top(v, q, 4, most).collect()))
         assert got == [pytest.approx(x) for x in sorted(want)]
     assert retrieve.cosine_top(v, q.limit(0), 4).count() == 0
+
+
+@pytest.mark.parametrize("n", [1000, 1003])
+def test_matrix_gaps_of_many_modes(spark, n):
+    modes, cases = spark.range(n).select(F.col("id").alias("mode")), spark.range(2).select(F.col("id").alias("case"))
+    runs = spark.range(n - 1).select(F.lit(0).cast("long").alias("case"), F.col("id").alias("mode"), F.lit(1).alias("repeat"))
+    got = {tuple(r) for r in evaluate.matrix_gaps(runs, cases, modes, 1).collect()}
+    assert got == {(1, m, 1) for m in range(n)} | {(0, n - 1, 1)}
