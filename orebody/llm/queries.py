@@ -57,7 +57,7 @@ def op6_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.secret_report(_table(spark, sf_dir, "documents"))
     return found.select(
-        F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", "n_entropy", F.sha2("base", 256).alias("base_sha256"), "spans"
+        F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_entropy"
     )
 
 

@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 
 import duckdb
 import pytest
@@ -26,13 +27,14 @@ def entropy(s):
 def brute(text):
     text = text or ""
     base = base_of(text)
-    more = []
-    for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text):
-        s = m[0]
+    more, left = [], list(text)
+    for a, _, b in base:
+        left[a:b] = " " * (b - a)
+    for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", "".join(left)):
+        s = m[0].strip("+/=_-") if len(m[0].strip("+/=_-")) >= 20 else m[0]
         least = 3.0 if re.fullmatch("[0-9a-fA-F]+", s) else 3.65 if re.fullmatch("[A-Za-z0-9]+", s) else 3.85
-        if re.search("[0-9]", s) and re.search("[A-Za-z]", s) and not re.search(secret_scan.ALLOW, s) and entropy(s) >= least:
-            if not any(a < m.end() and m.start() < b for a, _, b in base):
-                more.append((m.start(), 3, m.end()))
+        if re.search("[0-9]", s) and re.search("[A-Za-z]", s) and 16 * (len(s) - len(re.sub(secret_scan.ALLOW, "", s))) < len(s) and entropy(s) >= least:
+            more.append((m.start(), 3, m.end()))
     return base, sorted(base + more)
 
 
@@ -50,6 +52,8 @@ TEXTS = [
     "secret==========", "key " + "".join(RNG.choice(B64) for _ in range(44)) + " end", "k" + "".join(RNG.choice(HEXD) for _ in range(24)),
     " ".join("".join(RNG.choice(B64 + "=-_") for _ in range(RNG.choice([19, 20, 21, 60]))) for _ in range(40)),
     "token=" * 5, "\n".join(["a token = " + "c" * 9] * 30), "paſſword=abcdefghij toKen=abcdefghij", "thatverylongwordwithoutanydigitsinside1",
+    "token=" + "=".join("".join(RNG.choice(B64) for _ in range(30)) for _ in range(4)), "==" + "".join(RNG.choice(B64) for _ in range(44)) + "--",
+    " ".join(f"x token=abcdefgh{i} " + "".join(RNG.choice(B64) for _ in range(RNG.choice([8, 25]))) + "/AKIA" + "B" * 20 for i in range(300)),
 ]
 
 
@@ -122,3 +126,31 @@ def test_what_base_spans_leave_of_a_run_is_scanned(spark):
         assert r.spans == want[r.id], list(texts)[r.id]
     for r in secret_scan.redact(docs).collect():
         assert key not in r.text and short not in r.text
+
+
+def test_one_very_long_run_takes_linear_time(spark):
+    def took(n):
+        docs = spark.createDataFrame([(1, "x " + "".join(RNG.choice(B64) for _ in range(n)))], "doc_id long, text string").cache()
+        docs.count()
+        began = time.time()
+        assert secret_scan.secret_report(docs).first().spans.endswith(f":{n + 2}")
+        return time.time() - began
+
+    took(1000)
+    small, large = took(50_000), took(1_000_000)
+    assert large < 20 * small + 20
+
+
+def test_very_many_spans_in_one_text(spark):
+    text = " ".join(f"token=abcdefgh{i:08d}" for i in range(5000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert secret_scan.secret_report(docs).first().base == written(base_of(text))
+    assert secret_scan.redact(docs).first().text == " ".join(["[SECRET]"] * 5000)
+
+
+def test_columns_of_the_same_name_and_empty_tables(spark):
+    docs = spark.createDataFrame([(1, "token=abcdefghi", "mine", 2)], "doc_id long, text string, __base string, __spans int")
+    assert secret_scan.secret_report(docs).first().spans == "assign:0:15"
+    assert secret_scan.redact(docs).first().text == "[SECRET]"
+    assert secret_scan.redact(docs).columns == docs.columns
+    assert secret_scan.secret_report(docs.limit(0)).collect() == []
