@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from html import unescape
 from itertools import product
 
@@ -102,3 +103,58 @@ def test_attributes_are_read_by_name():
     for attrs in unseen:
         assert hx.main_text(f"<article><p>{para}</p><div {attrs}><p>Gone. {para}</p></div></article>") == para, attrs
     assert hx.main_text(f'<body style="visibility:hidden"><article><p>{para}</p></article></body>') == para
+
+
+PARA = "This is a paragraph of the text, and it has more than fifteen words in it, as prose does."
+AROUND = '<html><body><header><a href=/>Site</a></header><nav><ul><li><a href=/>Home</a></ul></nav>{}<footer><p>' + PARA + "</p></footer></body></html>"
+
+
+@pytest.mark.parametrize("open_", [
+    '<div class="content has-sidebar">', '<main class="no-sidebar">', '<article class="post hentry category-legal">', '<div class="post tags-politics">',
+    '<div class="post comments-open">', '<section id="legal">', '<article><section id="legal">', '<form id="aspnetForm">', '<div class="sidebar-right-layout">', '<div class="page-header-fixed">',
+])
+def test_one_word_in_a_class_does_not_lose_the_article(open_):
+    body = f"<h1>Head line</h1><p>{PARA}</p><p>Short.</p><p>{PARA}</p>"
+    assert hx.main_text(AROUND.format(open_ + body)) == f"Head line\n{PARA}\nShort.\n{PARA}"
+
+
+def test_a_bare_value_may_hold_a_quote():
+    assert hx.main_text(f"<article><p data-t=it's>{PARA}</p><p>{PARA}</p></article>") == f"{PARA}\n{PARA}"
+    assert hx.main_text(f"<article><a title='a > b' href=x>{PARA}</a></article>") == PARA
+
+
+def test_readers_comments_go_however_long_they_are():
+    talk = '<div id="comments">' + f'<article class="comment"><p>{PARA}</p></article>' * 40 + "</div>"
+    for page in (f"<article><h1>Head</h1><p>{PARA}</p>{talk}</article>", f"<article><h1>Head</h1><p>{PARA}</p></article>{talk}", f"<div><h1>Head</h1><p>{PARA}</p></div>{talk}"):
+        assert hx.main_text(AROUND.format(page)) == f"Head\n{PARA}"
+
+
+def test_neighbours_outvote_a_doubtful_class_but_not_a_plain_one():
+    page = "<article><h1>Head</h1>" + "<p>{0}</p><p>{0}</p><p class={1}>Odd. {0}</p><p>{0}</p><p>{0}</p></article>"
+    assert "Odd." in hx.main_text(page.format(PARA, "share"))
+    assert "Odd." not in hx.main_text(page.format(PARA, "ad"))
+
+
+def test_the_cut_decides_on_given_pages():
+    changed = flows = 0
+    for r in pq.read_table("/root/testdata/sf0.001/pages.parquet").to_pylist():
+        blocks, elements = hx.blocks_of(r["html"])
+        scores = [hx.block_score(b) for b in blocks]
+        hx.settle_cues(blocks, scores, elements)
+        nodes, arcs = hx.graph(blocks)
+        labels = hx.minimum_cut(nodes, arcs)
+        changed += sum((s > 0) != x for s, x in zip(scores, labels, strict=False))
+        near = [{} for _ in nodes]
+        for (a, b), w in arcs.items():
+            near[a][b] = near[b][a] = near[a].get(b, 0.0) + w
+        assert hx.max_flow(list(range(len(nodes))), nodes, near) == labels
+        flows += 1
+    assert changed >= flows
+
+
+def test_unclosed_and_unmatched_tags_take_linear_time():
+    began = time.time()
+    hx.main_text("<div>" * 20_000 + "<p>x" * 20_000)
+    hx.main_text("<b>" * 20_000 + "<p>x</i>" * 20_000)
+    hx.main_text("<p>word &amp; word</p><li><a href=x>link</a>" * 20_000)
+    assert time.time() - began < 30
