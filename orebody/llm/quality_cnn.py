@@ -1,8 +1,6 @@
 """Document quality by a byte-level convolutional network in numpy.
 
-A text is read as UTF-8 bytes.  Each byte gives ``CHANNELS`` inputs: a learned
-embedding, and for each lag of ``LAGS`` whether the byte equals the one so far
-before it, so that a filter can see text repeat itself whatever the text is.
+A text is read as UTF-8 bytes, each of which has a learned embedding of its own.
 Filters of ``WIDTH`` bytes are applied every ``STRIDE`` bytes, so their chunks
 overlap and cover the whole document.  Each filter's ReLU output is averaged over
 spans of ``SPAN`` chunks, the largest average in the document is kept (max-pooling),
@@ -26,69 +24,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-EMBED, WIDTH, STRIDE, FILTERS, SPAN = 6, 8, 4, 24, 12
-LAGS = tuple(range(2, 22))
-CHANNELS = EMBED + 1
+EMBED, WIDTH, STRIDE, FILTERS, SPAN = 8, 8, 4, 40, 40
 MOST_LABELLED, MOST_BYTES = 600, 1 << 16
 #: Bytes of a text that are convolved at once; a multiple of STRIDE.
 BLOCK = 1 << 16
-#: Bytes before a block that its first spans and its first repeat flags look back on.
+#: Bytes before a block that its first spans look back on.
 _SPAN_BYTES = -(-(STRIDE * (SPAN - 1) + WIDTH) // STRIDE) * STRIDE
-_HISTORY = -(-(max(LAGS) + WIDTH) // STRIDE) * STRIDE
-_GROUPS = 24
-
-
-def byte_classes() -> np.ndarray:
-    """A class for each byte: what the embedding tells apart."""
-    out = np.zeros(256, dtype=np.uint8)
-    for b in range(256):
-        c = chr(b)
-        if b >= 128:
-            out[b] = 1
-        elif c.islower():
-            out[b] = 2
-        elif c.isupper():
-            out[b] = 3
-        elif c.isdigit():
-            out[b] = 4
-        elif c == " ":
-            out[b] = 5
-        elif c == "\n":
-            out[b] = 6
-        elif b < 32 or b == 127:
-            out[b] = 7
-        else:
-            out[b] = 8 + "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~".index(c) % 16
-    return out
-
-
-_CLASS = byte_classes()
-
-
-def repeats(data: np.ndarray) -> np.ndarray:
-    """For each byte whether the last ``WIDTH`` bytes equal those some lag of ``LAGS`` before."""
-    found = np.zeros(len(data), dtype=bool)
-    for lag in LAGS:
-        if len(data) < lag + WIDTH:
-            break
-        same = np.concatenate(([0], np.cumsum(data[lag:] == data[:-lag], dtype=np.int32)))
-        found[lag + WIDTH - 1 :] |= same[WIDTH:] - same[:-WIDTH] == WIDTH
-    return found
-
-
-def chunks(data: np.ndarray, skip: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Byte classes and repeat flags of each chunk: (n, WIDTH) each, n at least SPAN.
-
-    Texts shorter than a span of chunks are padded with zero bytes.  The first ``skip``
-    bytes are only looked back on.
-    """
-    size = len(data) - skip
+
+
+def kinds() -> np.ndarray:
+    """A kind for each byte; bytes of one kind begin with nearly the same embedding and learn to differ."""
+    tests = (str.islower, str.isupper, str.isdigit, str.isspace, str.isprintable)
+    of = lambda c: next((k for k, test in enumerate(tests) if test(c)), len(tests))
+    # Punctuation marks are kinds of their own.
+    return np.array([6 if b > 127 else b if 32 < b < 127 and not chr(b).isalnum() else 128 + of(chr(b)) for b in range(256)])
+
+
+def chunks(data: np.ndarray) -> np.ndarray:
+    """The bytes of each chunk, (n, WIDTH), n at least SPAN; the end is padded with zero bytes."""
     least = STRIDE * (SPAN - 1) + WIDTH
-    pad = least - size if size < least else -(size - WIDTH) % STRIDE
+    pad = least - len(data) if len(data) < least else -(len(data) - WIDTH) % STRIDE
     if pad:
         data = np.concatenate((data, np.zeros(pad, dtype=np.uint8)))
-    windows = np.lib.stride_tricks.sliding_window_view
-    return windows(_CLASS[data[skip:]], WIDTH)[::STRIDE], windows(repeats(data)[skip:], WIDTH)[::STRIDE]
+    return np.lib.stride_tricks.sliding_window_view(data, WIDTH)[::STRIDE]
 
 
 class Network:
@@ -96,8 +54,8 @@ class Network:
 
     def __init__(self, seed: int = 7) -> None:
         rng = np.random.default_rng(seed)
-        self.embed = rng.normal(0, 0.5, (_GROUPS, EMBED)).astype(np.float32)
-        self.filters = rng.normal(0, 0.3, (WIDTH * CHANNELS, FILTERS)).astype(np.float32)
+        self.embed = (rng.normal(0, 0.5, (256, EMBED))[kinds()] + rng.normal(0, 0.05, (256, EMBED))).astype(np.float32)
+        self.filters = rng.normal(0, 0.3, (WIDTH * EMBED, FILTERS)).astype(np.float32)
         self.bias = np.zeros(FILTERS, dtype=np.float32)
         self.out = rng.normal(0, 0.3, FILTERS).astype(np.float32)
         self.shift = np.zeros(1, dtype=np.float32)
@@ -105,35 +63,28 @@ class Network:
     def weights(self) -> dict[str, np.ndarray]:
         return {k: v for k, v in vars(self).items() if isinstance(v, np.ndarray)}
 
-    def inputs(self, classes: np.ndarray, again: np.ndarray) -> np.ndarray:
-        x = np.empty((len(classes), WIDTH, CHANNELS), dtype=np.float32)
-        x[..., :EMBED] = self.embed[classes]
-        x[..., EMBED] = again
-        return x.reshape(len(classes), WIDTH * CHANNELS)
-
-    def pooled(self, data: np.ndarray, skip: int = 0) -> tuple[np.ndarray, np.ndarray, tuple]:
+    def pooled(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
         """The largest span average of each filter, where its span begins, and what it came from."""
-        classes, again = chunks(data, skip)
-        x = self.inputs(classes, again)
+        read = chunks(data)
+        x = self.embed[read].reshape(len(read), WIDTH * EMBED)
         h = np.maximum(x @ self.filters + self.bias, 0)
         total = np.cumsum(h, axis=0, dtype=np.float64)
         spans = total[SPAN - 1 :].copy()
         spans[1:] -= total[:-SPAN]
         at = spans.argmax(axis=0)
-        return (spans[at, np.arange(FILTERS)] / SPAN).astype(np.float32), at, (classes, x, h)
+        return (spans[at, np.arange(FILTERS)] / SPAN).astype(np.float32), at, (read, x, h)
 
     def score(self, text: bytes) -> float:
         """The probability of label 1; for the empty text that of nothing but padding."""
         data = np.frombuffer(text, dtype=np.uint8)
         best = None
         for at in range(0, max(len(data), 1), BLOCK):
-            begin = max(0, at - _SPAN_BYTES - _HISTORY)
-            part = self.pooled(data[begin : at + BLOCK], _HISTORY if at else 0)[0]
+            part = self.pooled(data[max(0, at - _SPAN_BYTES) : at + BLOCK])[0]
             best = part if best is None else np.maximum(best, part)
         return float(1 / (1 + np.exp(-np.clip(best @ self.out + self.shift[0], -30, 30))))
 
 
-def train(texts: list[bytes], labels: list[int], epochs: int = 12, rate: float = 0.01, seed: int = 7) -> Network:
+def train(texts: list[bytes], labels: list[int], epochs: int = 20, rate: float = 0.01, seed: int = 7) -> Network:
     """Fit by Adam on the mean log loss; only the winning spans carry a gradient."""
     net, rng = Network(seed), np.random.default_rng(seed)
     data = [np.frombuffer(t, dtype=np.uint8) for t in texts]
@@ -149,7 +100,7 @@ def train(texts: list[bytes], labels: list[int], epochs: int = 12, rate: float =
         for part in np.array_split(rng.permutation(len(data)), -(-len(data) // batch)):
             grad = {k: np.zeros_like(v) for k, v in weights.items()}
             for i in part:
-                pool, at, (classes, x, h) = net.pooled(data[i])
+                pool, at, (read, x, h) = net.pooled(data[i])
                 p = 1 / (1 + np.exp(-np.clip(pool @ net.out + net.shift[0], -30, 30)))
                 d = (p - y[i]) / len(part)
                 grad["out"] += d * pool
@@ -162,8 +113,7 @@ def train(texts: list[bytes], labels: list[int], epochs: int = 12, rate: float =
                 np.add.at(dh, (where.reshape(rows.shape), cols), g)
                 grad["filters"] += x[taken].T @ dh
                 grad["bias"] += dh.sum(axis=0)
-                dx = (dh @ net.filters.T).reshape(-1, WIDTH, CHANNELS)[..., :EMBED]
-                np.add.at(grad["embed"], classes[taken], dx)
+                np.add.at(grad["embed"], read[taken], (dh @ net.filters.T).reshape(-1, WIDTH, EMBED))
             step += 1
             slow = rate * (1 - epoch / epochs)
             for k, w in weights.items():
@@ -190,11 +140,19 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     ids = one.where("y = 0").orderBy("__h", "__id").limit(most).unionByName(one.where("y = 1").orderBy("__h", "__id").limit(most))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("__d"), text.alias("text")).where(F.octet_length("text") <= MOST_BYTES)
-    rows = rows.join(F.broadcast(ids), F.col("__d") == F.col("__id")).select("__id", "y", "__h", "text")
-    return rows.toPandas().drop_duplicates("__id").sort_values(["__h", "__id"]).reset_index(drop=True)
+    rows = rows.join(F.broadcast(ids), F.col("__d") == F.col("__id"))
+    # One row an id before anything is collected: of differing texts the least.
+    rows = rows.groupBy("__id", "y", "__h").agg(F.min("text").alias("text"))
+    return rows.toPandas().sort_values(["__h", "__id"]).reset_index(drop=True)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = MOST_LABELLED) -> Network:
+    """The network that ``train`` makes of ``training_rows``: at most ``most`` documents of each label.
+
+    Null labels, labels other than 0 and 1, ids with both labels and held-out ids teach
+    nothing, repeated rows teach once.  Without labels of both kinds every text gets the
+    same score: 0.5 without any, else one near the only label.
+    """
     rows = training_rows(docs, labels, id_col, text_col, label_col, most)
     return train([t.encode() for t in rows["text"]], [int(y) for y in rows["y"]])
 

@@ -60,16 +60,41 @@ def test_blocks_do_not_change_a_score(monkeypatch):
     net = cnn.Network(3)
     texts = [("ab " * 40 + clean() * 30).encode()[: 200 + k] for k in range(0, 1200, 37)]
     whole = [net.score(t) for t in texts]
-    monkeypatch.setattr(cnn, "BLOCK", 128)
+    monkeypatch.setattr(cnn, "BLOCK", 256)
     assert [net.score(t) for t in texts] == pytest.approx(whole, abs=1e-5)
 
 
-def test_repeats_equal_brute_force():
-    text = b"abababababab xyz xyz xyz xyz xyz the end the end" + bytes(range(60))
-    got = cnn.repeats(np.frombuffer(text, dtype=np.uint8))
-    for i in range(len(text)):
-        want = any(i - lag - cnn.WIDTH + 1 >= 0 and text[i - cnn.WIDTH + 1 : i + 1] == text[i - lag - cnn.WIDTH + 1 : i - lag + 1] for lag in cnn.LAGS)
-        assert got[i] == want, i
+@pytest.mark.parametrize("n", [0, 1, 7, 8, 9, 163, 164, 165, 168, 1000])
+def test_score_equals_a_forward_pass_by_hand(n):
+    net = cnn.Network(5)
+    net.bias[:] = np.linspace(-0.5, 0.5, cnn.FILTERS)
+    text = bytes(RNG.randrange(256) for _ in range(n))
+    data = list(text)
+    while len(data) < cnn.STRIDE * (cnn.SPAN - 1) + cnn.WIDTH or (len(data) - cnn.WIDTH) % cnn.STRIDE:
+        data.append(0)
+    fired = []
+    for at in range(0, len(data) - cnn.WIDTH + 1, cnn.STRIDE):
+        x = [net.embed[data[at + k]][e] for k in range(cnn.WIDTH) for e in range(cnn.EMBED)]
+        fired.append([max(0.0, sum(float(a) * float(b) for a, b in zip(x, net.filters[:, f], strict=True)) + float(net.bias[f])) for f in range(cnn.FILTERS)])
+    logit = float(net.shift[0])
+    for f in range(cnn.FILTERS):
+        logit += float(net.out[f]) * max(sum(r[f] for r in fired[at : at + cnn.SPAN]) / cnn.SPAN for at in range(len(fired) - cnn.SPAN + 1))
+    assert net.score(text) == pytest.approx(1 / (1 + np.exp(-logit)), abs=1e-5)
+
+
+def test_every_byte_has_an_embedding_of_its_own():
+    assert cnn.Network().embed.shape == (256, cnn.EMBED)
+    assert len(np.unique(cnn.Network().embed, axis=0)) == 256
+
+
+def test_repeated_rows_teach_once_and_are_scored_each(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0)], "doc_id long, quality int")
+    got = cnn.training_rows(docs, labels, "doc_id", "text", "quality", 10)
+    assert sorted(zip(got["__id"], got["text"], strict=True)) == [(1, "a"), (2, "")]
+    out = cnn.score(docs, cnn.Network()).collect()
+    assert sorted(r.text or "" for r in out) == ["", "a", "a", "b"]
+    assert len({r.score for r in out if r.text == "a"}) == 1
 
 
 def test_training_lowers_the_loss():
