@@ -16,27 +16,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import let
+
 CALL = "array<struct<id:string,name:string,arguments:string,after:array<string>>>"
 #: JSON types by the leading word of a variant's schema.
 TYPES = {"STRING": "string", "BIGINT": "integer", "DECIMAL": "number", "DOUBLE": "number", "BOOLEAN": "boolean", "ARRAY": "array", "OBJECT": "object", "VOID": "null"}
 
 
 def _levels(calls: Column) -> Column:
-    """For each call of a message the longest chain of its calls before it; null on or behind a cycle."""
-    n = F.size(calls)
-    at = F.sequence(F.lit(0), n - 1)
+    """For each call of a message the longest chain of its calls before it; null on or behind a cycle.
+
+    The calls that each call names are found once; levels then rise along these edges,
+    in as many rounds as the longest chain has calls.
+    """
+
+    def of(before: Column) -> Column:
+        n = F.size(before)
+        zero = F.struct(F.array_repeat(F.lit(0), n).alias("levels"), F.lit(True).alias("moved"))
 
-    def relax(levels: Column, _: Column) -> Column:
-        def level(call: Column) -> Column:
-            before = F.filter(at, lambda j: F.array_contains(call["after"], F.get(calls, j)["id"]))
-            return F.coalesce(F.array_max(F.transform(before, lambda j: F.get(levels, j) + 1)), F.lit(0))
+        def relax(acc: Column, _: Column) -> Column:
+            rise = lambda js: F.coalesce(F.array_max(F.transform(js, lambda j: F.get(acc["levels"], j) + 1)), F.lit(0))
+            now = lambda levels: F.struct(levels.alias("levels"), (levels != acc["levels"]).alias("moved"))
+            return F.when(acc["moved"], let(F.transform(before, rise), now)).otherwise(acc)
 
-        return F.transform(calls, level)
+        return F.aggregate(F.sequence(F.lit(0), n), zero, relax, lambda acc: F.transform(acc["levels"], lambda x: F.when(x < n, x)))
 
-    zero = F.array_repeat(F.lit(0), n)
-    once = F.aggregate(F.sequence(F.lit(1), n), zero, relax)
-    chained = F.exists(calls, lambda c: F.exists(calls, lambda d: F.coalesce(F.array_contains(c["after"], d["id"]), F.lit(False))))
-    return F.transform(F.when(chained, once).otherwise(zero), lambda x: F.when(x < n, x))
+    def edges(ids: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(ids) - 1)
+        return F.transform(calls, lambda c: F.filter(at, lambda j: F.array_contains(c["after"], F.get(ids, j))))
+
+    return let(let(F.transform(calls, lambda c: c["id"]), edges), of)
 
 
 def calls_of(messages: DataFrame) -> DataFrame:
@@ -127,50 +136,96 @@ def link(calls: DataFrame, results: DataFrame, tools: DataFrame) -> DataFrame:
     )
 
 
-def turns_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Plain chats read as calls: a user turn asks, the assistant turn that follows it answers.
+def _sentences(text: Column) -> Column:
+    """The sentences of ``text`` in order: what stands between full stops that white space or the end follows."""
+    return F.filter(F.transform(F.split(text, r"\.(?:\s+|\z)"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))), lambda s: s != "")
+
+
+def turns_as_messages(conversations: DataFrame) -> DataFrame:
+    """Plain chats written as messages with tool calls: ``conv``, ``turn``, ``role``, ``text`` (JSON).
 
-    The call of turn k is ``call_k``; its arguments are the text and its words; it comes
-    after the call that the turn before it answers.
+    Each sentence of a user turn is a call ``turn.place``: a single word is a ``note``,
+    a sentence with a comma a ``list`` of its parts, any other one a ``say``.  A call comes after
+    a neighbour in its turn that has fewer words; the first also after the first call of
+    the turn before last, where an assistant's turn stands between.  Arguments are left
+    as a careless caller writes them: two parts are one string, the last sentence says so
+    where nobody asks, more than 40 words are not counted.  The sentences of the
+    assistant turn that follows answer the calls of the same places.
     """
-    rows = conversations.select(F.col("conv_id").alias("conv"), "turn", "role", "text")
-    name = lambda t: F.concat(F.lit("call_"), t.cast("string"))
-    words = F.when(F.trim("text") == "", 0).otherwise(F.size(F.split(F.trim("text"), " +"))).cast("long")
+    rows = conversations.select(F.col("conv_id").alias("conv"), "turn", "role", _sentences(F.col("text")).alias("s"))
     answered = rows.where("role = 'assistant'").select("conv", (F.col("turn") + 1).alias("turn"), F.lit(True).alias("follows")).distinct()
     asks = rows.where("role = 'user'").join(answered.hint("shuffle_hash"), ["conv", "turn"], "left")
-    after = F.when(F.col("follows"), F.array(name(F.col("turn") - 2))).otherwise(F.array().cast("array<string>"))
-    calls = asks.select(
-        "conv", name(F.col("turn")).alias("call_id"), "turn", F.lit(0).alias("pos"), F.lit(0).alias("level"), F.lit("ask").alias("name"),
-        F.to_json(F.struct("text", words.alias("words"))).alias("arguments"), after.alias("after"),
+    name = lambda turn, place: F.concat_ws(".", turn.cast("string"), place.cast("string"))
+    words = lambda s: F.size(F.split(s, " "))
+
+    def call(s: Column, i: Column) -> Column:
+        fewer = lambda j: F.when(words(F.get("s", j)) < words(s), name(F.col("turn"), j))
+        earlier = F.when((i == 0) & F.col("follows"), name(F.col("turn") - 2, F.lit(0)))
+        parts = F.split(s, ", ?")
+        counted = F.when(words(s) <= 40, words(s)).alias("words")
+        last = F.when(i == F.size("s") - 1, F.lit(True)).alias("last")
+        text = s.alias("text")
+        told = (
+            F.when(F.size(parts) > 2, F.to_json(F.struct(parts.alias("parts"), text, counted)))
+            .when(F.size(parts) == 2, F.to_json(F.struct(F.array_join(parts, ", ").alias("parts"), text, counted)))
+            .otherwise(F.to_json(F.struct(last, text, counted)))
+        )
+        tool = F.when(words(s) == 1, "note").when(F.size(parts) > 1, "list").otherwise("say")
+        after = F.array_compact(F.array(earlier, fewer(i - 1), fewer(i + 1)))
+        return F.struct(name(F.col("turn"), i).alias("id"), tool.alias("name"), told.alias("arguments"), after.alias("after"))
+
+    calls = asks.where(F.size("s") > 0).select(
+        "conv", "turn", F.lit("assistant").alias("role"), F.to_json(F.struct(F.transform("s", call).alias("tool_calls"))).alias("text")
     )
-    results = rows.where("role = 'assistant'").select("conv", name(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
-    return calls, results
+    told = rows.where("role = 'assistant'").select("conv", "turn", F.posexplode("s").alias("i", "content"))
+    answer = F.to_json(F.struct(name(F.col("turn") - 1, F.col("i")).alias("tool_call_id"), "content"))
+    return calls.unionByName(told.select("conv", "turn", F.lit("tool").alias("role"), answer.alias("text")))
 
 
-def ask_tool(spark) -> DataFrame:
-    """The schema of the calls that ``turns_as_calls`` makes."""
-    fields = "array(named_struct('field', 'text', 'type', 'string', 'required', true), named_struct('field', 'words', 'type', 'integer', 'required', true))"
-    return spark.range(1).select(F.lit("ask").alias("name"), F.expr(fields).alias("fields"))
+def sentence_tools(spark) -> DataFrame:
+    """The schemas of the tools that ``turns_as_messages`` calls; nobody knows a ``note``."""
+    field = lambda name, kind: f"named_struct('field', '{name}', 'type', '{kind}', 'required', true)"
+    plain = f"{field('text', 'string')}, {field('words', 'integer')}"
+    return spark.sql(f"SELECT * FROM VALUES ('say', array({plain})), ('list', array({plain}, {field('parts', 'array')})) AS t(name, fields)")
 
 
 #: DuckDB SQL of the registered query.
 ORACLE_SQL = r"""
-WITH c AS (
-  SELECT u.conv_id, 'call_' || u.turn AS call_id, u.turn, u.text,
-         CASE WHEN EXISTS (SELECT 1 FROM conversations a WHERE a.role = 'assistant' AND a.conv_id = u.conv_id AND a.turn + 1 = u.turn) THEN ['call_' || (u.turn - 2)] ELSE []::VARCHAR[] END AS after
-  FROM conversations u WHERE u.role = 'user'),
-r AS (SELECT conv_id, 'call_' || (turn - 1) AS call_id, turn, text FROM conversations WHERE role = 'assistant'),
+WITH RECURSIVE t AS (
+  SELECT conv_id, turn, role, list_filter(list_transform(string_split_regex(coalesce(text, ''), '\.(?:\s+|\z)'), lambda s: trim(regexp_replace(s, '\s+', ' ', 'g'))), lambda s: s <> '') AS s FROM conversations),
+u AS (SELECT conv_id, turn, s, len(s) AS n, unnest(range(1, len(s) + 1)) AS i FROM t WHERE role = 'user'),
+w AS (SELECT conv_id, turn, n, i, s[i] AS text, len(string_split(s[i], ' ')) AS words, string_split_regex(s[i], ', ?') AS parts FROM u),
+c AS (
+  SELECT w.*, turn || '.' || (i - 1) AS call_id,
+         list_filter([CASE WHEN i = 1 AND EXISTS (SELECT 1 FROM conversations a WHERE a.role = 'assistant' AND a.conv_id = w.conv_id AND a.turn + 1 = w.turn) THEN (turn - 2) || '.0' END,
+          CASE WHEN lag(words) OVER near < words THEN turn || '.' || (i - 2) END, CASE WHEN lead(words) OVER near < words THEN turn || '.' || i END], lambda x: x IS NOT NULL) AS after
+  FROM w WINDOW near AS (PARTITION BY conv_id, turn ORDER BY i)),
+edge AS (
+  SELECT a.conv_id, a.turn, a.i, b.i AS j FROM w a JOIN w b ON a.conv_id = b.conv_id AND a.turn = b.turn AND abs(a.i - b.i) = 1 AND b.words < a.words),
+walk(conv_id, turn, i, long) AS (
+  SELECT conv_id, turn, i, 0 FROM w UNION SELECT edge.conv_id, edge.turn, edge.i, walk.long + 1 FROM walk JOIN edge ON edge.conv_id = walk.conv_id AND edge.turn = walk.turn AND edge.j = walk.i),
+level AS (SELECT conv_id, turn, i, max(long) AS level FROM walk GROUP BY ALL),
+r AS (SELECT conv_id, (turn - 1) || '.' || (i - 1) AS call_id, turn, s[i] AS content FROM (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM t WHERE role = 'assistant')),
 late AS (
-  SELECT x.conv_id, x.call_id, count(*) FILTER (d.turn IS NULL OR d.turn >= x.turn) AS n
-  FROM (SELECT conv_id, call_id, turn, unnest(after) AS dep FROM c) x LEFT JOIN c d ON d.conv_id = x.conv_id AND d.call_id = x.dep GROUP BY ALL)
-SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, coalesce(c.turn, r.turn) AS turn,
-       CASE WHEN c.turn IS NOT NULL THEN 0 END AS level, CASE WHEN c.turn IS NOT NULL THEN 0 END AS pos,
-       CASE WHEN c.turn IS NULL THEN 'orphan' WHEN r.turn IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
-       (c.turn IS NOT NULL)::INT::BIGINT AS n_calls, (r.turn IS NOT NULL)::INT::BIGINT AS n_results,
-       coalesce(r.turn <= c.turn, false) AS early, coalesce(late.n, 0)::BIGINT AS order_errors,
-       CASE WHEN c.turn IS NOT NULL THEN '' END AS errors,
-       CASE WHEN c.turn IS NOT NULL THEN json_object('after', c.after, 'arguments', json_object('text', c.text, 'words', CASE WHEN trim(c.text) = '' THEN 0 ELSE len(string_split_regex(trim(c.text), ' +')) END),
-         'call_id', c.call_id, 'name', 'ask', 'result', r.text, 'result_turn', r.turn, 'turn', c.turn)::VARCHAR END AS json
-FROM c FULL JOIN r ON c.conv_id = r.conv_id AND c.call_id = r.call_id
-LEFT JOIN late ON late.conv_id = c.conv_id AND late.call_id = c.call_id
+  SELECT x.conv_id, x.call_id, count(*) AS n FROM (SELECT conv_id, call_id, turn, unnest(after) AS dep FROM c) x
+  WHERE split_part(dep, '.', 1)::BIGINT <> turn AND NOT EXISTS (SELECT 1 FROM c d WHERE d.conv_id = x.conv_id AND d.call_id = x.dep) GROUP BY ALL),
+told AS (
+  SELECT c.*, level,
+         CASE WHEN words = 1 THEN 'note' WHEN len(parts) > 1 THEN 'list' ELSE 'say' END AS name,
+         '{' || array_to_string(list_filter([
+           CASE WHEN len(parts) = 1 AND i = n THEN '"last":true' END,
+           CASE WHEN len(parts) > 2 THEN '"parts":' || to_json(parts) WHEN len(parts) = 2 THEN '"parts":' || to_json(array_to_string(parts, ', ')) END,
+           '"text":' || to_json(text), CASE WHEN words <= 40 THEN '"words":' || words END], lambda x: x IS NOT NULL), ',') || '}' AS arguments,
+         list_filter([CASE WHEN words > 40 THEN 'missing words' END, CASE WHEN len(parts) = 2 THEN 'type parts' END, CASE WHEN len(parts) = 1 AND i = n THEN 'unexpected last' END], lambda x: x IS NOT NULL) AS wrong
+  FROM c JOIN level USING (conv_id, turn, i))
+SELECT coalesce(told.conv_id, r.conv_id) AS conv_id, coalesce(told.call_id, r.call_id) AS call_id, coalesce(told.turn, r.turn) AS turn,
+       level::INT AS level, (i - 1)::INT AS pos,
+       CASE WHEN told.turn IS NULL THEN 'orphan' WHEN r.turn IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
+       (told.turn IS NOT NULL)::INT::BIGINT AS n_calls, (r.turn IS NOT NULL)::INT::BIGINT AS n_results,
+       coalesce(r.turn <= told.turn, false) AS early, coalesce(late.n, 0)::BIGINT AS order_errors,
+       CASE WHEN name = 'note' THEN 'unknown tool' WHEN told.turn IS NOT NULL THEN array_to_string(wrong, ',') END AS errors,
+       CASE WHEN told.turn IS NOT NULL THEN '{"after":' || to_json(after) || ',"arguments":' || arguments || ',"call_id":' || to_json(told.call_id) || ',"name":"' || name || '","result":' ||
+         coalesce(to_json(r.content)::VARCHAR, 'null') || ',"result_turn":' || coalesce(r.turn::VARCHAR, 'null') || ',"turn":' || told.turn || '}' END AS json
+FROM told FULL JOIN r ON told.conv_id = r.conv_id AND told.call_id = r.call_id
+LEFT JOIN late ON late.conv_id = told.conv_id AND late.call_id = told.call_id
 """

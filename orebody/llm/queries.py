@@ -36,8 +36,9 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls, results = chat_tools.turns_as_calls(_table(spark, sf_dir, "conversations"))
-    return chat_tools.link(calls, results, chat_tools.ask_tool(spark)).withColumnRenamed("conv", "conv_id")
+    messages = chat_tools.turns_as_messages(_table(spark, sf_dir, "conversations"))
+    found = chat_tools.link(chat_tools.calls_of(messages), chat_tools.results_of(messages), chat_tools.sentence_tools(spark))
+    return found.withColumnRenamed("conv", "conv_id")
 
 
 def op5_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import let
+
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
@@ -50,11 +52,6 @@ BLOCK = 128
 SPAN = "array<struct<start:int,kind:int,end:int,body:string>>"
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value``, which is computed once however often ``body`` names it, also in its lambdas."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def _before(items: Column, forward: Callable[[Column, Column], Column]) -> Column:
     """For each of ``items`` a struct of what ``forward`` has come to before it (``at``, 0 at first) and itself (``x``)."""
 
@@ -70,7 +67,7 @@ def _before(items: Column, forward: Callable[[Column, Column], Column]) -> Colum
         begins = F.aggregate(blocks, zero, step, lambda acc: acc["out"])
         return F.flatten(F.zip_with(blocks, begins, in_block))
 
-    return _let(items, lambda all_: _let(_blocks(all_), in_blocks))
+    return let(items, lambda all_: let(_blocks(all_), in_blocks))
 
 
 def _blocks(items: Column) -> Column:
@@ -111,11 +108,11 @@ def _filled(text: Column, spans: Column, fill: Callable[[Column], Column]) -> Co
             return F.array_join(F.transform(told, lambda t: F.concat(gap(t), fill(t))), "")
 
         # The part is cut out once: a substring is found by counting from the front.
-        return F.when(F.size(told) > 0, _let(F.substring(text, begin + 1, stop - begin), pieces)).otherwise("")
+        return F.when(F.size(told) > 0, let(F.substring(text, begin + 1, stop - begin), pieces)).otherwise("")
 
     told = _before(spans, lambda at, x: F.greatest(at, x["end"]))
     rest = F.substring(text, F.array_max(F.transform(spans, lambda x: x["end"])) + 1, F.length(text))
-    whole = F.concat(F.array_join(F.transform(_let(told, _blocks), block), ""), rest)
+    whole = F.concat(F.array_join(F.transform(let(told, _blocks), block), ""), rest)
     return F.when(F.size(spans) > 0, whole).otherwise(text)
 
 
@@ -143,7 +140,7 @@ def _is_secret(run: Column) -> Column:
     for alphabet, bits in reversed(CLASSES[:-1]):
         least = F.when(run.rlike(alphabet), F.lit(bits)).otherwise(least)
     allowed = F.length(run) - F.length(F.regexp_replace(run, ALLOW, ""))
-    mixed = run.rlike("[0-9]") & run.rlike("[A-Za-z]") & (~run.rlike(ALLOW) | (allowed * ALLOW_SHARE < F.length(run)))
+    mixed = run.rlike("[0-9]") & run.rlike("[A-Za-z]") & (allowed * ALLOW_SHARE < F.length(run))
     return F.when(mixed, highest_entropy(run) >= least).otherwise(False)
 
 
@@ -167,10 +164,10 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     blank = lambda t: F.repeat(F.lit(" "), F.greatest(t["x"]["end"] - F.greatest(t["at"], t["x"]["start"]), F.lit(0)))
 
     def more(base: Column) -> Column:
-        runs = _let(_filled(text, base, blank), lambda left: _spans(left, RUN, "entropy"))
-        return F.filter(runs, lambda r: _let(_stem(r["body"]), _is_secret))
+        runs = let(_filled(text, base, blank), lambda left: _spans(left, RUN, "entropy"))
+        return F.filter(runs, lambda r: let(_stem(r["body"]), _is_secret))
 
-    both = _let(base, lambda base: F.struct(base.alias("base"), F.array_sort(F.concat(base, more(base))).alias("spans")))
+    both = let(base, lambda base: F.struct(base.alias("base"), F.array_sort(F.concat(base, more(base))).alias("spans")))
     found = docs.withColumn("__spans", both)
     return found.withColumn("__base", F.col("__spans.base")).withColumn("__spans", F.col("__spans.spans"))
 

@@ -1,9 +1,11 @@
 import json
 import re
 
+import duckdb
 import pytest
 
 from orebody.llm import chat_tools as chat
+from orebody.llm.queries import op4_chat_tools
 
 FIELDS = "array<struct<field:string,type:string,required:boolean>>"
 
@@ -76,5 +78,35 @@ def test_repeats_nulls_and_empty(spark, tools):
 
 def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, 0, "user", "hi")], "conv_id long, turn long, role string, text string")
-    plan = chat.link(*chat.turns_as_calls(df), chat.ask_tool(spark))._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Arrow|Pandas", plan)
+    messages = chat.turns_as_messages(df)
+    plan = chat.link(chat.calls_of(messages), chat.results_of(messages), chat.sentence_tools(spark))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Pandas|NestedLoop|Cartesian", plan)
+
+
+def test_sql_agrees(spark):
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{folder}/conversations.parquet'")
+    cur = con.execute(chat.ORACLE_SQL)
+    names = [c[0] for c in cur.description]
+    want = sorted(map(str, cur.fetchall()))
+    mine = op4_chat_tools(spark, folder)
+    assert sorted(names) == sorted(mine.columns)
+    rows = mine.select(*names).collect()
+    assert sorted(str(tuple(r)) for r in rows) == want
+    assert len({r.errors for r in rows}) > 3 and len({r.level for r in rows}) > 2 and len({r.status for r in rows}) == 3
+
+
+def test_a_long_chain_and_very_long_texts(spark, tools):
+    calls = [call(f"c{i}", after=[f"c{i + 1}"], q="é" * 1000) for i in range(150)]
+    got = run(spark, tools, [said(1, *calls), told(2, "c3", "x" * 2_000_000)])
+    assert [got[f"c{i}"].level for i in range(150)] == list(range(149, -1, -1))
+    assert {r.order_errors for i, r in got.items()} == {0} | ({1} if got["c149"].order_errors else set())
+    assert len(got["c3"].json) > 2_000_000
+
+
+def test_a_long_conversation_and_columns_of_other_names(spark, tools):
+    rows = [(1, 2 * i, "assistant", json.dumps({"tool_calls": [call(f"c{i}", after=[f"c{i - 1}"] if i else [], q="x")]}), "x", 0) for i in range(2000)]
+    df = spark.createDataFrame(rows, "conv long, turn long, role string, text string, level string, name int")
+    out = chat.link(chat.calls_of(df), chat.results_of(df), tools).collect()
+    assert len(out) == 2000 and {r.order_errors for r in out} == {0} and {r.errors for r in out} == {""}
