@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_tools, cube_mix, decontaminate, embedding_dups, html_extract, license_scan, quality_cnn, secret_scan, simhash, token_counts
+from .storage import shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +28,9 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = _table(spark, sf_dir, "documents")
-    counts = token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+    # A cache of a fixed name: what an earlier run over the same shared folder has counted is not encoded again.
+    cache = f"{shared_dir(spark)}/orebody-cache/token_counts"
+    counts = token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), cache, limit=1024)
     return counts.withColumnRenamed("id", "doc_id")
 
 

@@ -1,34 +1,16 @@
 """Where operators keep what must outlive an executor.
 
-Lineage is cut either with ``checkpoint()`` or with a Parquet table, both in the
-folder that the session names in ``spark.checkpoint.dir``.  Only where that is
-unset (tests, a laptop) a fresh local folder is taken.
+Lineage is cut either with ``checkpoint()`` or with a Parquet table, both in the shared
+folder of the session (``orebody.session.shared_dir``).
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from orebody.session import new_path, shared_dir
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; set to a fresh one where unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if found:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(found)
-        return found.rstrip("/")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return context.getCheckpointDir().rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing uses yet."""
-    return f"{shared_dir(spark)}/orebody-{uuid.uuid4().hex}/{name}"
+__all__ = ["cut", "new_path", "shared_dir", "stored"]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

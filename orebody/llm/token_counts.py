@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .storage import new_path, stored
 
 CACHE_SCHEMA = "content binary, tokenizer binary, n_tokens long"
-#: Words whose counts a worker keeps; beyond that it starts anew.
-MEMO_WORDS = 300_000
+#: Characters of words whose counts a worker keeps, and of the longest such word; beyond the first it starts anew.
+MEMO_CHARS, MEMO_WORD = 4_000_000, 100
 
 #: Characters of text that are encoded at once.
 SLICE_CHARS = 1_000_000
@@ -77,6 +77,7 @@ class Counter:
         added = [t["content"] for t in spec.get("added_tokens", [])]
         self._added = re.compile("|".join(map(re.escape, added))) if added else None
         self._memo: dict[str, int] = {}
+        self._held = 0
 
     def __call__(self, texts: list[str]) -> list[int]:
         out: list[int] = []
@@ -91,11 +92,19 @@ class Counter:
         out = dict(zip(odd, self._whole([texts[i] for i in odd]), strict=True)) if odd else {}
         words = {i: _WORDS.findall(t) for i, t in enumerate(texts) if i not in out}
         memo = self._memo
-        if len(memo) > MEMO_WORDS:
+        if self._held > MEMO_CHARS:
             memo.clear()
+            self._held = 0
         new = list(set().union(*words.values()).difference(memo)) if words else []
-        memo.update(zip(new, self._whole(new), strict=True))
-        return [out[i] if i in out else sum(map(memo.__getitem__, words[i])) for i in range(len(texts))]
+        long = {}
+        for w, n in zip(new, self._whole(new), strict=True):
+            if len(w) > MEMO_WORD:
+                long[w] = n
+            else:
+                memo[w] = n
+                self._held += len(w)
+        count = (lambda w: long[w] if w in long else memo[w]) if long else memo.__getitem__
+        return [out[i] if i in out else sum(map(count, words[i])) for i in range(len(texts))]
 
 
 def _slices(texts: list[str]) -> Iterator[list[str]]:

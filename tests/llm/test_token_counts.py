@@ -71,3 +71,25 @@ def test_stored_counts_are_believed(spark, tmp_path):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, n_tokens int, content int")
     assert count_tokens(docs, PATH).count() == 0
+
+
+def test_the_query_keeps_a_cache_of_a_fixed_name(spark):
+    from orebody.llm.queries import op2_token_counts
+    from orebody.llm.storage import shared_dir
+
+    cache = f"{shared_dir(spark)}/orebody-cache/token_counts"
+    first = sorted(map(tuple, op2_token_counts(spark, "/root/testdata/sf0.001").collect()), key=str)
+    held = spark.read.parquet(cache).count()
+    assert sorted(map(tuple, op2_token_counts(spark, "/root/testdata/sf0.001").collect()), key=str) == first
+    assert spark.read.parquet(cache).count() == held > 0
+
+
+def test_the_memo_is_bounded_by_characters(monkeypatch):
+    from orebody.llm import token_counts
+
+    monkeypatch.setattr(token_counts, "MEMO_CHARS", 100)
+    count = Counter(PATH)
+    texts = ["x" * 50_000 + " ab", "y" * 500 + " " + "x" * 50_000] + [f"word{i} other{i}" for i in range(200)]
+    for t in texts * 2:
+        assert count([t]) == plain([t])
+    assert sum(map(len, count._memo)) < 300
