@@ -9,13 +9,33 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a fresh one of our own only where that is unset."""
+    """The folder of ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session gets a fresh folder of its own; on a cluster no
+    local folder would do, as each executor would write to its own disk: that raises.
+    """
     context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="spark-")
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="spark-"))
-    return (found or context.getCheckpointDir()).rstrip("/")
+        context.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def _run_dir(spark: SparkSession) -> str:
+    """The folder of what this session keeps; the same for its whole life."""
+    return f"{shared_dir(spark)}/orebody-{spark.sparkContext.applicationId}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/orebody-{uuid.uuid4().hex}/{name}"
+    """A path in the shared folder that nothing uses yet."""
+    return f"{_run_dir(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete every table that operators of this session have stored; frames made from them can no longer be read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_run_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
