@@ -6,6 +6,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import date_key, label_of, name_key, tokens, value_of
+from ..session import stored
+
+
+def term_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc``, *keep, ``len``, ``words`` of each document, written once: what postings and statistics are read from.
+
+    Documents without tokens have length 0 and no words.
+    """
+    words = docs.select(F.col(id_col).alias("doc"), *keep, F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>")).alias("words"))
+    return stored(words.withColumn("len", F.size("words")), "terms")
+
+
+def index_postings(index: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """``doc``, the kept columns, ``term``, ``tf``, ``len`` of ``index``; with ``terms`` (distinct ``term``) of those only.
+
+    Words are cut by the semi-join before any of them is shuffled or counted.
+    """
+    keys = [c for c in index.columns if c != "words"]
+    each = index.select(*keys, F.explode("words").alias("term"))
+    if terms is not None:
+        each = each.join(terms, "term", "left_semi")
+    return each.groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+
+
+def index_collection(index: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``n`` and ``avg_len`` of the documents of ``index`` that have tokens."""
+    return collection(index.select("doc", *by, "len").where("len > 0"), by)
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import overlap, tokens
-from .index import collection, document_frequency, dot, field_lengths, lengths, postings
+from ..session import stored
+from .index import document_frequency, index_collection, index_postings, term_index
 
 
 def top(scored: DataFrame, k: int, by: str = "query", score: str = "score", tie: str = "doc") -> DataFrame:
@@ -34,18 +35,19 @@ def _bm25(tf: Column, length: Column, df: Column, n: Column, avg_len: Column, k1
     return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avg_len))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, id_col: str = "doc_id", text_col: str = "text", within: str | None = None) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, id_col: str = "doc_id", text_col: str = "text", within: str | None = None, index: DataFrame | None = None) -> DataFrame:
     """``query``, ``doc``, ``score``, ``rank`` by BM25; with ``within``, statistics are those of that column's value.
 
-    Only terms that a query has are counted through: postings are cut by a semi-join before
-    any statistics are joined.
+    Texts are read once, into ``index`` (made by ``term_index`` where not given).  Postings
+    are those of terms that a query has; they are written before document frequencies are
+    counted, so the join of a frequent word stands on its own and can be split.
     """
     keep = (within,) if within else ()
+    index = term_index(docs, id_col, text_col, keep) if index is None else index
     terms = query_terms(queries)
-    posts = postings(docs, id_col, text_col, keep).join(terms.select("term").distinct(), "term", "left_semi")
-    stats = collection(lengths(docs, id_col, text_col, keep), keep)
-    df = document_frequency(posts, keep)
-    full = posts.join(df, [*keep, "term"])
+    posts = stored(index_postings(index.select("doc", *keep, "len", "words"), terms.select("term").distinct()), "postings")
+    stats = index_collection(index, keep)
+    full = posts.join(document_frequency(posts, keep), [*keep, "term"])
     full = full.join(F.broadcast(stats), within) if within else full.crossJoin(F.broadcast(stats))
     weight = _bm25(F.col("tf"), F.col("len"), F.col("df"), F.col("n"), F.col("avg_len"), k1, b)
     weighed = full.select("doc", *keep, "term", weight.alias("w"))
@@ -60,56 +62,86 @@ def bm25f(fields: DataFrame, queries: DataFrame, weights: dict[str, float], k: i
     """``query``, ``doc``, ``score``, ``fields``, ``rank`` over ``fields`` (work, field, text).
 
     Field frequencies are normalised by length, weighted, added and saturated once;
-    document frequency counts works; every work counts, even one without a token.
+    document frequency counts works; every work counts, even one without a token.  Which
+    fields matched is one bit each until the best are known.
     """
     if k1 <= 0 or not 0 <= b <= 1 or any(w <= 0 for w in weights.values()):
         raise ValueError("k1 and weights must be positive, b between 0 and 1")
     terms = query_terms(queries)
-    table = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
-    words = fields.where(F.col("field").isin(*weights)).select("work", "field", tokens(F.col("text")).alias("w"))
-    each = words.select("work", "field", F.size("w").alias("len"), F.explode("w").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
-    tf = each.groupBy("work", "field", "len", "term").agg(F.count("*").alias("tf"))
-    stats = field_lengths(fields)
+    names = sorted(weights)
+    table = F.create_map(*[F.lit(x) for f in names for x in (f, F.struct(F.lit(float(weights[f])).alias("w"), F.lit(1 << names.index(f)).alias("bit")))])
+    index = stored(fields.select("work", "field", tokens(F.col("text")).alias("words")), "fields")
+    words = index.where(F.col("field").isin(*names)).select("work", "field", F.size("words").alias("len"), F.explode("words").alias("term"))
+    tf = words.join(terms.select("term").distinct(), "term", "left_semi").groupBy("work", "field", "len", "term").agg(F.count("*").alias("tf"))
+    n = index.agg(F.count_distinct("work").alias("n"))
+    stats = index.groupBy("field").agg(F.sum(F.size("words")).alias("total")).crossJoin(F.broadcast(n)).select("field", (F.col("total") / F.col("n")).alias("avg_len"), "n")
     norm = F.when(F.col("avg_len") > 0, 1 - b + b * F.col("len") / F.col("avg_len")).otherwise(1.0)
-    part = tf.join(F.broadcast(stats), "field").select("work", "term", "field", "n", (F.element_at(table, F.col("field")) * F.col("tf") / norm).alias("x"))
-    per = part.groupBy("work", "term", "n").agg(F.sum("x").alias("x"), F.collect_set("field").alias("f"))
+    known = F.element_at(table, F.col("field"))
+    part = tf.join(F.broadcast(stats), "field").select("work", "term", "n", known["bit"].alias("bit"), (known["w"] * F.col("tf") / norm).alias("x"))
+    per = stored(part.groupBy("work", "term", "n").agg(F.sum("x").alias("x"), F.bit_or("bit").alias("bits")), "weights")
     df = per.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = per.join(df, "term").select("work", "term", "f", (idf * F.col("x") * (k1 + 1) / (F.col("x") + k1)).alias("w"))
-    found = terms.join(weighed, "term").groupBy("query", F.col("work").alias("doc")).agg(
-        F.round(F.sum(F.col("qtf") * F.col("w")), 6).alias("score"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("f")))).alias("fields")
-    )
-    return top(found, k)
+    weighed = per.join(df, "term").select("work", "term", "bits", (idf * F.col("x") * (k1 + 1) / (F.col("x") + k1)).alias("w"))
+    found = terms.join(weighed, "term").groupBy("query", F.col("work").alias("doc")).agg(F.round(F.sum(F.col("qtf") * F.col("w")), 6).alias("score"), F.bit_or("bits").alias("bits"))
+    matched = F.array_compact(F.array(*[F.when(F.col("bits").bitwiseAND(1 << i) != 0, F.lit(f)) for i, f in enumerate(names)]))
+    return top(found, k).select("query", "doc", "score", matched.alias("fields"), "rank")
 
 
-def cosine_top(vectors: DataFrame, queries: DataFrame, k: int = 10, most: int = 4096) -> DataFrame:
-    """Exact nearest vectors: ``query``, ``doc``, ``score``, ``rank`` for unit vectors (id, vec) against (query, vec).
+def clean_vectors(vectors: DataFrame, column: str = "vec") -> DataFrame:
+    """``vectors`` as arrays of doubles, without those that are null, empty or hold a null or non-finite component."""
+    vec = F.col(column).cast("array<double>")
+    finite = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return vectors.withColumn(column, vec).where(F.col(column).isNotNull() & (F.size(column) > 0) & finite)
+
+
+def vector_scores(vectors: DataFrame, queries: DataFrame, k: int | None = None, most: int = 4096) -> DataFrame:
+    """``query``, ``doc``, ``score``: dot products, to six places, of vectors (id, vec) and queries (query, vec) of one length.
 
-    Up to ``most`` queries are broadcast as one matrix: each Arrow batch of vectors is
-    multiplied with it and hands on each query's ``k`` best, ties included, so little is
-    shuffled.  More queries meet the vectors in a partitioned product.
+    Queries go to the tasks in blocks of about ``most``, dealt by a hash; each Arrow batch of
+    vectors is multiplied with a block as one matrix.  With ``k`` a batch hands on each
+    query's ``k`` best only, ties included, so little is shuffled.  Vectors that are null,
+    empty or hold null or non-finite components take no part.
     """
-    if queries.limit(most + 1).count() > most:
-        pairs = vectors.crossJoin(queries.withColumnRenamed("vec", "qvec"))
-        return top(pairs.select("query", F.col("id").alias("doc"), F.round(dot(F.col("vec"), F.col("qvec")), 6).alias("score")), k)
-    rows = queries.select("query", "vec").collect()
-    held = queries.sparkSession.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], dtype=float)))
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, matrix = held.value
+    asked = clean_vectors(queries.select("query", "vec"))
+    blocks = max(-(-asked.count() // max(most, 1)), 1)
+    kinds = dict(queries.dtypes)["query"], dict(vectors.dtypes)["id"]
+    rows = clean_vectors(vectors.select("id", "vec"))
+    out = None
+    for b in range(blocks):
+        mine = asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).collect()
+        by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size in {len(r.vec) for r in mine}:
+            some = [r for r in mine if len(r.vec) == size]
+            by_size[size] = np.array([r.query for r in some]), np.array([r.vec for r in some])
+        part = rows.mapInArrow(_products(queries.sparkSession.sparkContext.broadcast(by_size), k), f"query {kinds[0]}, doc {kinds[1]}, score double")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _products(held, k: int | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows or not names:
-                continue
-            ids = batch.column(0).to_numpy()
-            rows_ = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
-            scores = np.round(rows_ @ matrix.T, 6)
-            least = np.partition(scores, -k, axis=0)[-k] if len(ids) > k else scores.min(axis=0)
-            doc, query = np.nonzero(scores >= least)
-            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(names)[query]), pa.array(ids[doc]), pa.array(scores[doc, query])], names=["query", "doc", "score"])
+            sizes = batch.column(1).value_lengths().to_numpy() if batch.num_rows else np.array([], dtype=int)
+            for size in np.unique(sizes):
+                if size not in held.value:
+                    continue
+                names, matrix = held.value[size]
+                part = batch.filter(pa.array(sizes == size))
+                ids = part.column(0).to_numpy(zero_copy_only=False)
+                rows = part.column(1).flatten().to_numpy().reshape(part.num_rows, size)
+                # Query blocks of bounded size: the products of a batch never stand in memory all at once.
+                for at in range(0, len(names), 512):
+                    scores = np.round(rows @ matrix[at : at + 512].T, 6)
+                    least = np.partition(scores, -k, axis=0)[-k] if k and len(ids) > k else np.full(scores.shape[1], -np.inf)
+                    doc, query = np.nonzero(scores >= least)
+                    yield pa.RecordBatch.from_arrays([pa.array(names[at + query]), pa.array(ids[doc]), pa.array(scores[doc, query])], names=["query", "doc", "score"])
+
+    return run
 
-    kinds = dict(queries.dtypes)["query"], dict(vectors.dtypes)["id"]
-    found = vectors.select("id", F.col("vec").cast("array<double>").alias("vec")).mapInArrow(best, f"query {kinds[0]}, doc {kinds[1]}, score double")
-    return top(found, k)
+
+def cosine_top(vectors: DataFrame, queries: DataFrame, k: int = 10, most: int = 4096) -> DataFrame:
+    """Exact nearest vectors: ``query``, ``doc``, ``score``, ``rank`` for unit vectors (id, vec) against (query, vec); see ``vector_scores``."""
+    return top(vector_scores(vectors, queries, max(k, 1), most), k)
 
 
 def fuse(lanes: DataFrame, top_k: int = 5, constant: int = 60) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hash_share
+from ..session import shared_dir
 
 
 def allowed(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
@@ -68,17 +69,23 @@ def interactions(actions: DataFrame, last: int = 20) -> DataFrame:
     return moved.withColumn("k", F.row_number().over(Window.partitionBy("session").orderBy(F.desc("id")))).where(F.col("k") <= last).select("session", "id", "action", "item")
 
 
-def retakes(photos: DataFrame, most: int = 1) -> DataFrame:
+def retakes(photos: DataFrame, most: int = 1, max_rounds: int = 40) -> DataFrame:
     """Photos (id, parent, status) with ``retakes``: the parent's count plus one unless the parent failed as a service; ``allowed`` up to ``most``.
 
-    A chain of at most ``most`` + 1 links matters, so that many self-joins follow it.
+    A chain is followed to its end, by pointer jumping: each round every photo looks twice
+    as far up, so a chain of n links takes about log2(n) rounds, each cut by a checkpoint.
+    A parent that is not there ends a chain.  A chain that runs in a circle raises.
     """
-    out = photos.select("id", "parent", "status", F.col("parent").alias("up"), F.lit(0).alias("retakes"))
-    for _ in range(most + 1):
-        p = photos.select(F.col("id").alias("up"), F.col("parent").alias("next"), F.col("status").alias("up_status"))
-        step = F.when(F.col("up_status").isNull() | (F.col("up_status") == "service"), 0).otherwise(1)
-        out = out.join(p, "up", "left").select("id", "parent", "status", F.col("next").alias("up"), (F.col("retakes") + step).alias("retakes"))
-    return out.select("id", "retakes", (F.col("retakes") <= most).alias("allowed"))
+    shared_dir(photos.sparkSession)
+    p = photos.select(F.col("id").alias("up"), F.when(F.col("status") == "service", 0).otherwise(1).alias("step"))
+    now = photos.select("id", F.col("parent").alias("up")).join(p, "up", "left")
+    now = now.select("id", F.when(F.col("step").isNotNull(), F.col("up")).alias("up"), F.coalesce("step", F.lit(0)).cast("long").alias("retakes")).checkpoint()
+    for _ in range(max_rounds):
+        if not now.where("up is not null").limit(1).count():
+            return now.select("id", "retakes", (F.col("retakes") <= most).alias("allowed"))
+        far = now.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("retakes").alias("more"))
+        now = now.join(far, "up", "left").select("id", F.col("next").alias("up"), (F.col("retakes") + F.coalesce("more", F.lit(0))).alias("retakes")).checkpoint()
+    raise ValueError("photos are parents of each other in a circle")
 
 
 def reviewed(runs: DataFrame, reviews: DataFrame, regression_runs: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from ..operators import documents as d
 from ..operators import evidence as e
 from ..operators import index
 from ..operators import visual as v
+from ..operators.retrieve import cosine_top
 from .registry import Tables, query
 
 
@@ -29,9 +30,10 @@ k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS ran
 
 
 def near(t: Tables, k: int = 8):
-    vec = t.embeddings.select(F.col("vec_id").alias("b"), index.unit(F.col("embedding")).alias("vb"))
-    q = vec.where("b % 20 = 0").select(F.col("b").alias("a"), F.col("vb").alias("va"))
-    s = vec.crossJoin(F.broadcast(q)).where("a <> b").select("a", "b", F.round(index.dot(F.col("va"), F.col("vb")), 6).alias("score"))
+    vec = t.embeddings.select(F.col("vec_id").alias("id"), index.unit(F.col("embedding")).alias("vec"))
+    # One more than asked for: the nearest vector of each is itself, or as near.
+    found = cosine_top(vec, vec.where("id % 20 = 0").select(F.col("id").alias("query"), "vec"), k + 1)
+    s = found.where("query <> doc").select(F.col("query").alias("a"), F.col("doc").alias("b"), "score")
     w = Window.partitionBy("a").orderBy(F.desc("score"), "b")
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -57,17 +59,35 @@ def _(t: Tables):
     return d.relations_of(edges, "R", "big").select("l_orderkey", "l_linenumber")
 
 
-@query("l5_near_pairs", "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.95")
+#: Vectors of the users' turns: the hash embedding of their texts, equal texts once.
+def asked_vectors(t: Tables):
+    turns = t.conversations.where("role = 'user'").groupBy("text").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
+    rows = turns.select((F.col("first.conv_id") * 1000 + F.col("first.turn")).alias("doc_id"), "text")
+    cells = index.hash_terms(rows).groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("i", "x"))).alias("m"))
+    at = F.transform(F.sequence(F.lit(0), F.lit(127)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))
+    return cells.select(F.col("doc").alias("id"), at.alias("vec"))
+
+
+TURNS = r"""
+u AS (SELECT conv_id * 1000 + turn AS id, regexp_replace(lower(text), '\s+', '', 'g') AS x FROM (SELECT text, min((conv_id, turn)) AS f, f[1] AS conv_id, f[2] AS turn FROM conversations WHERE role = 'user' GROUP BY text)),
+g AS (SELECT id, unnest(CASE WHEN length(x) > 2 THEN list_prepend(x, list_transform(range(1, length(x)), lambda i: substr(x, i, 2))) ELSE [x] END) AS g FROM u WHERE x <> ''),
+h AS (SELECT id, n, unnest([md5(g), md5(g || ' ')]) AS h FROM (SELECT id, g, count(*) AS n FROM g GROUP BY ALL)),
+c AS (SELECT id, ('0x' || substr(h, 1, 8))::BIGINT % 128 AS i, sum(n * CASE WHEN ('0x' || substr(h, 9, 2))::INT % 2 = 0 THEN 1.0 ELSE -1.0 END) AS s FROM h GROUP BY ALL),
+e AS (SELECT id, list_transform(range(0, 128), lambda k: coalesce(map_from_entries(list((i, s)))[k], 0.0)::DOUBLE) AS v FROM c WHERE s <> 0 GROUP BY id),
+pair AS (SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= 1 - {eps})"""
+
+
+@query("l5_near_pairs", f"WITH {TURNS.format(eps=0.2)} SELECT a, b FROM pair")
 def _(t: Tables):
-    return d.near_pairs(t.embeddings.select(F.col("vec_id").alias("id"), index.unit(F.col("embedding")).alias("vec")), 0.05, bits=8, tables=12)
+    return d.near_pairs(asked_vectors(t), 0.2, recall=0.9999)
 
 
-@query("l5_clusters", "WITH g AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS cluster, count(*) OVER (PARTITION BY text) AS n FROM documents) SELECT doc_id AS node, cluster FROM g WHERE n > 1")
+@query("l5_clusters", f"""WITH RECURSIVE {TURNS.format(eps=0.35)},
+both_ AS (SELECT a, b FROM pair UNION ALL SELECT b, a FROM pair),
+walk(a, b) AS (SELECT a, a FROM both_ UNION SELECT walk.a, both_.b FROM walk JOIN both_ ON both_.a = walk.b)
+SELECT a AS node, min(b) AS cluster FROM walk GROUP BY a""")
 def _(t: Tables):
-    k = t.documents.select("doc_id", F.md5("text").alias("h"))
-    w = Window.partitionBy("h").orderBy("doc_id")
-    chain = k.withColumn("b", F.lag("doc_id").over(w)).where("b is not null").select(F.col("doc_id").alias("a"), "b")
-    return d.clusters(chain)
+    return d.clusters(d.near_pairs(asked_vectors(t), 0.35, recall=0.9999))
 
 
 @query("l6_first_token", "SELECT w[1] AS token, count(*) AS n FROM (SELECT regexp_extract_all(lower(text), '[一-鿿]|[a-z0-9]+') AS w FROM conversations WHERE role = 'user') WHERE len(w) > 0 GROUP BY 1 HAVING count(*) >= 2")
@@ -95,13 +115,12 @@ def _(t: Tables):
 
 @query("l9_merge_proposals", """
 WITH s AS (SELECT s_suppkey AS skill, s_nationkey % 3 AS action, ['p' || (s_nationkey % 4), 'q', 'r' || (s_suppkey % 2)] AS p FROM supplier),
-j AS (SELECT a.skill AS a, b.skill AS b, round(len(list_intersect(a.p, b.p)) / (6 - len(list_intersect(a.p, b.p))), 6) AS jaccard FROM s a JOIN s b ON a.skill < b.skill AND a.action = b.action) SELECT a, b, jaccard FROM j WHERE jaccard > 0.8 AND a % 5 > 0""")
+j AS (SELECT a.skill AS a, b.skill AS b, round(len(list_intersect(a.p, b.p)) / (6 - len(list_intersect(a.p, b.p))), 6) AS jaccard FROM s a JOIN s b ON a.skill < b.skill AND a.action = b.action) SELECT a, b, jaccard FROM j WHERE jaccard > 0.8 AND b <> a + 12""")
 def _(t: Tables):
     n = F.col("s_nationkey")
     pats = F.array(F.concat(F.lit("p"), (n % 4).cast("string")), F.lit("q"), F.concat(F.lit("r"), (F.col("s_suppkey") % 2).cast("string")))
     s = t.supplier.select(F.col("s_suppkey").alias("skill"), (n % 3).alias("action"), pats.alias("patterns"))
-    found = d.merge_proposals(s, t.supplier.select(F.lit(-1).cast("long").alias("a"), F.col("s_suppkey").alias("b")))
-    return found.where("a % 5 > 0")
+    return d.merge_proposals(s, t.supplier.select(F.col("s_suppkey").alias("a"), (F.col("s_suppkey") + 12).alias("b")))
 
 
 def _claims(t: Tables):

@@ -30,21 +30,22 @@ def asked(t: Tables):
     return t.benchmark.select(F.col("item_id").alias("query"), "text")
 
 
-def hits(t: Tables, k: int = 10):
-    return r.bm25(t.documents, asked(t), k)
+def hits(t: Tables, k: int = 10, terms=None):
+    return r.bm25(t.documents, asked(t), k, index=terms)
 
 
-def overlap_hits(t: Tables, k: int = 10):
+def overlap_hits(t: Tables, terms, k: int = 10):
     q = r.query_terms(asked(t))
     n = q.groupBy("query").agg(F.count("*").alias("n"))
-    posts = index.postings(t.documents).select("doc", "term")
+    posts = index.index_postings(terms, q.select("term").distinct()).select("doc", "term")
     s = q.join(posts, "term").groupBy("query", "doc").agg(F.count("*").alias("m")).join(n, "query")
     return r.top(s.select("query", "doc", F.round(F.col("m") / F.col("n"), 6).alias("score")), k)
 
 
 def lanes(t: Tables):
-    one = hits(t).select("query", F.lit(0).alias("lane"), "doc", "rank")
-    return one.unionByName(overlap_hits(t).select("query", F.lit(1).alias("lane"), "doc", "rank"))
+    terms = index.term_index(t.documents)
+    one = hits(t, terms=terms).select("query", F.lit(0).alias("lane"), "doc", "rank")
+    return one.unionByName(overlap_hits(t, terms).select("query", F.lit(1).alias("lane"), "doc", "rank"))
 
 
 @query("q1_bm25", f"{BM25} SELECT query, doc, score, rank FROM hit")
@@ -244,13 +245,18 @@ def _(t: Tables):
 
 
 @query("q22_evidence_bridge", """
-WITH q AS (SELECT doc_id AS work, 51 AS start, 91 AS stop FROM documents WHERE length(text) >= 400),
-c AS (SELECT q.work, k, greatest(0, least(stop, 100 * k + 100) - greatest(start, 100 * k)) AS shared FROM q, (SELECT unnest(range(0, 4)) AS k))
-SELECT work, arg_max(k, (shared, -k)) AS chunk, max(shared)::BIGINT AS shared FROM c WHERE shared > 0 GROUP BY work""")
+WITH l AS (SELECT doc_id AS work, string_split(coalesce(text, ''), chr(10)) AS x, length(coalesce(text, '')) AS n FROM documents),
+p AS (SELECT work, n, i - 1 AS chunk, coalesce(list_sum(list_transform(x[1:i - 1], lambda y: length(y) + 1)), 0) AS start, coalesce(list_sum(list_transform(x[1:i - 1], lambda y: length(y) + 1)), 0) + length(x[i]) AS stop FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM l)),
+c AS (SELECT work, chunk, greatest(0, least(stop, 3 * n // 4) - greatest(start, n // 4)) AS shared FROM p)
+SELECT work, arg_max(chunk, (shared, -chunk))::BIGINT AS chunk, max(shared)::BIGINT AS shared FROM c WHERE shared > 0 GROUP BY work""")
 def _(t: Tables):
-    d = t.documents.where("length(text) >= 400").select(F.col("doc_id").alias("work"), "text")
-    spans = d.select("work", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("chunk")).select("work", "chunk", (F.col("chunk") * 100).alias("start"), (F.col("chunk") * 100 + 100).alias("stop"))
-    quotes = d.select("work", F.lit(51).alias("start"), F.lit(91).alias("stop"), F.lit(1.0).alias("weight"))
+    d = t.documents.select(F.col("doc_id").alias("work"), F.coalesce("text", F.lit("")).alias("text"))
+    # A line is a chunk; the quote is the middle half of the text.
+    lines = d.select("work", F.posexplode(F.split("text", "\n")).alias("chunk", "x"))
+    stop = F.sum(F.length("x") + 1).over(Window.partitionBy("work").orderBy("chunk")) - 1
+    spans = lines.select("work", "chunk", (stop - F.length("x")).alias("start"), stop.alias("stop"))
+    n = F.length("text")
+    quotes = d.select("work", F.floor(n / 4).alias("start"), F.floor(3 * n / 4).alias("stop"), F.lit(1.0).alias("weight"))
     return relations.bridge(quotes, spans).select("work", F.col("chunk").cast("long").alias("chunk"), F.col("shared").cast("long").alias("shared"))
 
 

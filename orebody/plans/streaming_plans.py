@@ -62,10 +62,9 @@ def _(t: Tables):
     return jobs.opened_sessions(t.events.select((F.col("user_id") % 5).alias("address"), "ts"), 1)
 
 
-@query("w8_cycle", "SELECT event_type AS signal, count(*) AS n FROM events WHERE user_id % 2 = 1 GROUP BY 1")
+@query("w8_cycle", "SELECT event_type AS signal, count(*) AS n FROM events GROUP BY 1")
 def _(t: Tables):
-    pending = stream(t, "events").where("user_id % 2 = 1")
-    per = jobs.cycles(pending, lambda batch, _: batch.groupBy(F.col("event_type").alias("signal")).agg(F.count("*").alias("n")), "signal string, n long")
+    per = jobs.cycles(stream(t, "events"), lambda batch, _: batch.groupBy(F.col("event_type").alias("signal")).agg(F.count("*").alias("n")), "signal string, n long")
     return per.groupBy("signal").agg(F.sum("n").alias("n"))
 
 

@@ -171,16 +171,19 @@ def _(t: Tables):
 
 @query("t2_statistics", f"WITH {POSTS}, f AS (SELECT term, count(*) AS df FROM p GROUP BY term), c AS (SELECT count(*) AS n, round(avg(len), 6) AS avg_len FROM (SELECT DISTINCT doc, len FROM p)) SELECT term, df, n, avg_len FROM f, c")
 def _(t: Tables):
-    posts = index.postings(t.documents)
-    stats = index.collection(index.lengths(t.documents)).select("n", F.round("avg_len", 6).alias("avg_len"))
-    return index.document_frequency(posts).crossJoin(F.broadcast(stats))
+    terms = index.term_index(t.documents)
+    stats = index.index_collection(terms).select("n", F.round("avg_len", 6).alias("avg_len"))
+    # A word counts once a document: no frequency in it is needed, so nothing is shuffled but the partial counts.
+    df = terms.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return df.crossJoin(F.broadcast(stats))
 
 
 @query("t3_incremental", f"WITH {POSTS} SELECT term, count(*) AS df FROM p WHERE source <> 'src3' GROUP BY term")
 def _(t: Tables):
     d = t.documents
-    df = lambda rows: index.document_frequency(index.postings(rows))
-    base, late, gone = d.where("source <> 'src5'"), d.where("source = 'src5'"), d.where("source = 'src3'")
+    terms = index.term_index(d, keep=("source",))
+    df = lambda rows: index.document_frequency(index.index_postings(rows))
+    base, late, gone = terms.where("source <> 'src5'"), terms.where("source = 'src5'"), terms.where("source = 'src3'")
     return index.updated_frequency(df(base), df(late), df(gone))
 
 
@@ -202,7 +205,8 @@ def _(t: Tables):
 s AS (SELECT doc, p.term, round(tf * ln(n / df), 6) AS weight FROM p JOIN f USING (term), c)
 SELECT doc, term, weight, place FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY weight DESC, term) AS place FROM s) WHERE place <= 6""")
 def _(t: Tables):
-    return index.keywords(index.postings(t.documents), index.collection(index.lengths(t.documents)))
+    terms = index.term_index(t.documents)
+    return index.keywords(index.index_postings(terms), index.index_collection(terms))
 
 
 @query("t6_hash_vectors", r"""

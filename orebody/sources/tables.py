@@ -45,8 +45,15 @@ def manifest(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def corpus_problems(works: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(``work``, ``problem``) of repeated or inactive works, and the corpus hash over sorted part digests."""
+    """(``work``, ``problem``) of repeated or inactive works, and the corpus hash.
+
+    The hash is that of the sorted hashes of the parts' digests by their first three
+    characters, each that of its sorted digests: groups of a bounded share of the parts, so
+    no task holds all of them.
+    """
     twice = works.groupBy("work").agg(F.count("*").alias("n")).where("n > 1").select("work", F.lit("duplicate").alias("problem"))
     dead = works.where("status <> 'active'").select("work", F.lit("inactive").alias("problem"))
-    digest = parts.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("digest")), ""), 256).alias("corpus_hash"))
+    joined = lambda: F.sha2(F.array_join(F.array_sort(F.collect_list("digest")), ""), 256)
+    groups = parts.groupBy(F.substring("digest", 1, 3).alias("first")).agg(joined().alias("digest"))
+    digest = groups.agg(joined().alias("corpus_hash"))
     return twice.unionByName(dead), digest

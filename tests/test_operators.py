@@ -1,12 +1,14 @@
 """Closed forms, folds against plain Python, and frames with nulls, ties and repeats."""
 
 import math
+import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from orebody.functions import text as fn
-from orebody.operators import chunks, documents, evaluate, evidence, retrieve
+from orebody.operators import chunks, documents, evaluate, evidence, retrieve, runlog
 from orebody.sources import catalogue
 from orebody.streaming import jobs
 
@@ -136,7 +138,7 @@ def test_near_pairs_and_clusters(spark):
             base.append(c)
     df = spark.createDataFrame(rows, "id long, vec array<double>")
     for block in (256, 4):
-        pairs = documents.near_pairs(df, 0.05, bits=8, tables=10, block=block)
+        pairs = documents.near_pairs(df, 0.05, recall=0.999, block=block)
         got = {r.node: r.cluster for r in documents.clusters(pairs).collect()}
         assert got == {i: 6 * c for i, c in enumerate(base)}
     assert documents.clusters(pairs.limit(0)).count() == 0
@@ -177,3 +179,56 @@ def test_matrix_gaps_of_many_modes(spark, n):
     runs = spark.range(n - 1).select(F.lit(0).cast("long").alias("case"), F.col("id").alias("mode"), F.lit(1).alias("repeat"))
     got = {tuple(r) for r in evaluate.matrix_gaps(runs, cases, modes, 1).collect()}
     assert got == {(1, m, 1) for m in range(n)} | {(0, n - 1, 1)}
+
+
+def test_null_ragged_and_many_query_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, None), (4, [1.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, []), (8, [0.0, 1.0])]
+    v = spark.createDataFrame(rows, "id long, vec array<double>")
+    q = v.selectExpr("id query", "vec")
+    want = {(a, b, round(sum(x * y for x, y in zip(va, vb)), 6)) for a, va in rows for b, vb in rows if {a, b} <= {1, 2, 8} or a == b == 4}
+    for most in (1, 2, 4096):
+        assert {(r.query, r.doc, r.score) for r in retrieve.cosine_top(v, q, 10, most).collect()} == want
+    assert retrieve.cosine_top(v.limit(0), q, 3).count() == 0
+
+
+def test_retakes_follow_the_whole_chain(spark):
+    rows = [(0, None, "ok"), (1, 0, "ok"), (2, 1, "service"), (3, 2, "ok"), (4, 77, "ok")] + [(i, i - 1, "service" if i % 3 else "ok") for i in range(5, 200)]
+    got = {r.id: (r.retakes, r.allowed) for r in runlog.retakes(spark.createDataFrame(rows, "id long, parent long, status string")).collect()}
+    status, parent = {i: s for i, _, s in rows}, {i: p for i, p, _ in rows}
+    for i in status:
+        n, at = 0, parent[i]
+        while at in status:
+            n, at = n + (status[at] != "service"), parent[at]
+        assert got[i] == (n, n <= 1), i
+    with pytest.raises(ValueError):
+        runlog.retakes(spark.createDataFrame([(1, 2, "ok"), (2, 1, "ok")], "id long, parent long, status string"), max_rounds=5)
+
+
+def test_near_pairs_reach_their_recall(spark):
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=(300, 32))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.normal(size=(300, 32))
+    b -= (b * a).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    near = 0.651 * a + np.sqrt(1 - 0.651**2) * b
+    rows = [(i, x.tolist()) for i, x in enumerate(a)] + [(1000 + i, x.tolist()) for i, x in enumerate(near)] + [(9000, None)]
+    v = spark.createDataFrame(rows, "id long, vec array<double>")
+    every = np.vstack([a, near])
+    names = [r[0] for r in rows[:-1]]
+    want = {(names[i], names[j]) for i, j in zip(*np.nonzero(np.triu(every @ every.T >= 0.65, 1)), strict=True)}
+    for block in (16, 256):
+        got = {(r.a, r.b) for r in documents.near_pairs(v, 0.35, block=block).collect()}
+        assert got <= want and len(got) >= 0.9 * len(want) and len(want) >= 300
+
+
+def test_clean_up_deletes_what_was_stored(spark):
+    from orebody import session
+
+    folder = session.shared_dir(spark).removeprefix("file:")
+    assert session.stored(spark.range(3), "x").count() == 3
+    mine = [x for x in os.listdir(folder) if spark.sparkContext.applicationId in x]
+    assert mine
+    session.clean_up(spark)
+    assert not [x for x in os.listdir(folder) if spark.sparkContext.applicationId in x]
+    assert session.stored(spark.range(3), "x").count() == 3
