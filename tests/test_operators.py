@@ -192,7 +192,7 @@ def test_null_ragged_and_many_query_vectors(spark):
 
 
 def test_retakes_follow_the_whole_chain(spark):
-    rows = [(0, None, "ok"), (1, 0, "ok"), (2, 1, "service"), (3, 2, "ok"), (4, 77, "ok")] + [(i, i - 1, "service" if i % 3 else "ok") for i in range(5, 200)]
+    rows = [(0, None, "ok"), (1, 0, "ok"), (2, 1, "service"), (3, 2, "ok"), (4, 7777, "ok")] + [(i, i - 1, "service" if i % 3 else "ok") for i in range(5, 200)]
     got = {r.id: (r.retakes, r.allowed) for r in runlog.retakes(spark.createDataFrame(rows, "id long, parent long, status string")).collect()}
     status, parent = {i: s for i, _, s in rows}, {i: p for i, p, _ in rows}
     for i in status:
