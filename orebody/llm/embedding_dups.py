@@ -205,7 +205,8 @@ def links(one: DataFrame, least: float = 0.95, recall: float = RECALL, block: in
     tables = Tables(*shape(one.count(), least, recall))
     raw = stored(one.select("vec", "vid", "copies").mapInArrow(_raw, "raw binary, vid long, copies long"), "raw")
     keys = stored(raw.select("vid", "raw").mapInArrow(_hash(tables), "t int, key long, vid long"), "keys")
-    shared = keys.groupBy("t", "key").agg(F.count("*").alias("m")).where("m > 1")
+    # Written first, so that the join stands on its own and a bucket of very many can be split.
+    shared = stored(keys.groupBy("t", "key").agg(F.count("*").alias("m")).where("m > 1"), "shared")
     blocks = F.ceil(F.col("m") / block).cast("int")
     dealt = keys.join(shared, ["t", "key"]).select("t", "key", "vid", F.pmod(F.xxhash64("vid", "t"), blocks).cast("int").alias("b"), blocks.alias("nb"))
     dealt = dealt.select("t", "key", "vid", "b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
@@ -232,7 +233,7 @@ def embedding_groups(rows: DataFrame, least: float = 0.95, id_col: str = "vec_id
     found = stored(links(one, least, recall, block), "links")
     comps = connected_components(found.select(F.col("vid").alias("a"), F.col("other").alias("b")))
     named = one.select("vid", "low", "copies").join(comps, one.vid == comps.node, "left").withColumn("label", F.coalesce("component", "vid"))
-    lows = named.groupBy("label").agg(F.min("low").alias("component_low"))
+    lows = stored(named.groupBy("label").agg(F.min("low").alias("component_low")), "lows")
     n = found.groupBy("vid").agg(F.sum("add").alias("n"))
     told = named.join(lows, "label").join(n, "vid", "left")
     told = stored(told.select("vid", F.col("component_low").alias("component"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "told")

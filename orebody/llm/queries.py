@@ -19,7 +19,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_groups(_table(spark, sf_dir, "documents"))
     return found.select(
         F.col("id").alias("doc_id"),
-        simhash.fingerprint_hex("fp").alias("fingerprint"),
+        simhash.fingerprint_hex(F.get("fps", F.lit(0))).alias("fingerprint"),
         F.col("component").alias("component_id"),
     )
 

@@ -14,6 +14,10 @@ with up to radius / 2 of the bits that the table ignores flipped.  Members of on
 hub are within ``radius`` of each other, and each linking pair of a bucket shares
 a hub, so the star from a hub's least member to the others keeps all links.  For
 radius 2 a hub has at most 65 members however large a group of copies is.
+
+A near copy may differ in more bits than that.  With ``seeds`` over 1 a text has as many
+fingerprints, each from the same shingle hashes mixed anew, and two texts link where
+any of them does: each is another chance for a pair to come within the radius.
 """
 
 from __future__ import annotations
@@ -35,8 +39,19 @@ BITS = 64
 CHUNK = 1 << 18
 
 
-def fingerprint(text: bytes, shingle: int = 3) -> int:
-    """The fingerprint of UTF-8 ``text``, unsigned; zero where it has no word.
+def mixed(hashes: np.ndarray, seed: int) -> np.ndarray:
+    """``hashes`` (unsigned, 64 bits) mixed anew for each ``seed``; seed 0 leaves them as they are."""
+    if not seed:
+        return hashes
+    with np.errstate(over="ignore"):
+        x = hashes * np.uint64((0x9E3779B97F4A7C15 * (2 * seed + 1)) % (1 << BITS))
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        return x ^ (x >> np.uint64(32))
+
+
+def signature(text: bytes, shingle: int = 3, seeds: int = 1) -> np.ndarray:
+    """The fingerprints of UTF-8 ``text``, unsigned, one for each seed; zeros where it has no word.
 
     A-Z are lowered; words are runs of bytes other than \\x20 and \\x09-\\x0D; a
     bit is set where more than half of the XXH64 (seed 42) of the space-joined
@@ -47,30 +62,37 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     digest = xxhash.xxh64_intdigest
     words = text.lower().split()
     if not words:
-        return 0
-    if len(words) < shingle:
-        return digest(b" ".join(words), 42)
-    n, ones = len(words) - shingle + 1, np.zeros(BITS, dtype=np.int64)
+        return np.zeros(seeds, dtype="<u8")
+    shingle = min(shingle, len(words))
+    n, ones = len(words) - shingle + 1, np.zeros((seeds, BITS), dtype=np.int64)
     for at in range(0, n, CHUNK):
         part = words[at : min(at + CHUNK, n) + shingle - 1]
         grams = map(b" ".join, zip(*(part[k:] for k in range(shingle))))
         hashes = np.array([digest(g, 42) for g in grams], dtype="<u8")
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int32)
-    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
+        for seed in range(seeds):
+            bits = np.unpackbits(mixed(hashes, seed).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones[seed] += bits.sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<u8").ravel()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``id``, ``fp`` (the fingerprint's bits as a signed long) for each row of ``docs``."""
+def fingerprint(text: bytes, shingle: int = 3) -> int:
+    """The first fingerprint of ``text``; see ``signature``."""
+    return int(signature(text, shingle)[0])
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seeds: int = 1) -> DataFrame:
+    """``id``, ``fps`` (an array of the fingerprints' bits as signed longs) for each row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
-            fps = np.fromiter((fingerprint(t.as_py() or b"", shingle) for t in texts), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
+            fps = [signature(t.as_py() or b"", shingle, seeds).view("<i8") for t in texts]
+            flat = pa.array(np.concatenate(fps) if fps else np.array([], dtype="<i8"))
+            ends = pa.array(np.arange(0, len(flat) + 1, seeds, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, flat)], names=["id", "fps"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, fp long")
+    return rows.mapInArrow(run, "id long, fps array<bigint>")
 
 
 def _signed(x: int) -> int:
@@ -91,7 +113,7 @@ def _flips(mask: int, most: int) -> list[int]:
 
 
 def fingerprint_links(fps: DataFrame, radius: int = 2) -> DataFrame:
-    """Edges ``a``, ``b`` that connect the distinct longs of ``fp`` as links within ``radius`` do.
+    """Edges ``seed``, ``a``, ``b`` that connect the distinct longs ``fp`` of each ``seed`` as links within ``radius`` do.
 
     Every edge is a link; not every link is an edge, but its ends are connected.
     ``radius`` is even.  Nulls take no part.
@@ -100,40 +122,45 @@ def fingerprint_links(fps: DataFrame, radius: int = 2) -> DataFrame:
         raise ValueError("radius must be even and not negative")
     masks = covering_masks(radius)
     keys = fps.where("fp is not null").select(
-        "fp",
+        "seed", "fp",
         F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("t", "key"),
     )
-    shared = keys.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1").select("t", "key")
+    # Written first, so that the join stands on its own and a bucket of very many can be split.
+    shared = stored(keys.groupBy("seed", "t", "key").agg(F.count("*").alias("n")).where("n > 1").select("seed", "t", "key"), "shared")
     flips = F.array(*[F.array(*[F.lit(x) for x in _flips(m, radius // 2)]) for m in masks])
     hubs = (
-        keys.join(shared, ["t", "key"])
-        .select("fp", F.explode(F.element_at(flips, F.col("t") + 1)).alias("flip"))
-        .select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("hub"))
+        keys.join(shared, ["seed", "t", "key"])
+        .select("seed", "fp", F.explode(F.element_at(flips, F.col("t") + 1)).alias("flip"))
+        .select("seed", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("hub"))
     )
-    stars = hubs.groupBy("hub").agg(F.collect_set("fp").alias("members")).where(F.size("members") > 1)
+    stars = hubs.groupBy("seed", "hub").agg(F.collect_set("fp").alias("members")).where(F.size("members") > 1)
     return (
-        stars.select(F.array_min("members").alias("b"), F.explode("members").alias("a")).where("a <> b").select("a", "b").distinct()
+        stars.select("seed", F.array_min("members").alias("b"), F.explode("members").alias("a")).where("a <> b").select("seed", "a", "b").distinct()
     )
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
-    """One row for each row of ``docs``: ``id``, ``fp``, ``component``, the least id reachable over links.
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, seeds: int = 1) -> DataFrame:
+    """One row for each row of ``docs``: ``id``, ``fps``, ``component``, the least id reachable over links.
 
-    A null or empty text has fingerprint zero and links as others do.  A row with
+    A null or empty text has fingerprints of zero and links as others do.  A row with
     a null id is returned and connects others, but never names a component; a
     component without any id has a null name.  Repeated rows stay repeated.  Other
     columns of ``docs`` are not read.
     """
-    sig = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = stored(sig.groupBy("fp").agg(F.min("id").alias("low")), "distinct")
-    found = connected_components(fingerprint_links(distinct, radius))
-    named = (
-        distinct.join(found, distinct.fp == found.node, "left")
-        .select("fp", "low", F.coalesce("component", "fp").alias("label"))
-    )
-    lows = named.where(F.col("low").isNotNull()).groupBy("label").agg(F.min("low").alias("component"))
-    names = stored(named.join(lows, "label", "left").select("fp", "component"), "names")
-    return sig.join(names, "fp").select("id", "fp", "component")
+    sig = stored(fingerprints(docs, id_col, text_col, shingle, seeds), "fingerprints")
+    distinct = stored(sig.groupBy("fps").agg(F.min("id").alias("low")).withColumn("node", F.monotonically_increasing_id()), "distinct")
+    each = distinct.select("node", F.posexplode("fps").alias("seed", "fp"))
+    # The texts of one fingerprint hang on the least of them; fingerprints that link tie these together.
+    firsts = stored(each.groupBy("seed", "fp").agg(F.min("node").alias("first")), "firsts")
+    same = each.join(firsts, ["seed", "fp"]).where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    side = lambda x: firsts.select("seed", F.col("fp").alias(x), F.col("first").alias(f"first_{x}"))
+    near = fingerprint_links(firsts.select("seed", "fp"), radius).join(side("a"), ["seed", "a"]).join(side("b"), ["seed", "b"])
+    edges = near.select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    found = connected_components(edges.unionByName(same) if seeds > 1 else edges)
+    named = distinct.join(found.withColumnRenamed("node", "n"), distinct.node == F.col("n"), "left").select("fps", "low", F.coalesce("component", "node").alias("label"))
+    lows = stored(named.where(F.col("low").isNotNull()).groupBy("label").agg(F.min("low").alias("component")), "lows")
+    names = stored(named.join(lows, "label", "left").select("fps", "component"), "names")
+    return sig.join(names, "fps").select("id", "fps", "component")
 
 
 def fingerprint_hex(fp):
@@ -141,33 +168,35 @@ def fingerprint_hex(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, seeds: int = 1) -> DataFrame:
     """The rows of ``docs`` whose id names its component: one document of each group.
 
-    Rows that repeat an id are one document, of which one row stays.  Rows without
-    an id cannot be told from copies by name; they stay unless their group has a
-    document with an id, and copies among them are reduced to one by their text.
+    Rows that repeat an id are one document, of which the row of the least text stays.
+    Rows without an id cannot be told from copies by name; they stay unless their group has
+    a document with an id, and copies among them are reduced to one by their text.
     """
-    groups = simhash_groups(docs, id_col, text_col)
+    groups = stored(simhash_groups(docs, id_col, text_col, shingle, radius, seeds), "groups")
     ids = groups.where("id is not null").groupBy("id").agg(F.count("*").alias("n"), F.max(F.expr("id = component")).alias("keep"))
     ids = stored(ids.where("keep").select(F.col("id").alias("__id"), "n"), "kept")
     # The same plan at every size: kept ids grow with the documents, so both sides are dealt by id.
     named = docs.join(ids.where("n = 1").hint("merge"), F.col(id_col) == F.col("__id"), "left_semi")
-    twice = docs.join(ids.where("n > 1"), F.col(id_col) == F.col("__id"), "left_semi").dropDuplicates([id_col])
-    lone = groups.where("id is null and component is null").select(F.col("fp").alias("__fp")).distinct()
-    return named.unionByName(twice).unionByName(_unnamed(docs, lone, id_col, text_col))
+    row = F.struct(*docs.columns)
+    twice = docs.join(ids.where("n > 1"), F.col(id_col) == F.col("__id"), "left_semi").groupBy(F.col(id_col).alias("__id"))
+    twice = twice.agg(F.min_by(row, F.struct(F.col(text_col), F.to_json(row))).alias("__row")).select("__row.*")
+    lone = groups.where("id is null and component is null").select(F.col("fps").alias("__fps")).distinct()
+    return named.unionByName(twice).unionByName(_unnamed(docs, lone, id_col, text_col, shingle, seeds))
 
 
-def _unnamed(docs: DataFrame, lone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _unnamed(docs: DataFrame, lone: DataFrame, id_col: str, text_col: str, shingle: int, seeds: int) -> DataFrame:
     """Of the rows without an id those that no document with an id stands for, one for each text."""
     rows = docs.where(F.col(id_col).isNull())
-    schema = T.StructType([*rows.schema.fields, T.StructField("__fp", T.LongType())])
+    schema = T.StructType([*rows.schema.fields, T.StructField("__fps", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(text_col).cast(pa.binary())
-            fps = [np.uint64(fingerprint(t.as_py() or b"")).astype(np.int64) for t in texts]
-            yield batch.append_column("__fp", pa.array(fps, pa.int64()))
+            fps = [signature(t.as_py() or b"", shingle, seeds).view("<i8").tolist() for t in texts]
+            yield batch.append_column("__fps", pa.array(fps, pa.list_(pa.int64())))
 
     marked = rows.mapInArrow(run, schema)
-    return marked.join(lone, "__fp", "left_semi").dropDuplicates([text_col]).drop("__fp")
+    return marked.join(lone, "__fps", "left_semi").dropDuplicates([text_col]).drop("__fps")

@@ -1,3 +1,4 @@
+import re
 from itertools import combinations
 
 import pytest
@@ -34,9 +35,28 @@ def components(nodes, links):
     return label
 
 
-def brute(rows, radius=2):
-    fps = [brute_fingerprint(t) for _, t in rows]
-    links = [(i, j) for i, j in combinations(range(len(rows)), 2) if (fps[i] ^ fps[j]).bit_count() <= radius]
+def brute_signature(text, seeds):
+    """The fingerprint of each seed, by plain whole numbers."""
+    words = [w for w in re.split("[\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")) if w]
+    if not words:
+        return [0] * seeds
+    hashes, out, top = [xxhash.xxh64_intdigest(" ".join(words[i : i + 3]).encode(), 42) for i in range(max(len(words) - 2, 1))], [], 1 << 64
+    for seed in range(seeds):
+        now = []
+        for h in hashes:
+            if seed:
+                h = h * (0x9E3779B97F4A7C15 * (2 * seed + 1)) % top
+                h = (h ^ (h >> 29)) * 0xBF58476D1CE4E5B9 % top
+                h ^= h >> 32
+            now.append(h)
+        out.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in now) > len(now)))
+    return out
+
+
+def brute(rows, radius=2, seeds=1):
+    every = [brute_signature(t, seeds) for _, t in rows]
+    fps = [x[0] for x in every]
+    links = [(i, j) for i, j in combinations(range(len(rows)), 2) if any((a ^ b).bit_count() <= radius for a, b in zip(every[i], every[j], strict=True))]
     label = components(range(len(rows)), links)
     out = []
     for i, (doc, _) in enumerate(rows):
@@ -48,7 +68,7 @@ def brute(rows, radius=2):
 def run(spark, rows, **more):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = simhash.simhash_groups(docs, **more).collect()
-    return [(r.id, r.fp % (1 << 64), r.component) for r in found]
+    return [(r.id, r.fps[0] % (1 << 64), r.component) for r in found]
 
 
 def order(rows):
@@ -71,6 +91,37 @@ def test_fingerprint_equals_brute_force():
         assert simhash.fingerprint((t or "").encode()) == brute_fingerprint(t)
 
 
+def test_signatures_equal_brute_force():
+    for t in ("", "One", "two Words", "a b c d e f g", "Ünï ÄÖ\x0bx\x0cy z q", "x y " * 500, None):
+        assert list(map(int, simhash.signature((t or "").encode(), 3, 7))) == brute_signature(t, 7)
+        assert brute_signature(t, 1) == [brute_fingerprint(t)]
+
+
+def test_more_seeds_link_more_near_copies(spark):
+    import random
+
+    rng = random.Random(2)
+    lex = [f"w{i}" for i in range(500)]
+    rows = []
+    for i in range(60):
+        words = [rng.choice(lex) for _ in range(200)]
+        rows.append((2 * i, " ".join(words)))
+        for _ in range(3):
+            words[rng.randrange(200)] = "new"
+        rows.append((2 * i + 1, " ".join(words)))
+    one, many = run(spark, rows), run(spark, rows, seeds=16)
+    assert order(one) == order(brute(rows)) and order(many) == order(brute(rows, seeds=16))
+    removed = lambda found: sum(i != c for i, _, c in found)
+    assert removed(many) > 2 * removed(one) and all(c in (i, i - 1) for i, _, c in many)
+
+
+def test_one_row_of_a_repeated_id_stays_the_same_in_every_run(spark):
+    rows = [(1, f"text number {i} of the same id", i) for i in range(20)] + [(2, "another one", 7)]
+    for parts in (1, 5):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(parts)
+        assert sorted(map(tuple, simhash.keep_one(docs).collect())) == [rows[0], rows[-1]]
+
+
 def test_chunks_do_not_change_a_fingerprint(monkeypatch):
     text = " ".join(str(i * i) for i in range(1000)).encode()
     whole = simhash.fingerprint(text)
@@ -100,8 +151,8 @@ def test_links_of_planted_fingerprints(spark):
     fps = sorted(simhash._signed(f) for f in fps)
     links = [(a, b) for a, b in combinations(fps, 2) if ((a ^ b) % (1 << 64)).bit_count() <= 2]
     want = components(fps, links)
-    df = spark.createDataFrame([(f,) for f in fps] + [(None,)], "fp long")
-    edges = simhash.fingerprint_links(df).collect()
+    df = spark.createDataFrame([(4, f) for f in fps] + [(4, None), (5, fps[0] ^ 1)], "seed int, fp long")
+    edges = [(r.a, r.b) for r in simhash.fingerprint_links(df).collect()]
     assert all(((a ^ b) % (1 << 64)).bit_count() <= 2 for a, b in edges)
     assert components(fps, [tuple(e) for e in edges]) == want
     with pytest.raises(ValueError):
