@@ -123,23 +123,34 @@ def _(t: Tables):
     return d.merge_proposals(s, t.supplier.select(F.col("s_suppkey").alias("a"), (F.col("s_suppkey") + 12).alias("b")))
 
 
+#: Every document claims something: of itself, of the next one, or of one that nobody knows.
+CLAIMS = """
+t AS (SELECT doc_id, lang, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+c AS (SELECT doc_id AS claim, CASE lang WHEN 'fr' THEN doc_id + 1 WHEN 'de' THEN -1 - doc_id ELSE doc_id END AS source, substr(text, 1, n // 2) AS quote, substr(text, 3 * n // 4, 4) AS value FROM t),
+j AS (SELECT c.*, t.text AS content FROM c LEFT JOIN t ON t.doc_id = c.source)"""
+
+
 def _claims(t: Tables):
-    k = F.col("doc_id") % 4
-    return t.documents.where("length(text) >= 60").select(
-        F.col("doc_id").alias("claim"), F.when(k == 1, -1).otherwise(F.col("doc_id")).alias("source"), F.when(k == 2, "not in any text").otherwise(F.substring("text", 21, 30)).alias("quote"), F.when(k == 3, "zzz").otherwise(F.substring("text", 25, 5)).alias("value")
+    text, lang = F.coalesce("text", F.lit("")), F.col("lang")
+    n = F.length("text")
+    rows = t.documents.select("doc_id", "lang", text.alias("text"))
+    return rows.select(
+        F.col("doc_id").alias("claim"), F.when(lang == "fr", F.col("doc_id") + 1).when(lang == "de", -1 - F.col("doc_id")).otherwise(F.col("doc_id")).alias("source"),
+        F.substring("text", F.lit(1), F.floor(n / 2).cast("int")).alias("quote"), F.substring("text", F.floor(3 * n / 4).cast("int"), F.lit(4)).alias("value"),
     )
 
 
 def _sources(t: Tables):
-    return t.documents.select(F.col("doc_id").alias("source"), F.col("text").alias("content"))
+    return t.documents.select(F.col("doc_id").alias("source"), F.coalesce("text", F.lit("")).alias("content"))
 
 
-@query("e1_claims", "SELECT doc_id AS claim, CASE doc_id % 4 WHEN 1 THEN 'unknown_source' ELSE 'quote_not_in_source' END AS issue FROM documents WHERE length(text) >= 60 AND doc_id % 4 IN (1, 2)")
+@query("e1_claims", f"WITH {CLAIMS} SELECT claim, issue FROM (SELECT claim, CASE WHEN content IS NULL THEN 'unknown_source' WHEN NOT contains(content, quote) THEN 'quote_not_in_source' END AS issue FROM j) WHERE issue IS NOT NULL")
 def _(t: Tables):
     return e.claim_issues(_claims(t), _sources(t))
 
 
-@query("e2_facts", "SELECT doc_id AS fact, CASE doc_id % 4 WHEN 1 THEN 'unknown_source' WHEN 2 THEN 'quote_not_in_source' ELSE 'value_not_in_quote' END AS issue FROM documents WHERE length(text) >= 60 AND doc_id % 4 > 0 AND (doc_id % 4 < 3 OR NOT contains(substr(text, 21, 30), 'zzz'))")
+@query("e2_facts", f"""WITH {CLAIMS} SELECT fact, issue FROM (SELECT claim AS fact, CASE WHEN content IS NULL THEN 'unknown_source' WHEN NOT contains(content, quote) THEN 'quote_not_in_source' WHEN NOT contains(quote, value) THEN 'value_not_in_quote' END AS issue FROM j)
+WHERE issue IS NOT NULL""")
 def _(t: Tables):
     return e.fact_issues(_claims(t).withColumnRenamed("claim", "fact"), _sources(t))
 
@@ -151,26 +162,36 @@ def _(t: Tables):
 
 
 def _spans(t: Tables):
-    long_ = t.documents.where("length(text) >= 200")
-    cut = F.explode(F.array(*[F.substring("text", a, n) for a, n in ((1, 40), (31, 30), (101, 20), (150, 20), (150, 20))]))
-    return long_.select(F.col("doc_id").alias("source"), cut.alias("quote"))
+    """Quotes of every text, by shares of its length: neighbours, overlaps, one apart and one said twice."""
+    n = F.length("text")
+    part = lambda a, z: F.substring("text", F.floor(n * a / 20).cast("int") + 1, F.floor(n * z / 20).cast("int") - F.floor(n * a / 20).cast("int"))
+    cut = F.explode(F.array(*[part(a, z) for a, z in ((0, 4), (3, 6), (9, 11), (14, 15), (14, 15))]))
+    return t.documents.select(F.col("doc_id").alias("source"), cut.alias("quote")).where("quote <> ''")
 
 
 @query("e4_spans", r"""
-WITH q AS (SELECT DISTINCT doc_id AS source, text, unnest([substr(text, 1, 40), substr(text, 31, 30), substr(text, 101, 20), substr(text, 150, 20)]) AS q FROM documents WHERE length(text) >= 200),
-a AS (SELECT source, text, instr(text, q) - 1 AS s, instr(text, q) - 1 + length(q) AS e FROM q),
+WITH n AS (SELECT doc_id AS source, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+q AS (SELECT DISTINCT source, text, unnest([substr(text, 1, n * 4 // 20), substr(text, n * 3 // 20 + 1, n * 6 // 20 - n * 3 // 20), substr(text, n * 9 // 20 + 1, n * 11 // 20 - n * 9 // 20), substr(text, n * 14 // 20 + 1, n * 15 // 20 - n * 14 // 20)]) AS q FROM n),
+a AS (SELECT source, text, instr(text, q) - 1 AS s, instr(text, q) - 1 + length(q) AS e FROM q WHERE q <> ''),
 w AS (SELECT *, max(e) OVER (PARTITION BY source ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM a),
-n AS (SELECT *, CASE WHEN seen IS NULL OR s > seen AND regexp_replace(substr(text, seen + 1, s - seen), '\s', '', 'g') <> '' THEN 1 ELSE 0 END AS new FROM w),
-i AS (SELECT *, sum(new) OVER (PARTITION BY source ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM n) SELECT source, min(s) AS start, max(e) AS stop FROM i GROUP BY source, island""")
+m AS (SELECT *, CASE WHEN seen IS NULL OR s > seen AND regexp_replace(substr(text, seen + 1, s - seen), '\s', '', 'g') <> '' THEN 1 ELSE 0 END AS new FROM w),
+i AS (SELECT *, sum(new) OVER (PARTITION BY source ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM m) SELECT source, min(s) AS start, max(e) AS stop FROM i GROUP BY source, island""")
 def _(t: Tables):
     return e.merged_spans(_spans(t), _sources(t))
 
 
-@query("e5_covered", "SELECT doc_id AS id, doc_id % 2 = 0 AS covered FROM documents WHERE length(text) >= 200 AND NOT contains(text, '~')")
+@query("e5_covered", r"""
+WITH q AS (SELECT doc_id, substr(coalesce(text, ''), 1, 60) || CASE WHEN doc_id % 2 = 1 THEN chr(1) ELSE '' END AS quote, substr(coalesce(text, ''), 1, 40) AS a, substr(coalesce(text, ''), 36, 25) AS b FROM documents),
+k AS (SELECT *, unnest(range(1, length(quote) + 1)) AS k FROM q),
+u AS (SELECT DISTINCT doc_id FROM k WHERE NOT regexp_matches(substr(quote, k, 1), '^\s$') AND
+  len(list_filter(range(greatest(1, k - length(a) + 1), k + 1), lambda i: length(a) > 0 AND substr(quote, i, length(a)) = a)) = 0 AND
+  len(list_filter(range(greatest(1, k - length(b) + 1), k + 1), lambda i: length(b) > 0 AND substr(quote, i, length(b)) = b)) = 0)
+SELECT doc_id AS id, trim(quote) <> '' AND (contains(a, quote) OR contains(b, quote) OR NOT EXISTS (SELECT 1 FROM u WHERE u.doc_id = q.doc_id)) AS covered FROM q""")
 def _(t: Tables):
-    d_ = t.documents.where("length(text) >= 200 and not contains(text, '~')")
-    quotes = d_.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("source"), F.when(F.col("doc_id") % 2 == 0, F.substring("text", 1, 60)).otherwise(F.concat(F.substring("text", 1, 60), F.lit("~"))).alias("quote"))
-    spans = d_.select(F.col("doc_id").alias("source"), F.explode(F.array(F.substring("text", 1, 40), F.substring("text", 36, 25))).alias("span"))
+    text = F.coalesce("text", F.lit(""))
+    # A quote is the first 60 characters; every second one ends with a character of no text.
+    quotes = t.documents.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("source"), F.concat(F.substring(text, 1, 60), F.when(F.col("doc_id") % 2 == 1, "\x01").otherwise("")).alias("quote"))
+    spans = t.documents.select(F.col("doc_id").alias("source"), F.explode(F.array(F.substring(text, 1, 40), F.substring(text, 36, 25))).alias("span"))
     return e.covered_quotes(quotes, spans)
 
 

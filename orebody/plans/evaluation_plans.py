@@ -116,11 +116,16 @@ def _(t: Tables):
 
 
 @query("x11_answers", """
-SELECT doc_id AS "case", source <> 'src3' AND doc_id % 4 <> 0 AS citation_ok, round((contains(lower(text), 'the')::INT + contains(lower(text), 'zzz')::INT + contains(lower(text), 'de')::INT) / 3, 6) AS term_coverage FROM documents WHERE length(text) >= 50""")
-def _(t: Tables):
-    d = t.documents.where("length(text) >= 50")
-    snippet = F.when(F.col("doc_id") % 4 == 0, "no such text").otherwise(F.substring("text", 11, 30))
-    a = d.select(F.col("doc_id").alias("case"), F.col("doc_id").alias("doc"), snippet.alias("snippet"), F.array(F.lit("The"), F.lit("zzz"), F.lit("de")).alias("terms"), "text")
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents), a AS (SELECT doc_id, text, substr(text, 1, length(text) // 3) AS snippet FROM d)
+SELECT a.doc_id AS "case", coalesce(c.source <> 'src3' AND contains(c.text, snippet), false) AS citation_ok, round((contains(lower(a.text), 'the')::INT + contains(lower(a.text), 'zzz')::INT + contains(lower(a.text), 'de')::INT) / 3, 6) AS term_coverage
+FROM a LEFT JOIN d c ON c.doc_id = CASE WHEN a.doc_id % 4 = 0 THEN a.doc_id + 1 ELSE a.doc_id END""")
+def _(t: Tables):
+    text = F.coalesce("text", F.lit(""))
+    d = t.documents.select("doc_id", "source", text.alias("text"))
+    snippet = F.substring("text", F.lit(1), F.floor(F.length("text") / 3).cast("int"))
+    # Every fourth answer cites the document after its own.
+    cited = F.when(F.col("doc_id") % 4 == 0, F.col("doc_id") + 1).otherwise(F.col("doc_id"))
+    a = d.select(F.col("doc_id").alias("case"), cited.alias("doc"), snippet.alias("snippet"), F.array(F.lit("The"), F.lit("zzz"), F.lit("de")).alias("terms"), "text")
     return ev.answer_scores(a, d.select(F.col("doc_id").alias("doc"), F.col("text").alias("content"), F.when(F.col("source") == "src3", "archived").otherwise("active").alias("status")))
 
 
