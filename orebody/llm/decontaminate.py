@@ -167,15 +167,15 @@ def _runs(n: int):
         for batch in batches:
             out: list[dict] = []
             for r in batch.to_pylist():
-                words = r["words"]
-                need, equal = min(n, len(words)), bytearray(len(words))
+                words, low = r["words"], r["low"]
+                need, equal = min(n, r["size"]), bytearray(len(words))
                 for x in r["seen"]:
-                    first = x["at"] - x["lead"]
+                    first = x["at"] - x["lead"] - low
                     for k, w in enumerate(x["near"].split(" ")):
                         if 0 <= first + k < len(words) and words[first + k] == w:
                             equal[first + k] = 1
                 for m in re.finditer(rb"\x01{%d,}" % need, bytes(equal)):
-                    out.append({"key": r["key"], "bench": r["bench"], "start": r["shift"] + m.start(), "stop": r["shift"] + m.end()})
+                    out.append({"key": r["key"], "bench": r["bench"], "start": r["shift"] + low + m.start(), "stop": r["shift"] + low + m.end()})
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     schema = pa.schema([("key", pa.binary()), ("bench", pa.binary()), ("start", pa.int32()), ("stop", pa.int32())])
@@ -195,7 +195,12 @@ def phrase_matches(index: DataFrame, texts: DataFrame, picked: DataFrame, n: int
         .join(texts, "bench")
         .where((F.col("most") == 2) | (F.size("words") == 1))
     )
-    return both.select("key", "bench", "shift", "seen", "words").mapInArrow(_runs(n), "key binary, bench binary, start int, stop int")
+    # Of a long item only the words that the places seen can cover go to Python.
+    low = F.greatest(F.array_min(F.transform("seen", lambda x: x["at"] - x["lead"])), F.lit(0))
+    high = F.array_max(F.transform("seen", lambda x: x["at"] - x["lead"] + F.size(F.split(x["near"], " "))))
+    part = both.withColumn("low", low).withColumn("high", high)
+    part = part.select("key", "bench", "shift", "seen", "low", F.size("words").alias("size"), F.slice("words", F.col("low") + 1, F.greatest(F.col("high") - F.col("low"), F.lit(0))).alias("words"))
+    return part.mapInArrow(_runs(n), "key binary, bench binary, start int, stop int")
 
 
 def proximity_matches(index: DataFrame, picked: DataFrame, slop: int = 3) -> DataFrame:

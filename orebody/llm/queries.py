@@ -55,7 +55,7 @@ def op5_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cube_mix.mix(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2.0)
-    return found.withColumnRenamed("id", "doc_id")
+    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source", "copies")
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
