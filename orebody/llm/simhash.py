@@ -15,14 +15,19 @@ hub are within ``radius`` of each other, and each linking pair of a bucket share
 a hub, so the star from a hub's least member to the others keeps all links.  For
 radius 2 a hub has at most 65 members however large a group of copies is.
 
-A near copy may differ in more bits than that.  With ``seeds`` over 1 a text has as many
-fingerprints, each from the same shingle hashes mixed anew, and two texts link where
-any of them does: each is another chance for a pair to come within the radius.
+A near copy may differ in more bits than that.  ``Near`` describes links for near copies:
+candidates are texts of which one of several fingerprints of single words (each from the same
+hashes mixed anew) is within the radius; of these, the texts link whose ``check`` bits,
+a long SimHash of five-word shingles, differ in no more bits than a similarity allows.
+A hub's least and greatest member stand for it there, so links that only others of its
+members would show can be lost.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -35,6 +40,30 @@ from .components import connected_components
 from .storage import stored
 
 BITS = 64
+
+
+@dataclass(frozen=True)
+class Near:
+    """Links for near copies: fingerprints and words of the candidates, words, 64-bit parts and Jaccard similarity of the check.
+
+    Sets of similarity J have a cosine of 2J / (1 + J) where they are of one size; ``slack`` standard deviations
+    are allowed for what a number of bits says of it.
+    """
+
+    seeds: int = 12
+    shingle: int = 1
+    check_shingle: int = 5
+    parts: int = 16
+    least: float = 0.8
+    slack: float = 1.0
+
+    @property
+    def most_bits(self) -> int:
+        """Bits of the check that a link may differ in."""
+        n, p = BITS * self.parts, math.acos(2 * self.least / (1 + self.least)) / math.pi
+        return math.floor(n * p + self.slack * math.sqrt(n * p * (1 - p)))
+
+
 #: Shingles of a text that are hashed before their bits are counted.
 CHUNK = 1 << 18
 
@@ -80,19 +109,25 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int(signature(text, shingle)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seeds: int = 1) -> DataFrame:
-    """``id``, ``fps`` (an array of the fingerprints' bits as signed longs) for each row of ``docs``."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, near: Near | None = None) -> DataFrame:
+    """``id``, ``fps``, ``check`` (arrays of bits as signed longs) for each row of ``docs``.
+
+    Without ``near`` there is one fingerprint of ``shingle`` words and nothing to check.
+    """
+
+    def longs(rows: list[np.ndarray], width: int) -> pa.Array:
+        flat = pa.array(np.concatenate(rows).view("<i8") if rows and width else np.array([], dtype="<i8"))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * width), flat)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
-            fps = [signature(t.as_py() or b"", shingle, seeds).view("<i8") for t in texts]
-            flat = pa.array(np.concatenate(fps) if fps else np.array([], dtype="<i8"))
-            ends = pa.array(np.arange(0, len(flat) + 1, seeds, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, flat)], names=["id", "fps"])
+            texts = [t.as_py() or b"" for t in batch.column(1).cast(pa.binary())]
+            fps = longs([signature(t, near.shingle if near else shingle, near.seeds if near else 1) for t in texts], near.seeds if near else 1)
+            check = longs([signature(t, near.check_shingle, near.parts) if near else np.array([], dtype="<u8") for t in texts], near.parts if near else 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), fps, check], names=["id", "fps", "check"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, fps array<bigint>")
+    return rows.mapInArrow(run, "id long, fps array<bigint>, check array<bigint>")
 
 
 def _signed(x: int) -> int:
@@ -112,10 +147,11 @@ def _flips(mask: int, most: int) -> list[int]:
     return [_signed(sum(1 << i for i in bits)) for k in range(most + 1) for bits in combinations(free, k)]
 
 
-def fingerprint_links(fps: DataFrame, radius: int = 2) -> DataFrame:
+def fingerprint_links(fps: DataFrame, radius: int = 2, both_ends: bool = False) -> DataFrame:
     """Edges ``seed``, ``a``, ``b`` that connect the distinct longs ``fp`` of each ``seed`` as links within ``radius`` do.
 
-    Every edge is a link; not every link is an edge, but its ends are connected.
+    Every edge is a link; not every link is an edge, but its ends are connected.  With
+    ``both_ends`` a hub's members have edges to its greatest too, not to its least only.
     ``radius`` is even.  Nulls take no part.
     """
     if radius < 0 or radius % 2:
@@ -134,33 +170,43 @@ def fingerprint_links(fps: DataFrame, radius: int = 2) -> DataFrame:
         .select("seed", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("hub"))
     )
     stars = hubs.groupBy("seed", "hub").agg(F.collect_set("fp").alias("members")).where(F.size("members") > 1)
-    return (
-        stars.select("seed", F.array_min("members").alias("b"), F.explode("members").alias("a")).where("a <> b").select("seed", "a", "b").distinct()
-    )
+    ends = F.array(F.array_min("members"), F.array_max("members")) if both_ends else F.array(F.array_min("members"))
+    edges = stars.select("seed", "members", F.explode(ends).alias("b")).select("seed", "b", F.explode("members").alias("a"))
+    return edges.where("a <> b").select("seed", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, seeds: int = 1) -> DataFrame:
-    """One row for each row of ``docs``: ``id``, ``fps``, ``component``, the least id reachable over links.
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, near: Near | None = None) -> DataFrame:
+    """One row for each row of ``docs``: ``id``, ``fps``, ``check``, ``component``, the least id reachable over links.
 
     A null or empty text has fingerprints of zero and links as others do.  A row with
     a null id is returned and connects others, but never names a component; a
     component without any id has a null name.  Repeated rows stay repeated.  Other
     columns of ``docs`` are not read.
     """
-    sig = stored(fingerprints(docs, id_col, text_col, shingle, seeds), "fingerprints")
-    distinct = stored(sig.groupBy("fps").agg(F.min("id").alias("low")).withColumn("node", F.monotonically_increasing_id()), "distinct")
+    sig = stored(fingerprints(docs, id_col, text_col, shingle, near), "fingerprints")
+    distinct = stored(sig.groupBy("fps", "check").agg(F.min("id").alias("low")).withColumn("node", F.monotonically_increasing_id()), "distinct")
     each = distinct.select("node", F.posexplode("fps").alias("seed", "fp"))
     # The texts of one fingerprint hang on the least of them; fingerprints that link tie these together.
-    firsts = stored(each.groupBy("seed", "fp").agg(F.min("node").alias("first")), "firsts")
-    same = each.join(firsts, ["seed", "fp"]).where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    firsts = stored(each.groupBy("seed", "fp").agg(F.min("node").alias("first"), F.max("node").alias("last")), "firsts")
     side = lambda x: firsts.select("seed", F.col("fp").alias(x), F.col("first").alias(f"first_{x}"))
-    near = fingerprint_links(firsts.select("seed", "fp"), radius).join(side("a"), ["seed", "a"]).join(side("b"), ["seed", "b"])
-    edges = near.select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
-    found = connected_components(edges.unionByName(same) if seeds > 1 else edges)
-    named = distinct.join(found.withColumnRenamed("node", "n"), distinct.node == F.col("n"), "left").select("fps", "low", F.coalesce("component", "node").alias("label"))
+    tied = fingerprint_links(firsts.select("seed", "fp"), radius, near is not None).join(side("a"), ["seed", "a"]).join(side("b"), ["seed", "b"])
+    edges = tied.select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    if near:
+        ends = each.join(firsts, ["seed", "fp"]).select("node", F.explode(F.array("first", "last")).alias("end"))
+        edges = edges.unionByName(ends.select(F.col("node").alias("a"), F.col("end").alias("b")))
+        edges = _checked(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), distinct, near.most_bits)
+    found = connected_components(edges).withColumnRenamed("node", "n")
+    named = distinct.join(found, distinct.node == F.col("n"), "left").select("fps", "check", "low", F.coalesce("component", "node").alias("label"))
     lows = stored(named.where(F.col("low").isNotNull()).groupBy("label").agg(F.min("low").alias("component")), "lows")
-    names = stored(named.join(lows, "label", "left").select("fps", "component"), "names")
-    return sig.join(names, "fps").select("id", "fps", "component")
+    names = stored(named.join(lows, "label", "left").select("fps", "check", "component"), "names")
+    return sig.join(names, ["fps", "check"]).select("id", "fps", "check", "component")
+
+
+def _checked(edges: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
+    """The edges whose ends' check bits differ in at most ``most``."""
+    one, two = (nodes.select(F.col("node").alias(x), F.col("check").alias(f"check_{x}")) for x in "ab")
+    off = F.aggregate(F.zip_with("check_a", "check_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return edges.join(one, "a").join(two, "b").where(off <= most).select("a", "b")
 
 
 def fingerprint_hex(fp):
@@ -168,14 +214,14 @@ def fingerprint_hex(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, seeds: int = 1) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, near: Near | None = None) -> DataFrame:
     """The rows of ``docs`` whose id names its component: one document of each group.
 
     Rows that repeat an id are one document, of which the row of the least text stays.
     Rows without an id cannot be told from copies by name; they stay unless their group has
     a document with an id, and copies among them are reduced to one by their text.
     """
-    groups = stored(simhash_groups(docs, id_col, text_col, shingle, radius, seeds), "groups")
+    groups = stored(simhash_groups(docs, id_col, text_col, shingle, radius, near), "groups")
     ids = groups.where("id is not null").groupBy("id").agg(F.count("*").alias("n"), F.max(F.expr("id = component")).alias("keep"))
     ids = stored(ids.where("keep").select(F.col("id").alias("__id"), "n"), "kept")
     # The same plan at every size: kept ids grow with the documents, so both sides are dealt by id.
@@ -183,11 +229,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     row = F.struct(*docs.columns)
     twice = docs.join(ids.where("n > 1"), F.col(id_col) == F.col("__id"), "left_semi").groupBy(F.col(id_col).alias("__id"))
     twice = twice.agg(F.min_by(row, F.struct(F.col(text_col), F.to_json(row))).alias("__row")).select("__row.*")
-    lone = groups.where("id is null and component is null").select(F.col("fps").alias("__fps")).distinct()
-    return named.unionByName(twice).unionByName(_unnamed(docs, lone, id_col, text_col, shingle, seeds))
+    lone = groups.where("id is null and component is null").select(F.concat("fps", "check").alias("__fps")).distinct()
+    return named.unionByName(twice).unionByName(_unnamed(docs, lone, id_col, text_col, shingle, near))
 
 
-def _unnamed(docs: DataFrame, lone: DataFrame, id_col: str, text_col: str, shingle: int, seeds: int) -> DataFrame:
+def _unnamed(docs: DataFrame, lone: DataFrame, id_col: str, text_col: str, shingle: int, near: Near | None) -> DataFrame:
     """Of the rows without an id those that no document with an id stands for, one for each text."""
     rows = docs.where(F.col(id_col).isNull())
     schema = T.StructType([*rows.schema.fields, T.StructField("__fps", T.ArrayType(T.LongType()))])
@@ -195,7 +241,9 @@ def _unnamed(docs: DataFrame, lone: DataFrame, id_col: str, text_col: str, shing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(text_col).cast(pa.binary())
-            fps = [signature(t.as_py() or b"", shingle, seeds).view("<i8").tolist() for t in texts]
+            texts = [t.as_py() or b"" for t in texts]
+            fps = [np.concatenate((signature(t, near.shingle, near.seeds), signature(t, near.check_shingle, near.parts))) if near else signature(t, shingle) for t in texts]
+            fps = [x.view("<i8").tolist() for x in fps]
             yield batch.append_column("__fps", pa.array(fps, pa.list_(pa.int64())))
 
     marked = rows.mapInArrow(run, schema)

@@ -38,7 +38,7 @@ def brute(spark, at, rows, items):
     net = quality_cnn.fit(docs, spark.read.parquet(f"{at}/labels.parquet"))
     rows = [r for r in rows if net.score((r[1] or "").encode()) >= 0.3]
     first = rows
-    groups = test_simhash.brute([(r[0], r[1]) for r in rows], seeds=pipe.SEEDS)
+    groups = test_simhash.brute([(r[0], r[1]) for r in rows], near=pipe.NEAR)
     rows = [r for r, g in zip(rows, groups, strict=True) if r[0] == g[2]]
     bad = test_decontaminate.brute([(r[0], r[1]) for r in rows], items)
     rows = [r for r, b in zip(rows, bad, strict=True) if not b[4]]
