@@ -94,8 +94,8 @@ def clean_vectors(vectors: DataFrame, column: str = "vec") -> DataFrame:
     return vectors.withColumn(column, vec).where(F.col(column).isNotNull() & (F.size(column) > 0) & finite)
 
 
-def vector_scores(vectors: DataFrame, queries: DataFrame, k: int | None = None, most: int = 4096) -> DataFrame:
-    """``query``, ``doc``, ``score``: dot products, to six places, of vectors (id, vec) and queries (query, vec) of one length.
+def vector_scores(vectors: DataFrame, queries: DataFrame, k: int | None = None, most: int = 4096, places: int = 6) -> DataFrame:
+    """``query``, ``doc``, ``score``: dot products, to ``places``, of vectors (id, vec) and queries (query, vec) of one length.
 
     Queries go to the tasks in blocks of about ``most``, dealt by a hash; each Arrow batch of
     vectors is multiplied with a block as one matrix.  With ``k`` a batch hands on each
@@ -113,12 +113,12 @@ def vector_scores(vectors: DataFrame, queries: DataFrame, k: int | None = None,
         for size in {len(r.vec) for r in mine}:
             some = [r for r in mine if len(r.vec) == size]
             by_size[size] = np.array([r.query for r in some]), np.array([r.vec for r in some])
-        part = rows.mapInArrow(_products(queries.sparkSession.sparkContext.broadcast(by_size), k), f"query {kinds[0]}, doc {kinds[1]}, score double")
+        part = rows.mapInArrow(_products(queries.sparkSession.sparkContext.broadcast(by_size), k, places), f"query {kinds[0]}, doc {kinds[1]}, score double")
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _products(held, k: int | None):
+def _products(held, k: int | None, places: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = batch.column(1).value_lengths().to_numpy() if batch.num_rows else np.array([], dtype=int)
@@ -131,7 +131,7 @@ def _products(held, k: int | None):
                 rows = part.column(1).flatten().to_numpy().reshape(part.num_rows, size)
                 # Query blocks of bounded size: the products of a batch never stand in memory all at once.
                 for at in range(0, len(names), 512):
-                    scores = np.round(rows @ matrix[at : at + 512].T, 6)
+                    scores = np.round(rows @ matrix[at : at + 512].T, places)
                     least = np.partition(scores, -k, axis=0)[-k] if k and len(ids) > k else np.full(scores.shape[1], -np.inf)
                     doc, query = np.nonzero(scores >= least)
                     yield pa.RecordBatch.from_arrays([pa.array(names[at + query]), pa.array(ids[doc]), pa.array(scores[doc, query])], names=["query", "doc", "score"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .index import dot
 from .retrieve import vector_scores
 
 FEATURE = "array<struct<part:string,relation:string,distinctive:boolean,query_visible:boolean,reference_visible:boolean,query_detail:string,reference_detail:string,query_surface:string,reference_surface:string,same_region:boolean>>"
@@ -13,7 +14,7 @@ FEATURE = "array<struct<part:string,relation:string,distinctive:boolean,query_vi
 def _scores(queries: DataFrame, views: DataFrame, most: int = 4096) -> DataFrame:
     """Scores of query views (query, qview, qvec) against all views (view, work, vec), by blocks of query views as one matrix."""
     asked = queries.select(F.struct("query", "qview").alias("q"), "qvec").withColumn("query", F.xxhash64("q"))
-    scores = vector_scores(views.select(F.col("view").alias("id"), "vec"), asked.select("query", F.col("qvec").alias("vec")), most=most)
+    scores = vector_scores(views.select(F.col("view").alias("id"), "vec"), asked.select("query", F.col("qvec").alias("vec")), most=most, places=12)
     named = scores.join(asked.select("query", "q"), "query").select("q.query", "q.qview", F.col("doc").alias("view"), F.col("score").alias("s"))
     return named.join(views.select("view", "work"), "view")
 
