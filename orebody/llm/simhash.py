@@ -16,11 +16,12 @@ a hub, so the star from a hub's least member to the others keeps all links.  For
 radius 2 a hub has at most 65 members however large a group of copies is.
 
 A near copy may differ in more bits than that.  ``Near`` describes links for near copies:
-candidates are texts of which one of several fingerprints of single words (each from the same
-hashes mixed anew) is within the radius; of these, the texts link whose ``check`` bits,
-a long SimHash of five-word shingles, differ in no more bits than a similarity allows.
-A hub's least and greatest member stand for it there, so links that only others of its
-members would show can be lost.
+candidates are texts that share a bucket by one of several fingerprints of single words (each from the same
+hashes mixed anew), as all within the radius do; of these, the texts link whose ``check`` bits,
+a long SimHash of five-word shingles, differ in no more bits than a similarity allows.  As
+the check decides, no hubs are needed: a bucket's members are compared with one of
+them, chosen by a hash of its own for each fingerprint, so work is linear in a bucket
+whatever its size.  A pair that only others of its buckets' members would show can be lost.
 """
 
 from __future__ import annotations
@@ -50,7 +51,7 @@ class Near:
     are allowed for what a number of bits says of it.
     """
 
-    seeds: int = 12
+    seeds: int = 6
     shingle: int = 1
     check_shingle: int = 5
     parts: int = 16
@@ -109,25 +110,41 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int(signature(text, shingle)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, near: Near | None = None) -> DataFrame:
-    """``id``, ``fps``, ``check`` (arrays of bits as signed longs) for each row of ``docs``.
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """``id``, ``fp`` (the fingerprint's bits as a signed long) for each row of ``docs``."""
 
-    Without ``near`` there is one fingerprint of ``shingle`` words and nothing to check.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).cast(pa.binary())
+            fps = np.array([signature(t.as_py() or b"", shingle)[0] for t in texts], dtype="<u8")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view("<i8"))], names=["id", "fp"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "id long, fp long")
+
+
+def _text_key(text: bytes) -> bytes:
+    import xxhash
+
+    return xxhash.xxh3_128_digest(text)
+
+
+def near_signatures(docs: DataFrame, near: Near, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id``, ``key`` (digest of the text), ``fps``, ``check`` (arrays of bits as signed longs) for each row of ``docs``."""
 
     def longs(rows: list[np.ndarray], width: int) -> pa.Array:
-        flat = pa.array(np.concatenate(rows).view("<i8") if rows and width else np.array([], dtype="<i8"))
+        flat = pa.array(np.concatenate(rows).view("<i8") if rows else np.array([], dtype="<i8"))
         return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * width), flat)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.as_py() or b"" for t in batch.column(1).cast(pa.binary())]
-            fps = longs([signature(t, near.shingle if near else shingle, near.seeds if near else 1) for t in texts], near.seeds if near else 1)
-            check = longs([signature(t, near.check_shingle, near.parts) if near else np.array([], dtype="<u8") for t in texts], near.parts if near else 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), fps, check], names=["id", "fps", "check"])
+            fps = longs([signature(t, near.shingle, near.seeds) for t in texts], near.seeds)
+            check = longs([signature(t, near.check_shingle, near.parts) for t in texts], near.parts)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_text_key(t) for t in texts], pa.binary()), fps, check], names=["id", "key", "fps", "check"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, fps array<bigint>, check array<bigint>")
+    return rows.mapInArrow(run, "id long, key binary, fps array<bigint>, check array<bigint>")
 
 
 def _signed(x: int) -> int:
@@ -147,66 +164,74 @@ def _flips(mask: int, most: int) -> list[int]:
     return [_signed(sum(1 << i for i in bits)) for k in range(most + 1) for bits in combinations(free, k)]
 
 
-def fingerprint_links(fps: DataFrame, radius: int = 2, both_ends: bool = False) -> DataFrame:
-    """Edges ``seed``, ``a``, ``b`` that connect the distinct longs ``fp`` of each ``seed`` as links within ``radius`` do.
+def _keys(masks: list[int]):
+    """Column: the table and the kept bits of ``fp`` for each of ``masks``."""
+    return F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("t", "bits")
+
+
+def fingerprint_links(fps: DataFrame, radius: int = 2) -> DataFrame:
+    """Edges ``a``, ``b`` that connect the distinct longs of ``fp`` as links within ``radius`` do.
 
-    Every edge is a link; not every link is an edge, but its ends are connected.  With
-    ``both_ends`` a hub's members have edges to its greatest too, not to its least only.
+    Every edge is a link; not every link is an edge, but its ends are connected.
     ``radius`` is even.  Nulls take no part.
     """
     if radius < 0 or radius % 2:
         raise ValueError("radius must be even and not negative")
     masks = covering_masks(radius)
-    keys = fps.where("fp is not null").select(
-        "seed", "fp",
-        F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("t", "key"),
-    )
+    keys = fps.where("fp is not null").select("fp", _keys(masks))
     # Written first, so that the join stands on its own and a bucket of very many can be split.
-    shared = stored(keys.groupBy("seed", "t", "key").agg(F.count("*").alias("n")).where("n > 1").select("seed", "t", "key"), "shared")
+    shared = stored(keys.groupBy("t", "bits").agg(F.count("*").alias("n")).where("n > 1").select("t", "bits"), "shared")
     flips = F.array(*[F.array(*[F.lit(x) for x in _flips(m, radius // 2)]) for m in masks])
     hubs = (
-        keys.join(shared, ["seed", "t", "key"])
-        .select("seed", "fp", F.explode(F.element_at(flips, F.col("t") + 1)).alias("flip"))
-        .select("seed", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("hub"))
+        keys.join(shared, ["t", "bits"])
+        .select("fp", F.explode(F.element_at(flips, F.col("t") + 1)).alias("flip"))
+        .select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("hub"))
+    )
+    stars = hubs.groupBy("hub").agg(F.collect_set("fp").alias("members")).where(F.size("members") > 1)
+    return (
+        stars.select(F.array_min("members").alias("b"), F.explode("members").alias("a")).where("a <> b").select("a", "b").distinct()
     )
-    stars = hubs.groupBy("seed", "hub").agg(F.collect_set("fp").alias("members")).where(F.size("members") > 1)
-    ends = F.array(F.array_min("members"), F.array_max("members")) if both_ends else F.array(F.array_min("members"))
-    edges = stars.select("seed", "members", F.explode(ends).alias("b")).select("seed", "b", F.explode("members").alias("a"))
-    return edges.where("a <> b").select("seed", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, near: Near | None = None) -> DataFrame:
-    """One row for each row of ``docs``: ``id``, ``fps``, ``check``, ``component``, the least id reachable over links.
+def _named(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``nodes`` (node, low, ...) without ``low`` and with ``component``: the least ``low`` reachable over ``edges``; stored."""
+    found = connected_components(edges).withColumnRenamed("node", "n")
+    named = nodes.join(found, nodes.node == F.col("n"), "left").drop("n").withColumn("label", F.coalesce("component", "node")).drop("component")
+    lows = stored(named.where(F.col("low").isNotNull()).groupBy("label").agg(F.min("low").alias("component")), "lows")
+    return stored(named.join(lows, "label", "left").drop("label", "low"), "names")
+
+
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
+    """One row for each row of ``docs``: ``id``, ``fp``, ``component``, the least id reachable over links.
 
-    A null or empty text has fingerprints of zero and links as others do.  A row with
+    A null or empty text has fingerprint zero and links as others do.  A row with
     a null id is returned and connects others, but never names a component; a
     component without any id has a null name.  Repeated rows stay repeated.  Other
     columns of ``docs`` are not read.
     """
-    sig = stored(fingerprints(docs, id_col, text_col, shingle, near), "fingerprints")
-    distinct = stored(sig.groupBy("fps", "check").agg(F.min("id").alias("low")).withColumn("node", F.monotonically_increasing_id()), "distinct")
-    each = distinct.select("node", F.posexplode("fps").alias("seed", "fp"))
-    # The texts of one fingerprint hang on the least of them; fingerprints that link tie these together.
-    firsts = stored(each.groupBy("seed", "fp").agg(F.min("node").alias("first"), F.max("node").alias("last")), "firsts")
-    side = lambda x: firsts.select("seed", F.col("fp").alias(x), F.col("first").alias(f"first_{x}"))
-    tied = fingerprint_links(firsts.select("seed", "fp"), radius, near is not None).join(side("a"), ["seed", "a"]).join(side("b"), ["seed", "b"])
-    edges = tied.select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
-    if near:
-        ends = each.join(firsts, ["seed", "fp"]).select("node", F.explode(F.array("first", "last")).alias("end"))
-        edges = edges.unionByName(ends.select(F.col("node").alias("a"), F.col("end").alias("b")))
-        edges = _checked(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), distinct, near.most_bits)
-    found = connected_components(edges).withColumnRenamed("node", "n")
-    named = distinct.join(found, distinct.node == F.col("n"), "left").select("fps", "check", "low", F.coalesce("component", "node").alias("label"))
-    lows = stored(named.where(F.col("low").isNotNull()).groupBy("label").agg(F.min("low").alias("component")), "lows")
-    names = stored(named.join(lows, "label", "left").select("fps", "check", "component"), "names")
-    return sig.join(names, ["fps", "check"]).select("id", "fps", "check", "component")
+    sig = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    distinct = stored(sig.groupBy("fp").agg(F.min("id").alias("low")), "distinct")
+    names = _named(distinct.withColumn("node", F.col("fp")), fingerprint_links(distinct, radius))
+    return sig.join(names, "fp").select("id", "fp", "component")
 
 
-def _checked(edges: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
-    """The edges whose ends' check bits differ in at most ``most``."""
+def near_groups(docs: DataFrame, near: Near, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
+    """One row for each row of ``docs``: ``id``, ``key`` (digest of the text), ``component``, the least id reachable over links of ``near``.
+
+    Nulls, empty texts and repeated rows are treated as by ``simhash_groups``.
+    """
+    sig = stored(near_signatures(docs, near, id_col, text_col), "signatures")
+    nodes = sig.groupBy("key").agg(F.min("id").alias("low"), F.first("fps").alias("fps"), F.first("check").alias("check"))
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    keys = nodes.select("node", F.posexplode("fps").alias("seed", "fp")).select("node", "seed", _keys(covering_masks(radius)))
+    chosen = keys.groupBy("seed", "t", "bits").agg(F.min_by("node", F.xxhash64("node", "seed")).alias("one"), F.count("*").alias("n"))
+    chosen = stored(chosen.where("n > 1").select("seed", "t", "bits", "one"), "chosen")
+    met = keys.join(chosen, ["seed", "t", "bits"]).where("node <> one").select(F.greatest("node", "one").alias("a"), F.least("node", "one").alias("b")).distinct()
     one, two = (nodes.select(F.col("node").alias(x), F.col("check").alias(f"check_{x}")) for x in "ab")
     off = F.aggregate(F.zip_with("check_a", "check_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return edges.join(one, "a").join(two, "b").where(off <= most).select("a", "b")
+    edges = met.join(one, "a").join(two, "b").where(off <= near.most_bits).select("a", "b")
+    names = _named(nodes.select("node", "low", "key"), edges)
+    return sig.select("id", "key").join(names.select("key", "component"), "key")
 
 
 def fingerprint_hex(fp):
@@ -214,14 +239,19 @@ def fingerprint_hex(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, near: Near | None = None) -> DataFrame:
+def keep_one(docs: DataFrame, near: Near | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id names its component: one document of each group.
 
+    Groups are those of ``simhash_groups``, or with ``near`` those of ``near_groups``.
     Rows that repeat an id are one document, of which the row of the least text stays.
     Rows without an id cannot be told from copies by name; they stay unless their group has
     a document with an id, and copies among them are reduced to one by their text.
     """
-    groups = stored(simhash_groups(docs, id_col, text_col, shingle, radius, near), "groups")
+    if near:
+        groups = near_groups(docs, near, id_col, text_col)
+    else:
+        groups = simhash_groups(docs, id_col, text_col).withColumnRenamed("fp", "key")
+    groups = stored(groups, "groups")
     ids = groups.where("id is not null").groupBy("id").agg(F.count("*").alias("n"), F.max(F.expr("id = component")).alias("keep"))
     ids = stored(ids.where("keep").select(F.col("id").alias("__id"), "n"), "kept")
     # The same plan at every size: kept ids grow with the documents, so both sides are dealt by id.
@@ -229,22 +259,22 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     row = F.struct(*docs.columns)
     twice = docs.join(ids.where("n > 1"), F.col(id_col) == F.col("__id"), "left_semi").groupBy(F.col(id_col).alias("__id"))
     twice = twice.agg(F.min_by(row, F.struct(F.col(text_col), F.to_json(row))).alias("__row")).select("__row.*")
-    lone = groups.where("id is null and component is null").select(F.concat("fps", "check").alias("__fps")).distinct()
-    return named.unionByName(twice).unionByName(_unnamed(docs, lone, id_col, text_col, shingle, near))
+    lone = groups.where("id is null and component is null").select(F.col("key").alias("__key")).distinct()
+    return named.unionByName(twice).unionByName(_unnamed(docs, lone, id_col, text_col, near is not None))
 
 
-def _unnamed(docs: DataFrame, lone: DataFrame, id_col: str, text_col: str, shingle: int, near: Near | None) -> DataFrame:
+def _unnamed(docs: DataFrame, lone: DataFrame, id_col: str, text_col: str, by_text: bool) -> DataFrame:
     """Of the rows without an id those that no document with an id stands for, one for each text."""
     rows = docs.where(F.col(id_col).isNull())
-    schema = T.StructType([*rows.schema.fields, T.StructField("__fps", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*rows.schema.fields, T.StructField("__key", T.BinaryType() if by_text else T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(text_col).cast(pa.binary())
-            texts = [t.as_py() or b"" for t in texts]
-            fps = [np.concatenate((signature(t, near.shingle, near.seeds), signature(t, near.check_shingle, near.parts))) if near else signature(t, shingle) for t in texts]
-            fps = [x.view("<i8").tolist() for x in fps]
-            yield batch.append_column("__fps", pa.array(fps, pa.list_(pa.int64())))
-
-    marked = rows.mapInArrow(run, schema)
-    return marked.join(lone, "__fps", "left_semi").dropDuplicates([text_col]).drop("__fps")
+            texts = [t.as_py() or b"" for t in batch.column(text_col).cast(pa.binary())]
+            if by_text:
+                keys = pa.array([_text_key(t) for t in texts], pa.binary())
+            else:
+                keys = pa.array([int(signature(t).view("<i8")[0]) for t in texts], pa.int64())
+            yield batch.append_column("__key", keys)
+
+    return rows.mapInArrow(run, schema).join(lone, "__key", "left_semi").dropDuplicates([text_col]).drop("__key")

@@ -77,3 +77,19 @@ def test_stages_on_empty_tables(spark, tables):
     for _, stage in pipe.STAGES:
         docs = stage(spark, docs, at)
         assert docs.count() == 0
+
+
+def test_stages_keep_columns_of_names_that_operators_use(spark, tables):
+    at, _, _ = tables
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    names = ("id", "key", "fp", "fps", "check", "component", "label", "y", "score", "term", "size", "copies", "spans", "base")
+    more = docs.withColumns({n: pipe.F.concat(pipe.F.lit(f"{n}:"), pipe.F.coalesce(pipe.F.col("doc_id").cast("string"), pipe.F.lit("none"))) for n in names})
+    want = docs
+    for _, stage in pipe.STAGES[:2] + pipe.STAGES[3:4]:
+        more, want = pipe.stored(stage(spark, more, at), "more"), pipe.stored(stage(spark, want, at), "want")
+        assert more.columns == [*docs.columns, *names]
+        rows = more.collect()
+        assert sorted(map(str, (tuple(r[c] for c in docs.columns) for r in rows))) == sorted(map(str, map(tuple, want.collect())))
+        assert all(r[n] == f"{n}:{'none' if r.doc_id is None else r.doc_id}" for r in rows for n in names)
+    clean = pipe.benchmark_free(spark, more, at)
+    assert clean.columns == more.columns and clean.count() == pipe.benchmark_free(spark, want, at).count()
