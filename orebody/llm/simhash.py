@@ -223,8 +223,9 @@ def near_groups(docs: DataFrame, near: Near, id_col: str = "doc_id", text_col: s
     sig = stored(near_signatures(docs, near, id_col, text_col), "signatures")
     nodes = sig.groupBy("key").agg(F.min("id").alias("low"), F.first("fps").alias("fps"), F.first("check").alias("check"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    keys = nodes.select("node", F.posexplode("fps").alias("seed", "fp")).select("node", "seed", _keys(covering_masks(radius)))
-    chosen = keys.groupBy("seed", "t", "bits").agg(F.min_by("node", F.xxhash64("node", "seed")).alias("one"), F.count("*").alias("n"))
+    keys = nodes.select("node", F.xxhash64("key").alias("h"), F.posexplode("fps").alias("seed", "fp")).select("node", "h", "seed", _keys(covering_masks(radius)))
+    # Chosen by the text, not by the node's number, which another run may deal otherwise.
+    chosen = keys.groupBy("seed", "t", "bits").agg(F.min_by("node", F.xxhash64("h", "seed")).alias("one"), F.count("*").alias("n"))
     chosen = stored(chosen.where("n > 1").select("seed", "t", "bits", "one"), "chosen")
     met = keys.join(chosen, ["seed", "t", "bits"]).where("node <> one").select(F.greatest("node", "one").alias("a"), F.least("node", "one").alias("b")).distinct()
     one, two = (nodes.select(F.col("node").alias(x), F.col("check").alias(f"check_{x}")) for x in "ab")
