@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_tools, cube_mix, decontaminate, embedding_dups, html_extract, license_scan, quality_cnn, secret_scan, simhash, token_counts
+from . import byte_bpe, chat_tools, cube_mix, decontaminate, embedding_dups, html_extract, license_scan, quality_cnn, secret_scan, simhash, token_counts
 from .storage import shared_dir
 
 
@@ -83,6 +83,17 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    back = byte_bpe.decode(byte_bpe.encode(_table(spark, sf_dir, "documents"), ranks), ranks)
+    return back.select(
+        F.col("id").alias("doc_id"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_token_counts": op2_token_counts,
@@ -94,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_embedding_dups": op9_embedding_dups,
     "op10_html_extract": op10_html_extract,
+    "op11_byte_bpe": op11_byte_bpe,
 }
 
 #: DuckDB SQL of those queries that SQL can express.

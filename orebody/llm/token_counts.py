@@ -107,14 +107,14 @@ class Counter:
         return [out[i] if i in out else sum(map(count, words[i])) for i in range(len(texts))]
 
 
-def _slices(texts: list[str]) -> Iterator[list[str]]:
-    """``texts`` in order, in lists of about ``SLICE_CHARS`` characters."""
+def _slices(texts: list[str], chars: int = SLICE_CHARS) -> Iterator[list[str]]:
+    """``texts`` in order, in lists of about ``chars`` characters."""
     part: list[str] = []
     held = 0
     for t in texts:
         part.append(t)
         held += len(t)
-        if held >= SLICE_CHARS:
+        if held >= chars:
             yield part
             part, held = [], 0
     if part:
