@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_tools, cube_mix, decontaminate, embedding_dups, html_extract, license_scan, quality_cnn, secret_scan, simhash, token_counts
+from . import byte_bpe, chat_tools, cube_mix, decontaminate, embedding_dups, html_extract, license_scan, periodic_runs, quality_cnn, secret_scan, simhash, token_counts
 from .storage import shared_dir
 
 
@@ -94,6 +94,16 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", periodic_runs.planted(F.col("text"), F.col("doc_id")).alias("text"))
+    found = periodic_runs.periodic_runs(docs)
+    return found.select(
+        F.col("id").alias("doc_id"), "n_runs", "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(periodic_runs.runs_text(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_token_counts": op2_token_counts,
@@ -106,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_embedding_dups": op9_embedding_dups,
     "op10_html_extract": op10_html_extract,
     "op11_byte_bpe": op11_byte_bpe,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 #: DuckDB SQL of those queries that SQL can express.
