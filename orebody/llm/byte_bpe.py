@@ -33,9 +33,11 @@ from .storage import stored
 from .token_counts import _slices
 
 #: Words that go to every task, characters of the longest of them, and bytes that are replayed at once.
-HEAD, WORD, REPLAY_BYTES = 200_000, 64, 4_000_000
+HEAD, WORD, REPLAY_BYTES = 200_000, 64, 1_000_000
 #: Characters of text that are encoded at once.
-SLICE = 4_000_000
+SLICE = 2_000_000
+#: Places of a merge from which on arrays are quicker than a loop.
+BULK = 200
 #: Distinct pairs of tokens whose rank a worker remembers.
 PAIRS = 2_000_000
 
@@ -152,11 +154,15 @@ class Ranks:
         tok, pr = array("i", self._single[raw].tobytes()), array("i", merge.tobytes())
         nxt, prv = array("q", after.tobytes()), array("q", before.tobytes())
         alive = bytearray(b"\1") * n
+        views = [np.frombuffer(x, dtype=d) for x, d in ((tok, np.int32), (pr, np.int32), (nxt, np.int64), (prv, np.int64), (alive, np.uint8))]
         known, push = self._pairs.get, heapq.heappush
         while heap:
             r = heapq.heappop(heap)
             places = at.pop(r)
-            places.sort()
+            if len(places) >= BULK and self._bulk(r, places, views, at, heap):
+                continue
+            if len(places) > 1:
+                places.sort()
             for k, i in enumerate(places):
                 if pr[i] != r:
                     continue
@@ -166,18 +172,28 @@ class Ranks:
                 nxt[i] = right
                 if right >= 0:
                     prv[right] = i
-                for x, a, b in ((i, r, tok[right] if right >= 0 else -1), (left, tok[left] if left >= 0 else -1, r)):
-                    if a < 0 or b < 0:
-                        continue
-                    new = known(a << 32 | b)
+                    b = tok[right]
+                    new = known(r << 32 | b)
                     if new is None:
-                        new = self.rank(a, b)
-                    pr[x] = new
+                        new = self.rank(r, b)
+                    pr[i] = new
                     if new >= 0:
                         if new in at:
-                            at[new].append(x)
+                            at[new].append(i)
                         else:
-                            at[new] = [x]
+                            at[new] = [i]
+                            push(heap, new)
+                if left >= 0:
+                    a = tok[left]
+                    new = known(a << 32 | r)
+                    if new is None:
+                        new = self.rank(a, r)
+                    pr[left] = new
+                    if new >= 0:
+                        if new in at:
+                            at[new].append(left)
+                        else:
+                            at[new] = [left]
                             push(heap, new)
                 if heap and heap[0] < r and k + 1 < len(places):
                     at[r] = places[k + 1 :] + at.get(r, [])
@@ -188,6 +204,50 @@ class Ranks:
         stops = (np.cumsum(live, dtype=np.int64)[ends - 1] * 4).tolist()
         return [ids[a:b] for a, b in zip([0, *stops], stops)]
 
+    def _bulk(self, r: int, places: list[int], views: list[np.ndarray], at: dict[int, list[int]], heap: list[int]) -> bool:
+        """All merges to ``r`` as array operations; False, with nothing changed, where their order matters.
+
+        It does where one merge takes what another would begin with, or makes a lower rank possible.
+        """
+        tok, pr, nxt, prv, alive = views
+        p = np.unique(np.array(places, dtype=np.int64))
+        p = p[pr[p] == r]
+        j = nxt[p]
+        if not len(p):
+            return True
+        if (pr[j] == r).any():
+            return False
+        right, was = nxt[j], tok[p].copy()
+        inner = right >= 0
+        # Between two merges side by side the left one's token stands before what the right one begins with.
+        beside = right[inner][pr[right[inner]] == r]
+        if any(0 <= self.rank(r, t) < r for t in np.unique(tok[beside]).tolist()):
+            return False
+        tok[p], nxt[p] = r, right
+        prv[right[inner]] = p[inner]
+        left = prv[p]
+        x = np.unique(np.concatenate((p[inner], left[left >= 0])))
+        key, of = np.unique(tok[x].astype(np.int64) << 32 | tok[nxt[x]], return_inverse=True)
+        get = self._pairs.get
+        found = np.array([self.rank(k >> 32, k & 0xFFFFFFFF) if (q := get(k)) is None else q for k in key.tolist()], dtype=np.int32)
+        if ((found >= 0) & (found < r)).any():
+            tok[p], nxt[p] = was, j
+            prv[right[inner]] = j[inner]
+            return False
+        pr[j], pr[p], alive[j] = -1, -1, 0
+        new = found[of]
+        pr[x] = new
+        some = np.flatnonzero(new >= 0)
+        some = some[np.argsort(new[some], kind="stable")]
+        key, starts = np.unique(new[some], return_index=True)
+        for q, part in zip(key.tolist(), np.split(x[some], starts[1:])):
+            if q in at:
+                at[q] += part.tolist()
+            else:
+                at[q] = part.tolist()
+                heapq.heappush(heap, q)
+        return True
+
     def encode(self, texts: list[str], lexicon: dict[str, bytes]) -> list[bytes]:
         """The ids of each text, by ``lexicon`` and, for words that it lacks, by a replay over those of all ``texts``."""
         cut = [words(t) for t in texts]

@@ -29,6 +29,12 @@ def ids(raw):
     return [int.from_bytes(raw[i : i + 4], "little") for i in range(0, len(raw), 4)]
 
 
+def test_many_words_at_once_equal_the_library(library):
+    rng = random.Random(9)
+    some = {"".join(rng.choice(["ka", "tion", "er", "é", "日", "9", "--", "aa", "x"]) for _ in range(rng.randint(1, 12))) for _ in range(20_000)}
+    assert {w: ids(x) for w, x in TABLE.encode_words(some).items()} == {w: library.encode_ordinary(" " + w) for w in some}
+
+
 def test_hard_texts_equal_the_library_and_come_back(library):
     got = TABLE.encode(HARD, {})
     assert [ids(x) for x in got] == [library.encode_ordinary(t) for t in HARD]
@@ -58,8 +64,10 @@ def one_by_one(ranks, piece):
         now[i : i + 2] = [now[i] + now[i + 1]]
 
 
-def test_merges_that_make_lower_ranks_possible(tmp_path):
+@pytest.mark.parametrize("bulk", [1, 4, byte_bpe.BULK])
+def test_merges_that_make_lower_ranks_possible(tmp_path, monkeypatch, bulk):
     """Ranks in any order, as no trained file has them: a merge may open one that ranks before it."""
+    monkeypatch.setattr(byte_bpe, "BULK", bulk)
     rng = random.Random(3)
     for trial in range(40):
         parts = {bytes([i]) for i in range(256)}
