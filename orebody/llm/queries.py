@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_tools, cube_mix, decontaminate, embedding_dups, html_extract, license_scan, periodic_runs, quality_cnn, secret_scan, simhash, token_counts
+from . import byte_bpe, chat_tools, cube_mix, decontaminate, embedding_dups, html_extract, license_scan, periodic_runs, quality_cnn, secret_scan, simhash, token_counts, vector_codes
 from .storage import shared_dir
 
 
@@ -104,6 +104,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+    return found.withColumnsRenamed({"id": "vec_id", "group_error": "label_error"})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_token_counts": op2_token_counts,
@@ -117,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_extract": op10_html_extract,
     "op11_byte_bpe": op11_byte_bpe,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 #: DuckDB SQL of those queries that SQL can express.
@@ -127,4 +133,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_decontaminate": decontaminate.ORACLE_SQL,
     "op9_embedding_dups": embedding_dups.ORACLE_SQL,
     "op10_html_extract": html_extract.ORACLE_SQL,
+    "op13_vector_codes": vector_codes.ORACLE_SQL,
 }
