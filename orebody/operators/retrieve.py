@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.text import overlap, tokens
 from ..session import stored
 from .index import document_frequency, index_collection, index_postings, term_index
+from .topk import top_documents
 
 
 def top(scored: DataFrame, k: int, by: str = "query", score: str = "score", tie: str = "doc") -> DataFrame:
@@ -36,15 +37,34 @@ def _bm25(tf: Column, length: Column, df: Column, n: Column, avg_len: Column, k1
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, id_col: str = "doc_id", text_col: str = "text", within: str | None = None, index: DataFrame | None = None) -> DataFrame:
-    """``query``, ``doc``, ``score``, ``rank`` by BM25; with ``within``, statistics are those of that column's value.
+    """``query``, ``doc``, ``score``, ``rank`` by BM25; with ``within``, statistics are those of that column's value, and rows without one take no part.
 
-    Texts are read once, into ``index`` (made by ``term_index`` where not given).  Postings
-    are those of terms that a query has; they are written before document frequencies are
-    counted, so the join of a frequent word stands on its own and can be split.
+    Texts are read once, into ``index`` (made by ``term_index`` where not given).  Documents
+    are scored in their own partitions (``topk.top_documents``); where the queries are too
+    many to go to every task, their terms are joined to postings instead (``bm25_joined``).
     """
     keep = (within,) if within else ()
     index = term_index(docs, id_col, text_col, keep) if index is None else index
+    index = index.where(F.col(within).isNotNull()) if within else index
     terms = query_terms(queries)
+    found = top_documents(one_field(index, keep), terms, k, {"text": 1.0}, k1, b, within)
+    if found is None:
+        return bm25_joined(index, terms, k, k1, b, within)
+    return found.select("query", "doc", *keep, "score", "rank")
+
+
+def one_field(index: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A ``term_index`` as ``topk.top_documents`` reads it: its words are the field ``text``."""
+    return index.select("doc", *keep, F.array(F.struct(F.lit("text").alias("field"), F.col("words").alias("words"))).alias("fields"))
+
+
+def bm25_joined(index: DataFrame, terms: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, within: str | None = None) -> DataFrame:
+    """BM25 for any number of query ``terms`` (query, term, qtf), by joins.
+
+    Postings are those of terms that a query has; they are written before document
+    frequencies are counted, so the join of a frequent word stands on its own and can be split.
+    """
+    keep = (within,) if within else ()
     posts = stored(index_postings(index.select("doc", *keep, "len", "words"), terms.select("term").distinct()), "postings")
     stats = index_collection(index, keep)
     full = posts.join(document_frequency(posts, keep), [*keep, "term"])
@@ -63,11 +83,24 @@ def bm25f(fields: DataFrame, queries: DataFrame, weights: dict[str, float], k: i
 
     Field frequencies are normalised by length, weighted, added and saturated once;
     document frequency counts works; every work counts, even one without a token.  Which
-    fields matched is one bit each until the best are known.
+    fields matched is one bit each until the best are known.  A work's fields are brought
+    together once; then it is scored where it is (``topk.top_documents``), or by joins where the
+    queries are too many to go to every task.
     """
     if k1 <= 0 or not 0 <= b <= 1 or any(w <= 0 for w in weights.values()):
         raise ValueError("k1 and weights must be positive, b between 0 and 1")
     terms = query_terms(queries)
+    names = sorted(weights)
+    one = F.when(F.col("field").isin(*names), F.struct("field", tokens(F.col("text")).alias("words")))
+    index = stored(fields.groupBy(F.col("work").alias("doc")).agg(F.collect_list(one).alias("fields")), "works")
+    found = top_documents(index, terms, k, weights, k1, b, empty=True)
+    if found is None:
+        found = _bm25f_joined(fields, terms, weights, k, k1, b)
+    matched = F.array_compact(F.array(*[F.when(F.col("bits").bitwiseAND(1 << i) != 0, F.lit(f)) for i, f in enumerate(names)]))
+    return found.select("query", "doc", "score", matched.alias("fields"), "rank")
+
+
+def _bm25f_joined(fields: DataFrame, terms: DataFrame, weights: dict[str, float], k: int, k1: float, b: float) -> DataFrame:
     names = sorted(weights)
     table = F.create_map(*[F.lit(x) for f in names for x in (f, F.struct(F.lit(float(weights[f])).alias("w"), F.lit(1 << names.index(f)).alias("bit")))])
     index = stored(fields.select("work", "field", tokens(F.col("text")).alias("words")), "fields")
@@ -83,8 +116,7 @@ def bm25f(fields: DataFrame, queries: DataFrame, weights: dict[str, float], k: i
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = per.join(df, "term").select("work", "term", "bits", (idf * F.col("x") * (k1 + 1) / (F.col("x") + k1)).alias("w"))
     found = terms.join(weighed, "term").groupBy("query", F.col("work").alias("doc")).agg(F.round(F.sum(F.col("qtf") * F.col("w")), 6).alias("score"), F.bit_or("bits").alias("bits"))
-    matched = F.array_compact(F.array(*[F.when(F.col("bits").bitwiseAND(1 << i) != 0, F.lit(f)) for i, f in enumerate(names)]))
-    return top(found, k).select("query", "doc", "score", matched.alias("fields"), "rank")
+    return top(found, k)
 
 
 def clean_vectors(vectors: DataFrame, column: str = "vec") -> DataFrame:

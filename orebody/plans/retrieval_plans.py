@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..operators import index, relations
+from ..operators import index, relations, topk
 from ..operators import retrieve as r
 from .registry import Tables, query
 from .text_plans import FIELDS_SQL, POSTS, part_fields
@@ -36,6 +36,9 @@ def hits(t: Tables, k: int = 10, terms=None):
 
 def overlap_hits(t: Tables, terms, k: int = 10):
     q = r.query_terms(asked(t))
+    found = topk.top_documents(r.one_field(terms), q, k, {"text": 1.0}, presence=True)
+    if found is not None:
+        return found
     n = q.groupBy("query").agg(F.count("*").alias("n"))
     posts = index.index_postings(terms, q.select("term").distinct()).select("doc", "term")
     s = q.join(posts, "term").groupBy("query", "doc").agg(F.count("*").alias("m")).join(n, "query")
