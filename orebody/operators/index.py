@@ -104,9 +104,10 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def unit(vec: Column) -> Column:
-    """``vec`` over its norm; a zero vector stays as it is."""
+    """``vec`` over its norm; a zero vector stays as it is.  The norm is computed once."""
     norm = F.sqrt(dot(vec, vec))
-    return F.transform(vec, lambda x: x.cast("double") / F.when(norm == 0, 1.0).otherwise(norm))
+    over = F.transform(F.array(F.when(norm == 0, 1.0).otherwise(norm)), lambda n: F.transform(vec, lambda x: x.cast("double") / n))
+    return F.get(over, 0)
 
 
 def label_index(works: DataFrame, labels: dict[str, tuple[str, ...]], uncertain: str, id_col: str = "work") -> DataFrame:

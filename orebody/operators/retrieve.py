@@ -6,15 +6,12 @@ that the order of a shuffle cannot change a result; ties go to the lesser identi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import overlap, tokens
 from ..session import stored
+from . import cells
 from .index import document_frequency, index_collection, index_postings, term_index
 from .topk import top_documents
 
@@ -126,54 +123,12 @@ def clean_vectors(vectors: DataFrame, column: str = "vec") -> DataFrame:
     return vectors.withColumn(column, vec).where(F.col(column).isNotNull() & (F.size(column) > 0) & finite)
 
 
-def vector_scores(vectors: DataFrame, queries: DataFrame, k: int | None = None, most: int = 4096, places: int = 6) -> DataFrame:
-    """``query``, ``doc``, ``score``: dot products, to ``places``, of vectors (id, vec) and queries (query, vec) of one length.
+def cosine_top(vectors: DataFrame, queries: DataFrame, k: int = 10, most: int = cells.CHUNK) -> DataFrame:
+    """Exact nearest vectors by cosine: ``query``, ``doc``, ``score``, ``rank`` for (id, vec) against (query, vec), with at most about ``most`` queries a group.
 
-    Queries go to the tasks in blocks of about ``most``, dealt by a hash; each Arrow batch of
-    vectors is multiplied with a block as one matrix.  With ``k`` a batch hands on each
-    query's ``k`` best only, ties included, so little is shuffled.  Vectors that are null,
-    empty or hold null or non-finite components take no part.
+    See ``cells.nearest``.  Vectors that are null, empty or hold null or non-finite components take no part.
     """
-    asked = clean_vectors(queries.select("query", "vec"))
-    blocks = max(-(-asked.count() // max(most, 1)), 1)
-    kinds = dict(queries.dtypes)["query"], dict(vectors.dtypes)["id"]
-    rows = clean_vectors(vectors.select("id", "vec"))
-    out = None
-    for b in range(blocks):
-        mine = asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).collect()
-        by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for size in {len(r.vec) for r in mine}:
-            some = [r for r in mine if len(r.vec) == size]
-            by_size[size] = np.array([r.query for r in some]), np.array([r.vec for r in some])
-        part = rows.mapInArrow(_products(queries.sparkSession.sparkContext.broadcast(by_size), k, places), f"query {kinds[0]}, doc {kinds[1]}, score double")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def _products(held, k: int | None, places: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = batch.column(1).value_lengths().to_numpy() if batch.num_rows else np.array([], dtype=int)
-            for size in np.unique(sizes):
-                if size not in held.value:
-                    continue
-                names, matrix = held.value[size]
-                part = batch.filter(pa.array(sizes == size))
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                rows = part.column(1).flatten().to_numpy().reshape(part.num_rows, size)
-                # Query blocks of bounded size: the products of a batch never stand in memory all at once.
-                for at in range(0, len(names), 512):
-                    scores = np.round(rows @ matrix[at : at + 512].T, places)
-                    least = np.partition(scores, -k, axis=0)[-k] if k and len(ids) > k else np.full(scores.shape[1], -np.inf)
-                    doc, query = np.nonzero(scores >= least)
-                    yield pa.RecordBatch.from_arrays([pa.array(names[at + query]), pa.array(ids[doc]), pa.array(scores[doc, query])], names=["query", "doc", "score"])
-
-    return run
-
-
-def cosine_top(vectors: DataFrame, queries: DataFrame, k: int = 10, most: int = 4096) -> DataFrame:
-    """Exact nearest vectors: ``query``, ``doc``, ``score``, ``rank`` for unit vectors (id, vec) against (query, vec); see ``vector_scores``."""
-    return top(vector_scores(vectors, queries, max(k, 1), most), k)
+    return cells.nearest(cells.cells(vectors), queries, k, chunk=max(most, 1))
 
 
 def fuse(lanes: DataFrame, top_k: int = 5, constant: int = 60) -> DataFrame:

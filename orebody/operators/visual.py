@@ -5,31 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cells import best_works
 from .index import dot
-from .retrieve import vector_scores
 
 FEATURE = "array<struct<part:string,relation:string,distinctive:boolean,query_visible:boolean,reference_visible:boolean,query_detail:string,reference_detail:string,query_surface:string,reference_surface:string,same_region:boolean>>"
 
 
-def _scores(queries: DataFrame, views: DataFrame, most: int = 4096) -> DataFrame:
-    """Scores of query views (query, qview, qvec) against all views (view, work, vec), by blocks of query views as one matrix."""
-    asked = queries.select(F.struct("query", "qview").alias("q"), "qvec").withColumn("query", F.xxhash64("q"))
-    scores = vector_scores(views.select(F.col("view").alias("id"), "vec"), asked.select("query", F.col("qvec").alias("vec")), most=most, places=12)
-    named = scores.join(asked.select("query", "q"), "query").select("q.query", "q.qview", F.col("doc").alias("view"), F.col("score").alias("s"))
-    return named.join(views.select("view", "work"), "view")
-
-
 def best_views(queries: DataFrame, views: DataFrame, k: int = 5) -> DataFrame:
     """The best view of each work by the highest score over query views: ``query``, ``work``, ``view``, ``score``, ``rank``."""
-    top = _scores(queries, views).groupBy("query", "work", "view").agg(F.round(F.max("s"), 6).alias("score")).groupBy("query", "work").agg(F.max("score").alias("score"), F.min_by("view", F.struct(-F.col("score"), "view")).alias("view"))
-    return top.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "work"))).where(F.col("rank") <= k)
+    return best_works(queries, views, k, mean=False)
 
 
 def coverage(queries: DataFrame, views: DataFrame, k: int = 5) -> DataFrame:
     """Works by their best reference image: the mean over query views of the highest score over the image's views (image = view here)."""
-    per = _scores(queries, views).groupBy("query", "work", "view", "qview").agg(F.max("s").alias("s")).groupBy("query", "work", "view").agg(F.round(F.avg("s"), 6).alias("score"))
-    best = per.groupBy("query", "work").agg(F.max("score").alias("score"))
-    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "work"))).where(F.col("rank") <= k)
+    return best_works(queries, views, k, mean=True).drop("view")
 
 
 def mutual_patches(similar: DataFrame, least: float = 0.72, margin: float = 0.015) -> DataFrame:

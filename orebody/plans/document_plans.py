@@ -30,7 +30,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS ran
 
 
 def near(t: Tables, k: int = 8):
-    vec = t.embeddings.select(F.col("vec_id").alias("id"), index.unit(F.col("embedding")).alias("vec"))
+    vec = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     # One more than asked for: the nearest vector of each is itself, or as near.
     found = cosine_top(vec, vec.where("id % 20 = 0").select(F.col("id").alias("query"), "vec"), k + 1)
     s = found.where("query <> doc").select(F.col("query").alias("a"), F.col("doc").alias("b"), "score")
@@ -268,7 +268,7 @@ VIEWS = "s AS (SELECT q.vec_id // 100 AS query, q.vec_id AS qview, b.vec_id AS v
 
 
 def _views(t: Tables):
-    unit = index.unit(F.col("embedding"))
+    unit = F.col("embedding")
     views = t.embeddings.select(F.col("vec_id").alias("view"), F.col("label").alias("work"), unit.alias("vec"))
     q = t.embeddings.where("vec_id % 20 = 0").select(F.floor(F.col("vec_id") / 100).alias("query"), F.col("vec_id").alias("qview"), unit.alias("qvec"))
     return q, views

@@ -88,7 +88,7 @@ VECTORS = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_sum(l
 s AS (SELECT a.vec_id AS query, b.vec_id AS doc, round(list_dot_product(a.e, b.e) / a.n / b.n, 6) AS score FROM v a, v b WHERE a.vec_id % 20 = 0)
 SELECT query, doc, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM s) WHERE rank <= 5""")
 def _(t: Tables):
-    v = t.embeddings.select(F.col("vec_id").alias("id"), index.unit(F.col("embedding")).alias("vec"))
+    v = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     return r.cosine_top(v, v.where("id % 20 = 0").select(F.col("id").alias("query"), "vec"), 5)
 
 
