@@ -33,13 +33,11 @@ from .storage import stored
 from .token_counts import _slices
 
 #: Words that go to every task, characters of the longest of them, and bytes that are replayed at once.
-HEAD, WORD, REPLAY_BYTES = 200_000, 64, 1_000_000
+HEAD, WORD, REPLAY_BYTES = 200_000, 64, 2_000_000
 #: Characters of text that are encoded at once.
 SLICE = 2_000_000
 #: Places of a merge from which on arrays are quicker than a loop.
 BULK = 200
-#: Distinct pairs of tokens whose rank a worker remembers.
-PAIRS = 2_000_000
 
 #: The pattern of the rank files' documentation, by classes that Python's own ``re`` has; see ``_odd``.
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -93,7 +91,11 @@ class Ranks:
         self.bytes_of = {r: b for b, r in self.ranks.items()}
         self._single = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         self._first = np.array([self.ranks.get(bytes([i, j]), -1) for i in range(256) for j in range(256)], dtype=np.int32)
-        self._pairs: dict[int, int] = {}
+        # Every pair of tokens that is a token: the only merges there are.
+        self._merge = {self.ranks[b[:i]] << 32 | self.ranks[b[i:]]: r for b, r in self.ranks.items() for i in range(1, len(b)) if b[:i] in self.ranks and b[i:] in self.ranks}
+        keys = np.array(sorted(self._merge), dtype=np.int64)
+        self._keys = np.append(keys, np.iinfo(np.int64).max)
+        self._to = np.array([self._merge[k] for k in keys.tolist()] + [-1], dtype=np.int32)
 
     def encode_words(self, some: Iterable[str], blank: bool = True) -> dict[str, bytes]:
         """The ids of each distinct word, as little-endian unsigned 32-bit integers; with ``blank`` of the word after a blank."""
@@ -120,12 +122,11 @@ class Ranks:
         for w, a, b in zip(some, [0, *stops], stops):
             yield w, coded[a] if b - a == 1 else b"".join(coded[a:b])
 
-    def rank(self, a: int, b: int) -> int:
-        """The token that ``a`` and ``b`` merge to, -1 if none."""
-        if len(self._pairs) >= PAIRS:
-            self._pairs.clear()
-        found = self._pairs[a << 32 | b] = self.ranks.get(self.bytes_of[a] + self.bytes_of[b], -1)
-        return found
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The tokens that pairs merge to, -1 where there is none."""
+        key = a.astype(np.int64) << 32 | b
+        at = np.searchsorted(self._keys, key)
+        return np.where(self._keys[at] == key, self._to[at], -1)
 
     def replay(self, some: list[bytes]) -> list[bytes]:
         """The ids of each piece: every merge in rank order over all pieces at once.
@@ -155,7 +156,7 @@ class Ranks:
         nxt, prv = array("q", after.tobytes()), array("q", before.tobytes())
         alive = bytearray(b"\1") * n
         views = [np.frombuffer(x, dtype=d) for x, d in ((tok, np.int32), (pr, np.int32), (nxt, np.int64), (prv, np.int64), (alive, np.uint8))]
-        known, push = self._pairs.get, heapq.heappush
+        known, push = self._merge.get, heapq.heappush
         while heap:
             r = heapq.heappop(heap)
             places = at.pop(r)
@@ -173,9 +174,7 @@ class Ranks:
                 if right >= 0:
                     prv[right] = i
                     b = tok[right]
-                    new = known(r << 32 | b)
-                    if new is None:
-                        new = self.rank(r, b)
+                    new = known(r << 32 | b, -1)
                     pr[i] = new
                     if new >= 0:
                         if new in at:
@@ -185,9 +184,7 @@ class Ranks:
                             push(heap, new)
                 if left >= 0:
                     a = tok[left]
-                    new = known(a << 32 | r)
-                    if new is None:
-                        new = self.rank(a, r)
+                    new = known(a << 32 | r, -1)
                     pr[left] = new
                     if new >= 0:
                         if new in at:
@@ -221,21 +218,20 @@ class Ranks:
         inner = right >= 0
         # Between two merges side by side the left one's token stands before what the right one begins with.
         beside = right[inner][pr[right[inner]] == r]
-        if any(0 <= self.rank(r, t) < r for t in np.unique(tok[beside]).tolist()):
-            return False
+        if len(beside):
+            between = self._ranks(np.full(len(beside), r), tok[beside])
+            if ((between >= 0) & (between < r)).any():
+                return False
         tok[p], nxt[p] = r, right
         prv[right[inner]] = p[inner]
         left = prv[p]
         x = np.unique(np.concatenate((p[inner], left[left >= 0])))
-        key, of = np.unique(tok[x].astype(np.int64) << 32 | tok[nxt[x]], return_inverse=True)
-        get = self._pairs.get
-        found = np.array([self.rank(k >> 32, k & 0xFFFFFFFF) if (q := get(k)) is None else q for k in key.tolist()], dtype=np.int32)
-        if ((found >= 0) & (found < r)).any():
+        new = self._ranks(tok[x], tok[nxt[x]])
+        if ((new >= 0) & (new < r)).any():
             tok[p], nxt[p] = was, j
             prv[right[inner]] = j[inner]
             return False
         pr[j], pr[p], alive[j] = -1, -1, 0
-        new = found[of]
         pr[x] = new
         some = np.flatnonzero(new >= 0)
         some = some[np.argsort(new[some], kind="stable")]
