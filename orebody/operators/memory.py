@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_sensitive, tokens
+from .prefix import running
 
 
 def user_readable(user: Column, now: Column) -> Column:
@@ -29,8 +30,8 @@ def in_scope(dept: str, with_global: bool = False) -> Column:
 
 
 def sequence_numbers(messages: DataFrame) -> DataFrame:
-    """``seq`` from 1 in each session by (ts, id)."""
-    return messages.withColumn("seq", F.row_number().over(Window.partitionBy("session").orderBy("ts", "id")))
+    """``seq`` from 1 in each session by (ts, id), which tells its messages apart; a long session is numbered by many tasks."""
+    return running(messages, ["session"], ["ts", "id"], {"seq": F.lit(1)})
 
 
 def replay(messages: DataFrame) -> DataFrame:

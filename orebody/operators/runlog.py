@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import hash_share
 from ..session import shared_dir
+from .prefix import running
 
 
 def allowed(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
@@ -245,15 +246,24 @@ def review_orders(verdicts: DataFrame) -> DataFrame:
 
 
 def phases(reviews: DataFrame, least: float = 0.8, samples: int = 5) -> DataFrame:
-    """Reviews (dept, at, total, correct): cumulative accuracy, the phase after each, and whether it changed."""
-    w = Window.partitionBy("dept").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    n, right = F.sum("total").over(w), F.sum("correct").over(w)
-    accuracy = F.round(right / F.greatest(n, F.lit(1)), 4)
-    rows = reviews.select("dept", "at", n.alias("n"), accuracy.alias("accuracy"))
-    good = F.col("accuracy") >= least
-    rows = rows.withColumn("phase", F.when(good & (F.col("n") >= samples), "human_out_of_loop").when(good, "human_on_loop").otherwise("human_in_loop"))
-    was = F.coalesce(F.lag("phase").over(Window.partitionBy("dept").orderBy("at")), F.lit("human_in_loop"))
-    return rows.withColumn("changed", F.col("phase") != was)
+    """Reviews (dept, at, total, correct): cumulative accuracy, the phase after each, and whether it changed.
+
+    ``at`` tells a department's reviews apart.  Totals are running ones by ranges, so a
+    department with most reviews is spread over many tasks; the phase before a review
+    follows from the totals without it.
+    """
+    rows = running(reviews, ["dept"], ["at"], {"__n": "total", "__right": "correct", "__k": F.lit(1)})
+
+    def phase(n: Column, right: Column) -> tuple[Column, Column]:
+        accuracy = F.round(right / F.greatest(n, F.lit(1)), 4)
+        good = accuracy >= least
+        return accuracy, F.when(good & (n >= samples), "human_out_of_loop").when(good, "human_on_loop").otherwise("human_in_loop")
+
+    n, right = F.col("__n"), F.col("__right")
+    accuracy, now = phase(n, right)
+    _, before = phase(n - F.coalesce("total", F.lit(0)), right - F.coalesce("correct", F.lit(0)))
+    was = F.when(F.col("__k") > 1, before).otherwise("human_in_loop")
+    return rows.select("dept", "at", n.alias("n"), accuracy.alias("accuracy"), now.alias("phase"), (now != was).alias("changed"))
 
 
 def exit_samples(docs: DataFrame, percent: float) -> DataFrame:

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from ..operators import chunks as c
 from ..operators import versions as v
 from ..operators.memory import valid_sources
+from ..session import new_path
 from ..sources import catalogue as cat
 from ..sources import tables as tab
+from ..sources.stored_table import StoredTable, drain_into
+from ..streaming.jobs import table_stream
 from .registry import Tables, query
 
 
@@ -98,6 +101,15 @@ def _(t: Tables):
     return tab.upsert(base, t.events.select("user_id", "event_id", "value"), "user_id", "event_id").select("user_id", "value")
 
 
+@query("s9_stored_upsert", "SELECT user_id, arg_max(value, event_id) AS value FROM events GROUP BY user_id UNION ALL SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)")
+def _(t: Tables):
+    table = StoredTable(t.spark, new_path(t.spark, "s9"), "user_id long, event_id long, value double", F.pmod(F.xxhash64("user_id"), F.lit(16)))
+    table.append(t.customer.select(F.col("c_custkey").cast("long").alias("user_id"), F.lit(-1).cast("long").alias("event_id"), F.col("c_acctbal").cast("double").alias("value")))
+    rows = table_stream(t.spark, f"{t.folder}/events.parquet").select("user_id", "event_id", "value")
+    drain_into(rows, new_path(t.spark, "s9-checkpoint"), lambda batch, n: table.upsert(batch, "user_id", "event_id", n))
+    return table.read().select("user_id", "value")
+
+
 @query("s10_insert_unique", "SELECT event_id FROM events WHERE user_id < 40 OR event_id NOT IN (SELECT min(event_id) FROM events WHERE user_id >= 40 GROUP BY user_id)")
 def _(t: Tables):
     base = t.customer.where("c_custkey < 40").select(F.col("c_custkey").alias("user_id"), F.lit(-1).cast("long").alias("event_id"))

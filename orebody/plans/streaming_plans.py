@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..session import new_path
 from ..sources.catalogue import text_blocks
 from ..streaming import jobs
 from .registry import Tables, query
@@ -36,6 +37,34 @@ def _(t: Tables):
     return jobs.unexpired(rows, F.lit("2024-01-20").cast("timestamp")).select("event_id")
 
 
+@query("w3_expired", """
+SELECT user_id AS session, max(ts) + INTERVAL 12 HOUR AS expires_at, count(*) AS writes FROM events
+GROUP BY 1 HAVING max(ts) + INTERVAL 12 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+def _(t: Tables):
+    writes = stream(t, "events").select(F.col("user_id").alias("session"), "ts", (F.col("ts") + F.expr("INTERVAL 12 HOURS")).alias("expires_at"))
+    with jobs.rocks_state(t.spark):
+        return jobs.drained(jobs.expired(writes)).withColumn("expires_at", F.col("expires_at").cast("timestamp_ntz"))
+
+
+#: Every tenth event comes with the last of four arrivals, the others with their week's.
+ARRIVAL = "CASE WHEN event_id % 10 = 3 THEN 3 ELSE least((day(ts) - 1) // 8, 3) END"
+
+
+@query("w1_kept_and_late", f"""
+WITH e AS (SELECT event_id, ts, {ARRIVAL} AS a FROM events),
+m AS (SELECT a, max(max(ts)) OVER (ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 1 HOUR AS mark FROM e GROUP BY a)
+SELECT event_id, coalesce(date_trunc('day', ts) + INTERVAL 1 DAY <= mark, false) AS late FROM e JOIN m USING (a)""")
+def _(t: Tables):
+    source, root = new_path(t.spark, "arrivals"), new_path(t.spark, "kept_and_late")
+    week = F.least(F.floor((F.dayofmonth("ts") - 1) / 8), F.lit(3)).cast("int")
+    rows = t.events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_id") % 10 == 3, 3).otherwise(week).alias("arrival"))
+    for k in range(4):
+        rows.where(F.col("arrival") == k).drop("arrival").write.mode("append").parquet(source)
+        came = t.spark.readStream.schema("event_id long, ts timestamp").parquet(source)
+        kept, late = jobs.kept_and_late(came, F.date_trunc("day", "ts") + F.expr("INTERVAL 1 DAY"), root)
+    return kept.select("event_id", F.lit(False).alias("late")).unionByName(late.select("event_id", F.lit(True).alias("late")))
+
+
 @query("w4_deduplicated", "SELECT DISTINCT user_id, event_type FROM events")
 def _(t: Tables):
     return jobs.drained(jobs.deduplicated(stream(t, "events").select("ts", "user_id", "event_type"), ["user_id", "event_type"])).select("user_id", "event_type")
@@ -76,4 +105,5 @@ def _(t: Tables):
 
 @query("w10_numbered", "SELECT user_id AS session, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events")
 def _(t: Tables):
-    return jobs.drained(jobs.numbered(stream(t, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("id"), "ts")))
+    messages = stream(t, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("id"), "ts")
+    return jobs.numbered_on(messages, new_path(t.spark, "numbered"))

@@ -8,18 +8,23 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders made for local sessions, by application: Spark itself only tells a folder of its own inside.
+_made: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``.
 
     Where that is unset, a local session gets a fresh folder of its own; on a cluster no
-    local folder would do, as each executor would write to its own disk: that raises.
+    local folder would do, as each executor would write to its own disk: that raises.  A
+    session has one folder for its whole life.
     """
     context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or _made.get(context.applicationId) or context.getCheckpointDir()
     if not found:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="spark-")
+        found = _made[context.applicationId] = tempfile.mkdtemp(prefix="spark-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(found)
     return found.rstrip("/")

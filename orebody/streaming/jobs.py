@@ -2,20 +2,24 @@
 
 Each job is a function from a stream to a stream; ``drained`` runs one over all data that
 is there (``availableNow``) into a Parquet sink with its checkpoint in the shared folder.
-Late rows are those behind the watermark: they are left out of open state, and a batch
-anti-join of input and output keys finds them.
+Late rows are those behind the watermark; ``kept_and_late`` keeps each batch's mark and
+tells them apart, so none is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.prefix import running
 from ..session import new_path
+from ..sources.stored_table import drain_into
 
 DELAY = "1 hour"
 
@@ -38,6 +42,18 @@ def drained(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+@contextmanager
+def rocks_state(spark: SparkSession) -> Iterator[None]:
+    """Streams that begin inside keep their state in RocksDB, on disk, which timers and several states need."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def cycles(stream: DataFrame, work: Callable[[DataFrame, int], DataFrame], schema: str) -> DataFrame:
     """``work`` on every micro-batch of the stream; a batch that is run again replaces its own output."""
     spark = stream.sparkSession
@@ -113,3 +129,110 @@ def _count_on(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
 def numbered(messages: DataFrame) -> DataFrame:
     """Messages (session, id, ts) with ``seq``: a counter a session that goes on over micro-batches."""
     return messages.select("session", "id", "ts").groupBy("session").applyInPandasWithState(_count_on, "session long, id long, seq long", "n long", "append", GroupStateTimeout.NoTimeout)
+
+
+#: Batches after which all counters are written again.
+SNAPSHOT = 32
+
+
+def numbered_on(messages: DataFrame, root: str) -> DataFrame:
+    """Messages (session, id, ts) with ``seq`` from 1 in each session, by (ts, id) within a micro-batch and on from batch to batch.
+
+    A batch is numbered by ranges (``prefix.running``), so a long session is spread over tasks; what
+    each session has reached is kept under ``root`` with the batch's number, and so are the
+    rows: a batch that runs again replaces its own.  A later call goes on where this one ended.
+    """
+    spark = messages.sparkSession
+    reached, rows = f"{root}/reached", f"{root}/rows"
+
+    def before(number: int) -> DataFrame:
+        empty = spark.createDataFrame([], "session long, n long, batch int")
+        if number == 0:
+            return empty.select("session", "n")
+        since = (number - 1) // SNAPSHOT * SNAPSHOT
+        held = spark.read.schema(empty.schema).parquet(reached).where((F.col("batch") < number) & (F.col("batch") >= since))
+        return held.groupBy("session").agg(F.max("n").alias("n"))
+
+    def work(batch: DataFrame, number: int) -> None:
+        had = before(number)
+        new = running(batch.select("session", "id", "ts"), ["session"], ["ts", "id"], {"k": F.lit(1)})
+        on = new.join(had, "session", "left").select("session", "id", (F.coalesce("n", F.lit(0)) + F.col("k")).alias("seq"))
+        on.write.mode("overwrite").parquet(f"{rows}/batch={number}")
+        ends = spark.read.parquet(f"{rows}/batch={number}").groupBy("session").agg(F.max("seq").alias("n"))
+        if number % SNAPSHOT == 0:
+            ends = ends.unionByName(had).groupBy("session").agg(F.max("n").alias("n"))
+        ends.write.mode("overwrite").parquet(f"{reached}/batch={number}")
+
+    drain_into(messages, f"{root}/checkpoint", work)
+    return spark.read.parquet(rows).drop("batch")
+
+
+class _Expiry(StatefulProcessor):
+    """A session's row: its latest write by time, and a timer for when it expires."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.row = handle.getValueState("row", "at long, expires long, writes long")
+
+    def _gone(self, key: tuple, row: tuple) -> Row:
+        self.row.clear()
+        return Row(session=key[0], expires=row[1], writes=row[2])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        at, expires, writes = self.row.get() if self.row.exists() else (None, None, 0)
+        for r in rows:
+            writes += 1
+            if at is None or (r.at, r.expires) > (at, expires):
+                at, expires = r.at, r.expires
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.row.update((at, expires, writes))
+        due = -(-expires // 1000)
+        if due <= timerValues.getCurrentWatermarkInMs():
+            return iter([self._gone(key, (at, expires, writes))])
+        self.handle.registerTimer(due)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        return iter([self._gone(key, self.row.get())]) if self.row.exists() else iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def expired(writes: DataFrame, delay: str = DELAY) -> DataFrame:
+    """Rows of a session table as they leave it: ``session``, ``expires_at``, ``writes`` of (session, ts, expires_at).
+
+    The latest write of a session counts.  Its row leaves the state once the watermark has
+    passed its time, by a timer: no other event of the session is needed.  A write that has
+    expired when it comes leaves at once; one after that begins a new row.  Run it inside ``rocks_state``.
+    """
+    micros = writes.withWatermark("ts", delay).select("session", "ts", F.unix_micros("ts").alias("at"), F.unix_micros("expires_at").alias("expires"))
+    kind = dict(writes.dtypes)["session"]
+    out = micros.groupBy("session").transformWithState(_Expiry(), f"session {kind}, expires long, writes long", "append", "eventTime")
+    return out.select("session", F.timestamp_micros("expires").alias("expires_at"), "writes")
+
+
+def kept_and_late(rows: DataFrame, upto: Column, root: str, delay: str = DELAY) -> tuple[DataFrame, DataFrame]:
+    """(kept, late) rows (ts, ...) of a stream: late are those whose ``upto`` the watermark had passed when their batch began.
+
+    The mark of a batch is the greatest ``ts`` of all earlier ones, less ``delay``; each batch's
+    greatest ``ts`` and rows are kept under ``root`` with its number, so a batch that runs again
+    replaces its own and the two tables add up to the input.  A later call goes on where this one ended.
+    """
+    spark = rows.sparkSession
+
+    def work(batch: DataFrame, number: int) -> None:
+        mark = None
+        if number:  # one row a batch
+            marks = spark.read.schema("top timestamp, batch int").parquet(f"{root}/marks")
+            mark = marks.where(F.col("batch") < number).agg((F.max("top") - F.expr(f"INTERVAL {delay}")).alias("m")).first().m
+        late = F.lit(False) if mark is None else F.coalesce(upto <= F.lit(mark), F.lit(False))
+        batch.withColumn("late", late).write.mode("overwrite").partitionBy("late").parquet(f"{root}/rows/batch={number}")
+        told = spark.read.schema(batch.schema).parquet(f"{root}/rows/batch={number}")
+        told.agg(F.max("ts").alias("top")).write.mode("overwrite").parquet(f"{root}/marks/batch={number}")
+
+    drain_into(rows, f"{root}/checkpoint", work)
+    schema = rows.schema.add("late", "boolean")
+    told = spark.read.schema(schema).parquet(f"{root}/rows").drop("batch")
+    return told.where(~F.col("late")).drop("late"), told.where("late").drop("late")
