@@ -1,15 +1,15 @@
 """Byte-level BPE by merge replay over the distinct words of a corpus, and decoding.
 
-Words that several parts of the corpus have are told apart once for the whole corpus: tasks
-hand on the distinct words of their texts, and each partition of the word table replays the
-merges over all its words at once; a word of one part only is replayed where its text is.  An inverted index leads from a merge (the
-pairs of tokens that give one token) to the places where it can be applied; merges are
-taken in rank order, places from left to right, and each one touches its two neighbours
-only (``Ranks.replay``).  The result is stored as a lexicon of words and their ids.
+The words that most parts of the corpus have, at most ``HEAD`` of at most ``WORD`` characters,
+are told apart once for the whole corpus, and each partition of their table replays the
+merges over all its words at once.  An inverted index leads from a merge (the pairs of
+tokens that give one token) to the places where it can be applied; merges are taken in rank
+order, places from left to right, and each one touches its two neighbours only
+(``Ranks.replay``).  The result is stored as a lexicon of words and their ids, which goes to
+every task, as its bound does not grow with the corpus.
 
-Texts are not shuffled.  The lexicon's most frequent words, at most ``HEAD`` of at most
-``WORD`` characters, go to every task; a word that a task lacks is replayed there
-by the same code, so the bound changes no result.
+Texts are not shuffled.  A word that the lexicon lacks is replayed where its text is, with
+all others of some million characters, by the same code: the bound changes no result.
 
 A text is cut before each blank that stands before anything but white space: the pattern
 always begins a new piece there.  What lies between is a word and may hold several pieces.
@@ -33,7 +33,7 @@ from .storage import stored
 from .token_counts import _slices
 
 #: Words that go to every task, characters of the longest of them, and bytes that are replayed at once.
-HEAD, WORD, REPLAY_BYTES = 200_000, 64, 2_000_000
+HEAD, WORD, REPLAY_BYTES = 200_000, 64, 1_000_000
 #: Characters of text that are encoded at once.
 SLICE = 2_000_000
 #: Places of a merge from which on arrays are quicker than a loop.
@@ -281,17 +281,18 @@ def _some_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found.update(w for w in set(words(text)[1:]).difference(found) if len(w) <= WORD)
             held += len(text)
             # Parts of a bounded length: a task's distinct words need not fit into memory.
-            if held >= 32_000_000 or len(found) > 1_000_000:
+            if held >= 32_000_000 or len(found) > 250_000:
                 yield out(found)
                 found, held = set(), 0
     yield out(found)
 
 
-def lexicon(docs: DataFrame, ranks: str, text_col: str = "text", least: int = 2) -> DataFrame:
-    """``word``, ``parts``, ``ids`` of every distinct word of up to ``WORD`` characters that stands after a blank in ``least`` parts of the corpus; stored.
+def lexicon(docs: DataFrame, ranks: str, text_col: str = "text", least: int = 2, most: int = HEAD) -> DataFrame:
+    """``word``, ``parts``, ``ids`` of the ``most`` distinct words that most parts of the corpus have, ties by the word; stored.
 
-    ``parts`` counts the parts of the corpus that have the word, ``ids`` are those of the
-    word with its blank.  ``ranks`` is a rank file that every executor has.
+    Words have up to ``WORD`` characters and stand after a blank in ``least`` parts of the corpus;
+    ``parts`` counts these, ``ids`` are those of the word with its blank.  ``ranks`` is a rank file
+    that every executor has.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,7 +302,8 @@ def lexicon(docs: DataFrame, ranks: str, text_col: str = "text", least: int = 2)
 
     some = docs.select(F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(_some_words, "word string")
     each = some.groupBy("word").agg(F.count("*").alias("parts")).where(F.col("parts") >= least)
-    return stored(each.mapInArrow(encode, "word string, parts long, ids binary"), "lexicon")
+    top = each.orderBy(F.desc("parts"), "word").limit(most).repartition("word")
+    return stored(top.mapInArrow(encode, "word string, parts long, ids binary"), "lexicon")
 
 
 def encode(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text", words_of: DataFrame | None = None, head: int = HEAD) -> DataFrame:
@@ -316,7 +318,7 @@ def encode(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str =
     characters, or of one text, and some 60 bytes for each byte of the longest single match.
     """
     spark = docs.sparkSession
-    words_of = lexicon(docs, ranks, text_col) if words_of is None else words_of
+    words_of = lexicon(docs, ranks, text_col, most=head) if words_of is None else words_of
     # At most ``head`` words of at most WORD characters: a bound that does not grow with the corpus.
     most = words_of.orderBy(F.desc("parts"), "word").limit(head).select("word", "ids").toArrow()
     known = spark.sparkContext.broadcast((most.column(0).combine_chunks(), most.column(1).combine_chunks()))
