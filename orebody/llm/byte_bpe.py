@@ -26,6 +26,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,7 +89,6 @@ class Ranks:
     def __init__(self, path: str) -> None:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.bytes_of = {r: b for b, r in self.ranks.items()}
         self._single = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         self._first = np.array([self.ranks.get(bytes([i, j]), -1) for i in range(256) for j in range(256)], dtype=np.int32)
         # Every pair of tokens that is a token: the only merges there are.
@@ -257,15 +257,28 @@ class Ranks:
             out.append(b"".join(now))
         return out
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
-
 
 @functools.lru_cache(maxsize=2)
 def _ranks(path: str) -> Ranks:
     return Ranks(path)
 
 
+@functools.lru_cache(maxsize=2)
+def _bytes_of(path: str) -> dict[int, bytes]:
+    with open(path, "rb") as f:
+        return {int(b): base64.b64decode(a) for a, b in map(bytes.split, f)}
+
+
+def _parts(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, pa.Array]]:
+    """``column`` in pieces of about ``size`` bytes, with the row at which each begins: only one is held as Python objects."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(column):
+        to = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")), at + 1)
+        yield at, column.slice(at, to - at)
+        at = to
+
+
 def _texts(column: pa.Array) -> list[str]:
     return [(x or b"").decode("utf-8", "replace") for x in column.to_pylist()]
 
@@ -277,7 +290,7 @@ def _some_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found: set[str] = set()
     held = 0
     for batch in batches:
-        for text in _texts(batch.column(0)):
+        for text in (t for _, part in _parts(batch.column(0)) for t in _texts(part)):
             found.update(w for w in set(words(text)[1:]).difference(found) if len(w) <= WORD)
             held += len(text)
             # Parts of a bounded length: a task's distinct words need not fit into memory.
@@ -328,23 +341,27 @@ def encode(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str =
         table = _ranks(ranks)
         held = dict(zip(known.value[0].to_pylist(), known.value[1].to_pylist(), strict=True))
         for batch in batches:
-            at = 0
-            for part in _slices(_texts(batch.column(1)), SLICE):
-                ids = table.encode(part, held)
+            for at, part in _parts(batch.column(1)):
+                ids = table.encode(_texts(part), held)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(ids, pa.binary())], names=["id", "ids"])
-                at += len(part)
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(run, f"id {kind}, ids binary")
 
 
+def decoded(ids: bytes, table: dict[int, bytes]) -> bytes:
+    return b"".join(map(table.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+
+
 def decode(coded: DataFrame, ranks: str, ids_col: str = "ids") -> DataFrame:
     """``coded`` with ``bytes``: what its ids stand for; null ids give null.  An id that the file lacks raises."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _ranks(ranks)
+        table = _bytes_of(ranks)
         for batch in batches:
-            raw = [None if x is None else table.decode(x) for x in batch.column(batch.schema.get_field_index(ids_col)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], names=[*batch.schema.names, "bytes"])
+            for at, part in _parts(batch.column(batch.schema.get_field_index(ids_col))):
+                raw = [None if x is None else decoded(x, table) for x in part.to_pylist()]
+                some = batch.slice(at, len(part))
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(raw, pa.binary())], names=[*batch.schema.names, "bytes"])
 
     schema = coded.drop("bytes").schema
     return coded.drop("bytes").mapInArrow(run, schema.add("bytes", "binary"))
