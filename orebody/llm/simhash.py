@@ -17,15 +17,17 @@ radius 2 a hub has at most 65 members however large a group of copies is.
 
 A near copy may differ in more bits than that.  ``Near`` describes links for near copies:
 candidates are texts that share a bucket by one of several fingerprints of single words (each from the same
-hashes mixed anew), as all within the radius do; of these, the texts link whose ``check`` bits,
-a long SimHash of five-word shingles, differ in no more bits than a similarity allows.  As
-the check decides, no hubs are needed: a bucket's members are compared with one of
-them, chosen by a hash of its own for each fingerprint, so work is linear in a bucket
-whatever its size.  A pair that only others of its buckets' members would show can be lost.
+hashes mixed anew), as all within the radius do.  A bucket's members are compared with one of
+them, chosen by a hash of its own for each fingerprint, so work is linear in a bucket whatever
+its size; a pair that only others of its buckets' members would show can be lost.  A
+long SimHash of five-word shingles, ``check``, rules most candidates out, with room for what it cannot
+tell; the others are decided by the texts themselves: they link where the Jaccard similarity
+of their sets of five-word shingles is at least ``least``, and no other texts do.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,7 +35,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,8 +49,8 @@ BITS = 64
 class Near:
     """Links for near copies: fingerprints and words of the candidates, words, 64-bit parts and Jaccard similarity of the check.
 
-    Sets of similarity J have a cosine of 2J / (1 + J) where they are of one size; ``slack`` standard deviations
-    are allowed for what a number of bits says of it.
+    Sets of similarity J have a cosine of 2J / (1 + J) where they are of one size; the bits rule a candidate
+    out ``slack`` standard deviations beyond what they say of it.
     """
 
     seeds: int = 6
@@ -56,7 +58,7 @@ class Near:
     check_shingle: int = 5
     parts: int = 16
     least: float = 0.8
-    slack: float = 1.0
+    slack: float = 4.0
 
     @property
     def most_bits(self) -> int:
@@ -124,9 +126,76 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _text_key(text: bytes) -> bytes:
-    import xxhash
+    """The MD5 of a text, which ``_key_column`` gives too."""
+    return hashlib.md5(text, usedforsecurity=False).digest()
+
+
+def _key_column(text_col: str) -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
+
+
+def shingles(text: bytes, n: int = 5) -> set[bytes]:
+    """The distinct ``n``-word shingles of ``signature``'s words; fewer words are one shingle, none give none."""
+    words = text.lower().split()
+    if not words:
+        return set()
+    n = min(n, len(words))
+    return set(map(b" ".join, zip(*(words[k:] for k in range(n)))))
+
+
+def similarity(a: set[bytes], b: set[bytes]) -> float:
+    """The Jaccard similarity of two sets; two empty ones are alike."""
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+#: Bits of the filter that goes to every task, as a power of two of at most 24.
+FILTER = 22
+
+
+def _place(key: Column) -> Column:
+    """The filter's bit of a digest, from its first three bytes."""
+    return F.conv(F.hex(F.substring(key, 1, 3)), 16, 10).cast("int").bitwiseAND(F.lit((1 << FILTER) - 1))
+
+
+def _texts_of(docs: DataFrame, needed: DataFrame, text_col: str) -> DataFrame:
+    """``node``, ``text`` for each of ``needed`` (node, key).
+
+    A filter of 2^22 bits by key goes to every task, so that most texts that no pair needs are
+    left out before the shuffle.
+    """
+    bits = np.zeros(1 << FILTER, dtype=bool)
+    found = needed.select(_place(F.col("key")).alias("p")).distinct().toArrow()
+    bits[found["p"].to_numpy()] = True
+    held = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there = np.unpackbits(held.value).astype(bool)
+        for batch in batches:
+            yield batch.select(["key", "text"]).filter(pa.array(there[batch.column(2).to_numpy()]))
+
+    rows = docs.select(_key_column(text_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
+    rows = rows.withColumn("place", _place(F.col("key"))).mapInArrow(some, "key binary, text binary").groupBy("key").agg(F.first("text").alias("text"))
+    return rows.join(needed, "key").select("node", "text")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose texts are similar enough."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, mine = None, set()
+        for batch in batches:
+            keep = []
+            for a, ta, tb in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if a != last:
+                    last, mine = a, shingles(ta, near.check_shingle)
+                keep.append(similarity(mine, shingles(tb, near.check_shingle)) >= near.least)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return xxhash.xxh3_128_digest(text)
+    one, two = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+    # Written first, so that the joins stand on their own and a text of very many pairs can be split.
+    half = stored(pairs.join(two, "b"), "half")
+    both = half.join(one, "a").select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
+    return both.mapInArrow(work, "a long, b long")
 
 
 def near_signatures(docs: DataFrame, near: Near, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,7 +299,9 @@ def near_groups(docs: DataFrame, near: Near, id_col: str = "doc_id", text_col: s
     met = keys.join(chosen, ["seed", "t", "bits"]).where("node <> one").select(F.greatest("node", "one").alias("a"), F.least("node", "one").alias("b")).distinct()
     one, two = (nodes.select(F.col("node").alias(x), F.col("check").alias(f"check_{x}")) for x in "ab")
     off = F.aggregate(F.zip_with("check_a", "check_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    edges = met.join(one, "a").join(two, "b").where(off <= near.most_bits).select("a", "b")
+    pairs = stored(met.join(one, "a").join(two, "b").where(off <= near.most_bits).select("a", "b"), "pairs")
+    needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "key"), "node"), "needed")
+    edges = stored(_verified(pairs, stored(_texts_of(docs, needed, text_col), "texts"), near), "edges")
     names = _named(nodes.select("node", "low", "key"), edges)
     return sig.select("id", "key").join(names.select("key", "component"), "key")
 
