@@ -13,7 +13,7 @@ from ..functions.text import overlap, tokens
 from ..session import stored
 from . import cells
 from .index import document_frequency, index_collection, index_postings, term_index
-from .topk import top_documents
+from .topk import Statistics, top_documents
 
 
 def top(scored: DataFrame, k: int, by: str = "query", score: str = "score", tie: str = "doc") -> DataFrame:
@@ -33,18 +33,21 @@ def _bm25(tf: Column, length: Column, df: Column, n: Column, avg_len: Column, k1
     return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avg_len))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, id_col: str = "doc_id", text_col: str = "text", within: str | None = None, index: DataFrame | None = None) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, id_col: str = "doc_id", text_col: str = "text", within: str | None = None, index: DataFrame | None = None, statistics: Statistics | None = None) -> DataFrame:
     """``query``, ``doc``, ``score``, ``rank`` by BM25; with ``within``, statistics are those of that column's value, and rows without one take no part.
 
     Texts are read once, into ``index`` (made by ``term_index`` where not given).  Documents
     are scored in their own partitions (``topk.top_documents``); where the queries are too
     many to go to every task, their terms are joined to postings instead (``bm25_joined``).
+    ``statistics`` kept elsewhere (``maintained.TermStatistics``) stand in for those of ``docs``.
     """
     keep = (within,) if within else ()
     index = term_index(docs, id_col, text_col, keep) if index is None else index
     index = index.where(F.col(within).isNotNull()) if within else index
     terms = query_terms(queries)
-    found = top_documents(one_field(index, keep), terms, k, {"text": 1.0}, k1, b, within)
+    found = top_documents(one_field(index, keep), terms, k, {"text": 1.0}, k1, b, within, statistics=statistics)
+    if found is None and statistics is not None:
+        raise ValueError("too many queries for statistics that are kept elsewhere")
     if found is None:
         return bm25_joined(index, terms, k, k1, b, within)
     return found.select("query", "doc", *keep, "score", "rank")

@@ -40,6 +40,15 @@ class Asked:
     times: np.ndarray
 
 
+@dataclass(frozen=True)
+class Statistics:
+    """Known statistics: ``frequency`` (term, df), the number of documents, and the mean length of each field."""
+
+    frequency: DataFrame
+    n: int
+    mean: dict[str, float]
+
+
 @dataclass(frozen=True)
 class Collection:
     """Per group: how many documents have each term, how many there are, and the mean length of each field."""
@@ -238,7 +247,25 @@ def _best_of_batch(q: Asked, group, term: np.ndarray, rows: np.ndarray, w: np.nd
                 best[group, at][i] = (*best[group, at][i][:2], m)
 
 
-def top_documents(index: DataFrame, terms: DataFrame, k: int, weights: dict[str, float], k1: float = 1.5, b: float = 0.75, within: str | None = None, empty: bool = False, presence: bool = False) -> DataFrame | None:
+def _collection(rows: DataFrame, q: Asked, names: list[str], empty: bool, kind: str | None) -> tuple[dict, dict, dict]:
+    """Statistics of the rows of each group, from one pass over them."""
+    counted = rows.mapInArrow(_count(q.terms, names, empty, _arrow(kind) if kind else None), f"{f'grp {kind}, ' if kind else ''}t int, n long")
+    df: dict[object, np.ndarray] = {}
+    n: dict[object, int] = {}
+    length: dict[object, np.ndarray] = {}
+    for r in counted.groupBy(*(["grp"] if kind else []), "t").agg(F.sum("n").alias("n")).collect():
+        g = r.grp if kind else None
+        df.setdefault(g, np.zeros(len(q.terms)))
+        if r.t >= 0:
+            df[g][r.t] = r.n
+        elif r.t == -1:
+            n[g] = r.n
+        else:
+            length.setdefault(g, np.zeros(len(names)))[-2 - r.t] = r.n
+    return df, n, {g: length.get(g, np.zeros(len(names))) / max(n.get(g, 0), 1) for g in df}
+
+
+def top_documents(index: DataFrame, terms: DataFrame, k: int, weights: dict[str, float], k1: float = 1.5, b: float = 0.75, within: str | None = None, empty: bool = False, presence: bool = False, statistics: Statistics | None = None) -> DataFrame | None:
     """``query``, ``doc``, ``score``, ``bits``, ``rank`` (with ``within`` that column too), or None where the queries are too many for a task.
 
     ``index`` is a stored table of ``doc``, ``fields`` (array of struct of field, words) and
@@ -247,6 +274,7 @@ def top_documents(index: DataFrame, terms: DataFrame, k: int, weights: dict[str,
     ``bits`` is set where the i-th of these fields, by name, has a term.  With ``within`` all statistics and
     ranks are those of a value of that column.  ``empty``: documents without words count
     in the collection.  ``presence``: the score is the share of the query's distinct terms instead.
+    ``statistics`` that are kept elsewhere save the first pass (not ``within`` groups).
 
     Scores are rounded half up to six places before they rank; ties go to the lesser ``doc``.
     """
@@ -260,20 +288,15 @@ def top_documents(index: DataFrame, terms: DataFrame, k: int, weights: dict[str,
         return None
     kinds = dict(index.dtypes) | {"query": dict(terms.dtypes)["query"]}
     by = ["grp"] if within else []
-    counted = rows.mapInArrow(_count(q.terms, names, empty, _arrow(kinds[within]) if within else None), f"{f'grp {kinds[within]}, ' if within else ''}t int, n long")
-    df: dict[object, np.ndarray] = {}
-    n: dict[object, int] = {}
-    length: dict[object, np.ndarray] = {}
-    for r in counted.groupBy(*by, "t").agg(F.sum("n").alias("n")).collect():
-        g = r.grp if within else None
-        df.setdefault(g, np.zeros(len(q.terms)))
-        if r.t >= 0:
-            df[g][r.t] = r.n
-        elif r.t == -1:
-            n[g] = r.n
-        else:
-            length.setdefault(g, np.zeros(len(names)))[-2 - r.t] = r.n
-    mean = {g: length.get(g, np.zeros(len(names))) / max(n.get(g, 0), 1) for g in df}
+    if statistics is not None and not within:
+        at = {t: i for i, t in enumerate(q.terms.to_pylist())}
+        one = np.zeros(len(q.terms))
+        # At most one row a query term.
+        for r in statistics.frequency.join(terms.select("term").distinct(), "term", "left_semi").collect():
+            one[at[r.term]] = r.df
+        df, n, mean = {None: one}, {None: statistics.n}, {None: np.array([statistics.mean.get(f, 0.0) for f in names])}
+    else:
+        df, n, mean = _collection(rows, q, names, empty, kinds[within] if within else None)
     held = index.sparkSession.sparkContext.broadcast((q, Collection(df, n, mean)))
     group_kind = kinds[within] if within else "string"
     schema = f"query {kinds['query']}, grp {group_kind}, doc {kinds['doc']}, score double, bits long"

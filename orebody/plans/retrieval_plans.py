@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text as fn
 from ..operators import index, relations, topk
 from ..operators import retrieve as r
+from ..operators.maintained import TermStatistics
+from ..session import new_path
 from .registry import Tables, query
 from .text_plans import FIELDS_SQL, POSTS, part_fields
 
@@ -56,6 +58,21 @@ def _(t: Tables):
     return hits(t)
 
 
+@query("t3_maintained", f"""WITH d AS (SELECT doc_id AS doc, regexp_extract_all(lower(text), '[一-鿿]|[a-z0-9]+') AS w FROM documents WHERE doc_id % 7 <> 0),
+p AS (SELECT doc, len(w) AS len, term, count(*) AS tf FROM (SELECT doc, w, unnest(w) AS term FROM d) GROUP BY ALL), {QUERY_TERMS},
+c AS (SELECT count(*) AS n, avg(len) AS al FROM (SELECT DISTINCT doc, len FROM p)), f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+s AS (SELECT query, doc, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / al))), 6) AS score
+  FROM qt JOIN p USING (term) JOIN f USING (term), c GROUP BY query, doc)
+SELECT query, doc, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM s) WHERE rank <= 10""")
+def _(t: Tables):
+    kept = TermStatistics(t.spark, new_path(t.spark, "t3"))
+    third = F.col("doc_id") % 3
+    kept.update(added=t.documents.where(third == 0), batch=0)
+    kept.update(added=t.documents.where(third == 1), removed=t.documents.where((third == 0) & (F.col("doc_id") % 7 == 0)), batch=1)
+    kept.update(added=t.documents.where((third == 2) & (F.col("doc_id") % 7 != 0)), removed=t.documents.where((third == 1) & (F.col("doc_id") % 7 == 0)), batch=2)
+    return r.bm25(t.documents.where("doc_id % 7 <> 0"), asked(t), statistics=kept.now())
+
+
 @query("q2_bm25_within", f"""WITH {POSTS}, {QUERY_TERMS},
 c AS (SELECT source, count(*) AS n, avg(len) AS al FROM (SELECT DISTINCT doc, source, len FROM p) GROUP BY source),
 f AS (SELECT source, term, count(*) AS df FROM p GROUP BY ALL),

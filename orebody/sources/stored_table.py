@@ -63,6 +63,10 @@ class StoredTable:
             self._files.delete(staged, False)
             raise TakenError(f"version {version} of {self.path} was written by another")
 
+    def version(self) -> int:
+        """The number of the newest version, -1 before the first."""
+        return max(self._versions(), default=-1)
+
     def read(self) -> DataFrame:
         """The rows of the newest version."""
         _, manifest = self._manifest()

@@ -183,3 +183,31 @@ def test_a_session_has_one_folder(spark):
     session.stored(spark.range(2), "x")
     spark.range(2).checkpoint()
     assert session.shared_dir(spark) == first
+
+
+def test_maintained_statistics_equal_those_from_scratch(spark, tmp_path, monkeypatch):
+    import random
+
+    from orebody.operators import maintained, retrieve
+
+    monkeypatch.setattr(maintained, "COMPACT", 3)
+    rng = random.Random(4)
+    kept = maintained.TermStatistics(spark, str(tmp_path / "stats"))
+    there = {}
+    make = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    q = spark.createDataFrame([(1, "w1 w2 w9"), (2, "w0 gone")], "query long, text string")
+    for batch in range(5):
+        new = [(100 * batch + i, " ".join(f"w{rng.randrange(12)}" for _ in range(rng.randrange(9))) or None) for i in range(15)]
+        gone = [(d, there.pop(d)) for d in rng.sample(sorted(there), min(6, len(there)))] + ([(100, there.pop(100))] if 100 in there else [])
+        there |= dict(new)
+        assert kept.update(make(new), make(gone), batch)
+        assert not kept.update(make(new), None, batch)
+        docs = make(sorted(there.items()))
+        df = {}
+        for text in there.values():
+            for w in set((text or "").split()):
+                df[w] = df.get(w, 0) + 1
+        assert {r.term: r.df for r in kept.frequency().collect()} == df
+        got = retrieve.bm25(docs, q, 8, statistics=kept.now())
+        assert sorted(map(str, got.collect())) == sorted(map(str, retrieve.bm25(docs, q, 8).collect()))
+    assert kept.update() is False
