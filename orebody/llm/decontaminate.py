@@ -148,12 +148,16 @@ def rarest(texts: DataFrame, counts: DataFrame, n: int = WINDOW) -> DataFrame:
 
     ``texts`` has distinct ``bench`` and ``words``.  A window with a word that no
     document has cannot occur and picks none.  Ties go to the earlier word.  A word is
-    listed once for each rank (1, the rarest; 2) that it has in some window.
+    listed once for each rank (1, the rarest; 2) that it has in some window.  Equal windows of
+    a text are searched by the first of them, which finds whatever the others would: a text that
+    repeats one word picks two places, not all.
     """
     size = F.least(F.size("words"), F.lit(n))
     offsets = F.explode(F.sequence(F.lit(0), F.size("words") - size))
     windows = texts.select("bench", "words", size.alias("size"), offsets.alias("begin"))
-    cells = windows.select("bench", "begin", "size", F.posexplode(F.slice("words", F.col("begin") + 1, F.col("size"))).alias("k", "term"))
+    windows = windows.select("bench", "size", "begin", F.slice("words", F.col("begin") + 1, F.col("size")).alias("content"))
+    once = windows.groupBy("bench", "size", "content").agg(F.min("begin").alias("begin"))
+    cells = once.select("bench", "begin", "size", F.posexplode("content").alias("k", "term"))
     known = cells.join(counts, "term")
     each = Window.partitionBy("bench", "begin")
     ranked = known.withColumn("found", F.count("*").over(each)).where("found = size").withColumn("rank", F.row_number().over(each.orderBy("n", "k")))

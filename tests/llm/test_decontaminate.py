@@ -80,3 +80,16 @@ def test_proximity_finds_words_moved_apart(spark):
     near = dec.proximity_matches(own, first, slop=3).collect()
     assert [(bytes(r.key), r.begin, r.off) for r in near] == [(dec._key(item.replace("six", "six and a half").encode()), 0, 3)]
     assert dec.proximity_matches(own, first, slop=2).count() == 0
+
+
+def test_repeated_words_are_searched_once(spark):
+    """One item and one document of m equal words: postings meet picked words m times, not m squared."""
+    for m in (100, 400):
+        docs = spark.createDataFrame([(1, "ha " * m), (2, "so " + "ha ho " * m), (3, "ha " * 12)], "doc_id long, text string")
+        rows = [(1, "ha " * m), (2, "ha ho " * m + "he")]
+        bench = spark.createDataFrame(rows, "item_id long, text string")
+        index, _, _, picked = dec.build(docs, bench, 13, "doc_id", "text", "item_id", "text")
+        assert index.join(picked, "term").count() <= 40 * m
+        got = dec.contamination(docs, bench).select("id", "n_words", "n_hit", "items", "contaminated").collect()
+        if m == 100:
+            assert sorted(map(tuple, got)) == sorted(brute([(1, "ha " * m), (2, "so " + "ha ho " * m), (3, "ha " * 12)], rows))
