@@ -114,6 +114,18 @@ def _numbered(totals: DataFrame) -> DataFrame:
     return parts.withColumn("k", F.row_number().over(inside) - 1).join(before, "part").select("source", "source_size", (F.col("k") + F.col("before")).alias("n"))
 
 
+def _counted(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``rows`` with ``k``, from 0 among rows of equal id, source and size, which nothing else tells apart.
+
+    Equal rows are counted before they are shuffled and written out again by many tasks, so that a
+    hash of (id, size, k) deals them evenly however many there are.
+    """
+    same = rows.groupBy("id", "source", "size").agg(F.count("*").alias("n"))
+    parts = same.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / block)))).repartition("id", "source", "size", "part")
+    last = F.least((F.col("part") + 1) * block, F.col("n")) - 1
+    return parts.select("id", "source", "size", F.explode(F.sequence(F.col("part") * block, last)).alias("k")).withColumn("k", F.col("k").cast("int"))
+
+
 def _decide(rows: DataFrame, last: bool) -> DataFrame:
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["h", "id", "size"], kind="stable").reset_index(drop=True)
@@ -152,12 +164,12 @@ def mix(
     wide = stored(wide, "targets")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     small = wide.select(F.col("source").alias("s"), "rows", "source_size", "target", ratio.alias("ratio"), F.floor(ratio + F.lit(_EPS)).alias("sure"))
-    units = rows.join(small, F.col("source").eqNullSafe(F.col("s"))).select(
+    units = _counted(rows, block).join(small, F.col("source").eqNullSafe(F.col("s"))).select(
         "id", "source", "size", "source_size", "target", "sure",
         F.greatest(F.lit(0.0), F.col("ratio") - F.col("sure")).alias("p"),
-        F.xxhash64("id", "size").alias("h"),
+        F.when(F.col("k") == 0, F.xxhash64("id", "size")).otherwise(F.xxhash64("id", "size", "k")).alias("h"),
         F.lit(0).alias("level"),
-        F.pmod(F.xxhash64("id", "size", F.lit(0)), F.ceil(F.col("rows") / block)).cast("int").alias("block"),
+        F.pmod(F.xxhash64("id", "size", "k"), F.ceil(F.col("rows") / block)).cast("int").alias("block"),
         F.ceil(F.col("rows") / block).cast("int").alias("blocks"),
     )
     deepest, blocks = 0, (wide.agg(F.max(F.ceil(F.col("rows") / block))).first()[0] or 1)

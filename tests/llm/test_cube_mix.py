@@ -79,3 +79,13 @@ def test_flight_with_equal_sizes():
     rng = np.random.default_rng(1)
     out = cube_mix.flight(np.full(100, 0.3), np.full(100, 7), rng)
     assert ((out > 0) & (out < 1)).sum() <= 2 and out.sum() == pytest.approx(30)
+
+
+def test_equal_rows_are_dealt_to_all_blocks(spark):
+    """Rows without an id and of one size: no block holds them all."""
+    rows = spark.createDataFrame([(None, "s", 7)] * 3000 + [(i, "s", 7) for i in range(100)], "id long, source string, size long")
+    units = cube_mix._counted(rows, 50)
+    assert units.count() == 3100 and units.where("id is not null and k > 0").count() == 0
+    assert sorted(r.k for r in units.where("id is null").collect()) == list(range(3000))
+    blocks = units.groupBy(cube_mix.F.pmod(cube_mix.F.xxhash64("id", "size", "k"), cube_mix.F.lit(62)).alias("b")).count()
+    assert blocks.agg({"count": "max"}).first()[0] <= 100
