@@ -96,17 +96,21 @@ def link(calls: DataFrame, results: DataFrame, tools: DataFrame) -> DataFrame:
     ``status`` is linked, unanswered (no result) or orphan (no call); a result at or before
     its call's turn is linked and ``early``.  Of repeated calls the first by (turn, pos)
     counts, of repeated results the first by (turn, content); ``n_calls`` and ``n_results``
-    say how many there were.  Rows without a conversation or identifier are kept, but
-    link with nothing.  ``order_errors`` counts identifiers in ``after`` that are unknown
+    say how many there were.  Rows without a conversation or identifier are rows of their own and
+    link with nothing; all that such a call comes after counts as unknown.  ``order_errors`` counts identifiers in ``after`` that are unknown
     or not before the call, and a cycle inside its message; ``errors`` lists what is wrong with the
     arguments.  ``json`` is null for orphans.  Empty tables give empty results.
     """
     keys = ["conv", "call_id"]
     call = F.struct("turn", "pos", "level", "name", "arguments", "after")
-    c = calls.groupBy(*keys).agg(F.min(call).alias("c"), F.count("*").alias("n_calls"))
-    r = results.groupBy(*keys).agg(F.min(F.struct("turn", "content")).alias("r"), F.count("*").alias("n_results"))
-    deps = c.select(*keys, F.col("c.turn").alias("turn"), F.col("c.level").alias("level"), F.explode(F.array_distinct("c.after")).alias("dep"))
-    known = c.select("conv", F.col("call_id").alias("dep"), F.col("c.turn").alias("dep_turn"), F.col("c.level").alias("dep_level"))
+    has = F.col("conv").isNotNull() & F.col("call_id").isNotNull()
+    one = F.lit(1).cast("long")
+    named = calls.where(has).groupBy(*keys).agg(F.min(call).alias("c"), F.count("*").alias("n_calls"))
+    c = named.unionByName(calls.where(~has).select(*keys, call.alias("c"), one.alias("n_calls")))
+    r = results.where(has).groupBy(*keys).agg(F.min(F.struct("turn", "content")).alias("r"), F.count("*").alias("n_results"))
+    r = r.unionByName(results.where(~has).select(*keys, F.struct("turn", "content").alias("r"), one.alias("n_results")))
+    deps = named.select(*keys, F.col("c.turn").alias("turn"), F.col("c.level").alias("level"), F.explode(F.array_distinct("c.after")).alias("dep"))
+    known = named.select("conv", F.col("call_id").alias("dep"), F.col("c.turn").alias("dep_turn"), F.col("c.level").alias("dep_level"))
     before = F.coalesce((F.col("dep_turn") < F.col("turn")) | ((F.col("dep_turn") == F.col("turn")) & (F.col("dep_level") < F.col("level"))), F.lit(False))
     order = deps.join(known.hint("shuffle_hash"), ["conv", "dep"], "left").groupBy(*keys).agg(F.sum((~before).cast("long")).alias("late"))
     both = c.join(r, keys, "full_outer").join(order, keys, "left").join(tools.select("name", "fields").withColumnRenamed("name", "tool"), F.col("c.name") == F.col("tool"), "left")
@@ -130,7 +134,7 @@ def link(calls: DataFrame, results: DataFrame, tools: DataFrame) -> DataFrame:
         F.coalesce("n_calls", F.lit(0)).cast("long").alias("n_calls"),
         F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"),
         F.coalesce(F.col("r.turn") <= F.col("c.turn"), F.lit(False)).alias("early"),
-        (F.coalesce("late", F.lit(0)) + cycle).cast("long").alias("order_errors"),
+        (F.coalesce("late", F.when(~has & F.col("c").isNotNull(), F.size(F.array_distinct("c.after"))), F.lit(0)) + cycle).cast("long").alias("order_errors"),
         F.when(F.col("c").isNotNull(), F.array_join(_errors(F.col("fields"), F.col("args")), ",")).alias("errors"),
         F.when(F.col("c").isNotNull(), written).alias("json"),
     )

@@ -49,6 +49,16 @@ def test_link_order_and_status(spark, tools):
     assert got["lost"].json is None and got["lost"].errors is None
 
 
+def test_calls_without_an_identifier_are_rows_of_their_own(spark, tools):
+    messages = [said(1, call(None, q="a"), call(None, q="b", after=["x", "x", "y"]), call("x", q="c")), told(2, None), told(2, None), told(2, "x")]
+    messages += [(None, *said(1, call("x", q="d"))[1:]), (None, *said(1, call("x", q="e"))[1:])]
+    df = spark.createDataFrame(messages, "conv long, turn long, role string, text string")
+    out = chat.link(chat.calls_of(df), chat.results_of(df), tools).collect()
+    calls = sorted((json.loads(r.json)["arguments"]["q"], r.status, r.n_calls, r.order_errors, r.errors) for r in out if r.json)
+    assert calls == [("a", "unanswered", 1, 0, ""), ("b", "unanswered", 1, 2, ""), ("c", "linked", 1, 0, ""), ("d", "unanswered", 1, 0, ""), ("e", "unanswered", 1, 0, "")]
+    assert sum(r.status == "orphan" and r.n_results == 1 for r in out) == 2 and len(out) == 7
+
+
 def test_cycles_inside_a_message(spark, tools):
     got = run(spark, tools, [said(1, call("a", after=["b"], q="x"), call("b", after=["a"], q="x"), call("c", q="x"), call("d", after=["d"], q="x"))])
     assert got["c"].order_errors == 0 and got["c"].level == 0
