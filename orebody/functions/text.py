@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -29,10 +30,21 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
+#: What counts as white space at the ends of a text, as a character class.
+SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
 def squeeze(text: Column) -> Column:
-    """Runs of blanks to one, three or more newlines to two, ends stripped."""
-    blanks = F.regexp_replace(text, "[ \t　]+", " ")
-    return strip(F.regexp_replace(blanks, "\n{3,}", "\n\n"))
+    """Runs of blanks, tabs, no-break and ideographic spaces to one blank, three or more newlines to two, ends stripped of any white space."""
+    blanks = F.regexp_replace(text, "[ \t\u00a0　]+", " ")
+    return F.regexp_replace(F.regexp_replace(blanks, "\n{3,}", "\n\n"), f"^{SPACE}+|{SPACE}+$", "")
+
+
+def hmac_sha256(text: Column, key: bytes) -> Column:
+    """HMAC-SHA-256 of ``text`` in hex, of two nested digests."""
+    short = hashlib.sha256(key).digest() if len(key) > 64 else key
+    inner, outer = (F.lit(bytes(x ^ pad for x in short.ljust(64, b"\0"))) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, text.cast("binary")), 256))), 256)
 
 
 def is_noise(text: Column) -> Column:

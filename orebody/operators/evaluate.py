@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import identifier_key
 from .cleaning import label_lines
+from .prefix import percentiles as exact
 
 MISSING = 99
 
@@ -44,7 +45,7 @@ def arm_summary(ranks: DataFrame, times: DataFrame) -> DataFrame:
     top = lambda k: F.sum((F.coalesce(F.col("rank") <= k, F.lit(False))).cast("long")).alias(f"top{k}")
     rr5 = F.when(F.col("rank") <= 5, 1 / F.col("rank")).otherwise(0.0)
     got = ranks.where("n_gold is not null").groupBy("arm").agg(F.count("*").alias("cases"), top(1), top(5), top(25), F.round(F.avg(rr5), 6).alias("mrr5"))
-    t = times.groupBy("arm").agg(F.expr("percentile_disc(0.5) within group (order by ms)").alias("p50"), F.expr("percentile_disc(0.95) within group (order by ms)").alias("p95"))
+    t = exact(times, ["arm"], "ms", {"p50": 0.5, "p95": 0.95})
     return got.join(t, "arm")
 
 
@@ -135,11 +136,8 @@ def outcomes(runs: DataFrame) -> DataFrame:
 
 def percentiles(rows: DataFrame, by: str, value: str, shares: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
     """Nearest-rank (``d``) and interpolated (``c``) percentiles of ``value``."""
-    picked = []
-    for p in shares:
-        name = int(p * 100)
-        picked += [F.expr(f"percentile_disc({p}) within group (order by {value})").alias(f"d{name}"), F.round(F.expr(f"percentile_cont({p}) within group (order by {value})"), 6).alias(f"c{name}")]
-    return rows.groupBy(by).agg(*picked)
+    found = exact(rows, [by], value, {f"d{int(p * 100)}": p for p in shares}, {f"c{int(p * 100)}": p for p in shares})
+    return found.withColumns({f"c{int(p * 100)}": F.round(f"c{int(p * 100)}", 6) for p in shares})
 
 
 def matrix_gaps(runs: DataFrame, cases: DataFrame, modes: DataFrame, repeats: int, most: int = 1000) -> DataFrame:
@@ -186,11 +184,12 @@ def judge_problems(judged: DataFrame) -> DataFrame:
 
 def task_summary(tasks: DataFrame) -> DataFrame:
     """Tasks (category, passed, ms; null ``passed``: not run) by category and in total (null category)."""
-    ran = F.col("passed").isNotNull()
-    return tasks.groupingSets([["category"], []], "category").agg(
-        F.count("*").alias("tasks"), F.sum((~ran).cast("long")).alias("unrun"), F.sum(F.col("passed").cast("long")).alias("passed"),
-        ratio(F.sum(F.col("passed").cast("long")), F.sum(ran.cast("long"))).alias("rate"), F.expr("percentile_disc(0.95) within group (order by ms)").alias("p95"),
-    )
+    passed, ran = F.col("passed").cast("long"), F.col("passed").isNotNull().cast("long")
+    sums = [F.count("*").alias("tasks"), F.sum(1 - ran).alias("unrun"), F.sum(passed).alias("passed"), ratio(F.sum(passed), F.sum(ran)).alias("rate")]
+    one = exact(tasks, ["category"], "ms", {"p95": 0.95}).withColumnRenamed("category", "__category")
+    each = tasks.groupBy("category").agg(*sums).join(one, F.col("category").eqNullSafe(F.col("__category")), "left").drop("__category")
+    total = tasks.agg(*sums).join(exact(tasks, [], "ms", {"p95": 0.95}), F.lit(True), "left")
+    return each.unionByName(total.withColumn("category", F.lit(None).cast(dict(tasks.dtypes)["category"])))
 
 
 def dashboard_rows(pairs: DataFrame, times: DataFrame) -> DataFrame:
@@ -202,7 +201,7 @@ def dashboard_rows(pairs: DataFrame, times: DataFrame) -> DataFrame:
             rows = pairs.groupBy("group").agg(n.alias("numerator"), d.alias("denominator")).select("group", F.lit(side).alias("variant"), F.lit(f"Top{k}").alias("label"), ratio(F.col("numerator"), F.col("denominator")).alias("value"), F.lit("ratio").alias("unit"), "numerator", "denominator")
             out = rows if out is None else out.unionByName(rows)
     none = F.lit(None).cast("long")
-    lat = times.groupBy("group", "variant").agg(F.expr("percentile_disc(0.95) within group (order by ms)").cast("double").alias("value"))
+    lat = exact(times, ["group", "variant"], "ms", {"value": 0.95})
     return out.unionByName(lat.select("group", "variant", F.lit("p95").alias("label"), "value", F.lit("ms").alias("unit"), none.alias("numerator"), none.alias("denominator")))
 
 
@@ -225,10 +224,9 @@ def metric_problems(metrics: DataFrame) -> DataFrame:
 
 def variant_summary(runs: DataFrame) -> DataFrame:
     """``variant``: runs, means of ``recall`` and ``rr`` over non-null ones, p50 and p95 of ``ms``."""
-    return runs.groupBy("variant").agg(
-        F.count("*").alias("runs"), F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("rr"), 6).alias("rr"),
-        F.expr("percentile_disc(0.5) within group (order by ms)").alias("p50"), F.expr("percentile_disc(0.95) within group (order by ms)").alias("p95"),
-    )
+    means = runs.groupBy("variant").agg(F.count("*").alias("runs"), F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("rr"), 6).alias("rr"))
+    times = exact(runs, ["variant"], "ms", {"p50": 0.5, "p95": 0.95}).withColumnRenamed("variant", "__variant")
+    return means.join(times, F.col("variant").eqNullSafe(F.col("__variant")), "left").drop("__variant")
 
 
 def round_robin(items: DataFrame, excluded: DataFrame, n: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import hash_share
+from ..functions.text import hash_share, hmac_sha256
 from ..session import shared_dir
 from .prefix import running
 
@@ -102,8 +102,8 @@ def reviewed(runs: DataFrame, reviews: DataFrame, regression_runs: DataFrame) ->
 
 
 def anonymous(rows: DataFrame, ids: tuple[str, ...], salt: str, columns: tuple[str, ...]) -> DataFrame:
-    """Listed columns only, identifiers replaced by a salted SHA-256."""
-    made = [F.sha2(F.concat(F.lit(salt), F.col(c).cast("string")), 256).alias(c) if c in ids else F.col(c) for c in columns]
+    """Listed columns only, identifiers replaced by the first 24 hex digits of their HMAC-SHA-256 under ``salt``; null ones stay null."""
+    made = [F.substring(hmac_sha256(F.col(c).cast("string"), salt.encode()), 1, 24).alias(c) if c in ids else F.col(c) for c in columns]
     return rows.select(*made)
 
 

@@ -23,10 +23,13 @@ def _(t: Tables):
     return t.documents.select("doc_id", F.md5(fn.half_width(wide)).alias("digest"))
 
 
+#: Noise for the texts: no-break and ideographic spaces inside and at the end.
 @query("p2_squeeze", r"""
-SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(replace(text, '. ', '.' || chr(9) || '  '), '[ \t　]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS digest FROM documents""")
+SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(replace(text, '. ', '.' || chr(9) || chr(160) || ' ') || chr(160) || chr(12288), '[ \t\x{A0}　]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'),
+  '^[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+|[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+$', '', 'g')) AS digest FROM documents""")
 def _(t: Tables):
-    return t.documents.select("doc_id", F.md5(fn.squeeze(F.regexp_replace("text", r"\. ", ".\t  "))).alias("digest"))
+    noisy = F.concat(F.regexp_replace("text", r"\. ", ".\t\u00a0 "), F.lit("\u00a0\u3000"))
+    return t.documents.select("doc_id", F.md5(fn.squeeze(noisy)).alias("digest"))
 
 
 LINES_SQL = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos FROM documents)"

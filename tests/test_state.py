@@ -211,3 +211,42 @@ def test_maintained_statistics_equal_those_from_scratch(spark, tmp_path, monkeyp
         got = retrieve.bm25(docs, q, 8, statistics=kept.now())
         assert sorted(map(str, got.collect())) == sorted(map(str, retrieve.bm25(docs, q, 8).collect()))
     assert kept.update() is False
+
+
+def test_percentiles_of_one_hot_group_equal_those_of_all_values(spark):
+    import math
+    import random
+
+    import numpy as np
+
+    rng = random.Random(7)
+    rows = [(None if i % 50 == 0 else "hot" if i % 10 else "cold", rng.choice([None, 1.5, float(rng.randrange(40)), rng.random()])) for i in range(3000)] + [("empty", None), ("one", 4.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    got = {r.g: r for r in prefix.percentiles(df, ["g"], "v", {"d50": 0.5, "d95": 0.95}, {"c50": 0.5, "c95": 0.95}).collect()}
+    held = {}
+    for g, v in rows:
+        held.setdefault(g, []).extend([] if v is None else [v])
+    assert set(got) == {g for g, v in held.items() if v}
+    for g, r in got.items():
+        v = sorted(held[g])
+        assert (r.d50, r.d95) == tuple(v[math.ceil(len(v) * p) - 1] for p in (0.5, 0.95))
+        assert (r.c50, r.c95) == pytest.approx((np.percentile(v, 50), np.percentile(v, 95)))
+    total = prefix.percentiles(df, [], "v", {"p": 0.5}).collect()
+    every = sorted(x for v in held.values() for x in v)
+    assert [r.p for r in total] == [every[math.ceil(len(every) * 0.5) - 1]]
+    assert prefix.percentiles(df.limit(0), ["g"], "v", {"p": 0.5}).count() == 0
+
+
+def test_keyed_digests_equal_the_standard_ones(spark):
+    import hashlib
+    import hmac
+
+    from orebody.functions.text import hmac_sha256, squeeze
+
+    df = spark.createDataFrame([("é1",), ("",), (None,)], "x string")
+    for key in (b"k", b"long" * 40):
+        got = [r.h for r in df.select(hmac_sha256(F.col("x"), key).alias("h")).collect()]
+        assert got == [hmac.new(key, x.encode(), hashlib.sha256).hexdigest() for x in ("é1", "")] + [None]
+    texts = ["　a \t b ", "  x\n\n\n\ny\x1f", "a b"]
+    got = [r.s for r in spark.createDataFrame([(t,) for t in texts], "x string").select(squeeze(F.col("x")).alias("s")).collect()]
+    assert got == ["a b", "x\n\ny", "a b"]
