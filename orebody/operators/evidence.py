@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..session import stored
 from .cleaning import label_lines
 
 
@@ -42,17 +46,46 @@ def merged_spans(quotes: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.withColumn("island", island).groupBy("source", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("island")
 
 
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each (id, quote, span): whether the span holds the quote, and the stretches that the span's places in the quote cover."""
+    for batch in batches:
+        ids, inside, start, stop = [], [], [], []
+        for k, (quote, span) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+            within = span is not None and quote is not None and quote in span
+            found: list[list[int]] = []
+            at = quote.find(span) if span and quote else -1
+            while at >= 0:
+                if found and at <= found[-1][1]:
+                    found[-1][1] = at + len(span)
+                else:
+                    found.append([at, at + len(span)])
+                at = quote.find(span, at + 1)
+            for a, b in found or [(None, None)]:
+                ids.append(k)
+                inside.append(within)
+                start.append(a)
+                stop.append(b)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(inside, pa.bool_()), pa.array(start, pa.int64()), pa.array(stop, pa.int64())], names=["id", "inside", "start", "stop"])
+
+
 def covered_quotes(quotes: DataFrame, spans: DataFrame) -> DataFrame:
     """Quotes (id, source, quote) with ``covered``: inside one selected span (source, span), or every character but white space
-    in some occurrence of one."""
-    both = quotes.join(spans, "source", "left")
-    inside = F.max(F.coalesce(F.contains("span", "quote"), F.lit(False))).alias("inside")
-    whole = both.groupBy("id", "quote").agg(inside)
-    used = both.where(F.coalesce(F.length("span") > 0, F.lit(False)) & F.coalesce(F.contains("quote", "span"), F.lit(False)))
-    starts = F.filter(F.sequence(F.lit(1), F.length("quote")), lambda i: F.substring(F.col("quote"), i, F.length("span")) == F.col("span"))
-    cells = used.select("id", F.length("span").alias("n"), F.explode(starts).alias("i")).select("id", F.explode(F.sequence(F.col("i"), F.col("i") + F.col("n") - 1)).alias("pos")).distinct()
-    chars = quotes.select("id", F.posexplode(F.split("quote", "")).alias("k", "c")).where(~F.col("c").rlike(r"^\s*$")).select("id", (F.col("k") + 1).alias("pos"))
-    open_ = chars.join(cells, ["id", "pos"], "left_anti").select("id").distinct().withColumn("open", F.lit(True))
+    in some place of one.
+
+    Places are stretches, joined where they touch; what is left between them is looked at, so rows
+    grow with the places, not with the characters.  A quote of white space only is not covered.
+    """
+    kind = dict(quotes.dtypes)["id"]
+    both = quotes.join(spans, "source", "left").select("id", "quote", "span")
+    places = stored(both.mapInArrow(_places, f"id {kind}, inside boolean, start long, stop long"), "places")
+    inside = places.groupBy("id").agg(F.max("inside").alias("inside"), F.max("stop").alias("last"))
+    before = Window.partitionBy("id").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
+    gaps = places.where("start is not null").select("id", F.coalesce(F.max("stop").over(before), F.lit(0)).alias("from"), F.col("start").alias("to")).where("to > from")
+    whole = quotes.select("id", "quote").join(inside, "id")
+    tails = whole.select("id", F.coalesce("last", F.lit(0)).alias("from"), F.length("quote").cast("long").alias("to"))
+    parts = gaps.unionByName(tails).join(quotes.select("id", "quote"), "id")
+    rest = F.expr("substring(quote, int(from + 1), int(to - from))")
+    open_ = parts.where(rest.rlike(r"\S")).select("id").distinct().withColumn("open", F.lit(True))
     return whole.join(open_, "id", "left").select("id", ((F.trim("quote") != "") & (F.col("inside") | F.col("open").isNull())).alias("covered"))
 
 

@@ -181,18 +181,23 @@ def _(t: Tables):
 
 
 @query("e5_covered", r"""
-WITH q AS (SELECT doc_id, substr(coalesce(text, ''), 1, 60) || CASE WHEN doc_id % 2 = 1 THEN chr(1) ELSE '' END AS quote, substr(coalesce(text, ''), 1, 40) AS a, substr(coalesce(text, ''), 36, 25) AS b FROM documents),
-k AS (SELECT *, unnest(range(1, length(quote) + 1)) AS k FROM q),
-u AS (SELECT DISTINCT doc_id FROM k WHERE NOT regexp_matches(substr(quote, k, 1), '^\s$') AND
-  len(list_filter(range(greatest(1, k - length(a) + 1), k + 1), lambda i: length(a) > 0 AND substr(quote, i, length(a)) = a)) = 0 AND
-  len(list_filter(range(greatest(1, k - length(b) + 1), k + 1), lambda i: length(b) > 0 AND substr(quote, i, length(b)) = b)) = 0)
-SELECT doc_id AS id, trim(quote) <> '' AND (contains(a, quote) OR contains(b, quote) OR NOT EXISTS (SELECT 1 FROM u WHERE u.doc_id = q.doc_id)) AS covered FROM q""")
-def _(t: Tables):
-    text = F.coalesce("text", F.lit(""))
-    # A quote is the first 60 characters; every second one ends with a character of no text.
-    quotes = t.documents.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("source"), F.concat(F.substring(text, 1, 60), F.when(F.col("doc_id") % 2 == 1, "\x01").otherwise("")).alias("quote"))
-    spans = t.documents.select(F.col("doc_id").alias("source"), F.explode(F.array(F.substring(text, 1, 40), F.substring(text, 36, 25))).alias("span"))
-    return e.covered_quotes(quotes, spans)
+WITH RECURSIVE q AS (SELECT doc_id AS id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, coalesce(text, '') || CASE WHEN doc_id % 2 = 1 THEN chr(1) ELSE '' END AS quote FROM documents),
+s AS (SELECT DISTINCT id, quote, unnest(CASE id % 3 WHEN 0 THEN [substr(t, 1, n * 11 // 20), substr(t, n * 9 // 20 + 1)] WHEN 1 THEN [substr(t, 1, n * 8 // 20), substr(t, n * 12 // 20 + 1)] ELSE [t] END) AS span FROM q),
+o(id, quote, span, pos) AS (SELECT id, quote, span, instr(quote, span) FROM s WHERE span <> '' AND contains(quote, span)
+  UNION ALL SELECT id, quote, span, pos + instr(substr(quote, pos + 1), span) FROM o WHERE contains(substr(quote, pos + 1), span)),
+w AS (SELECT id, quote, pos - 1 AS a, pos - 1 + length(span) AS b FROM o),
+g AS (SELECT id, quote, coalesce(max(b) OVER (PARTITION BY id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f, a AS e FROM w
+  UNION ALL SELECT id, quote, coalesce((SELECT max(b) FROM w WHERE w.id = q.id), 0), length(quote) FROM q),
+u AS (SELECT DISTINCT id FROM g WHERE e > f AND regexp_matches(substr(quote, f + 1, e - f), '\S'))
+SELECT id, trim(quote) <> '' AND (coalesce((SELECT bool_or(contains(span, s.quote)) FROM s WHERE s.id = q.id), false) OR id NOT IN (SELECT id FROM u)) AS covered FROM q""")
+def _(t: Tables):
+    # Quotes are whole texts; every second one ends with a character of no text.  Spans overlap, leave a fifth out, or are the text.
+    text, n, k = F.coalesce("text", F.lit("")), F.length(F.coalesce("text", F.lit(""))), F.col("doc_id") % 3
+    to = lambda share: F.floor(n * share / 20).cast("int")
+    quotes = t.documents.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("source"), F.concat(text, F.when(F.col("doc_id") % 2 == 1, "\x01").otherwise("")).alias("quote"))
+    two = lambda a, b: F.array(F.substring(text, F.lit(1), to(a)), F.substring(text, to(b) + 1, n))
+    cut = F.when(k == 0, two(11, 9)).when(k == 1, two(8, 12)).otherwise(F.array(text))
+    return e.covered_quotes(quotes, t.documents.select(F.col("doc_id").alias("source"), F.explode(cut).alias("span")))
 
 
 @query("e6_uncited", "SELECT p_partkey AS id, list_filter([p_size, 99], lambda x: x <> p_size OR p_partkey % 2 = 0) AS missing FROM part")

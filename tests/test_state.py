@@ -250,3 +250,26 @@ def test_keyed_digests_equal_the_standard_ones(spark):
     texts = ["　a \t b ", "  x\n\n\n\ny\x1f", "a b"]
     got = [r.s for r in spark.createDataFrame([(t,) for t in texts], "x string").select(squeeze(F.col("x")).alias("s")).collect()]
     assert got == ["a b", "x\n\ny", "a b"]
+
+
+def test_covered_quotes_equal_a_look_at_every_character(spark):
+    import random
+
+    from orebody.operators import evidence
+
+    rng = random.Random(12)
+    quotes, spans, want = [], [], {}
+    for i in range(300):
+        quote = "".join(rng.choice("aab \n") for _ in range(rng.randrange(12)))
+        mine = [quote[a : a + rng.randrange(1, 6)] for a in (rng.randrange(12) for _ in range(rng.randrange(5)))] + rng.choice([[], ["x" + quote + "y"], [""]])
+        quotes.append((i, i, quote))
+        spans += [(i, s) for s in mine]
+        seen = set()
+        for s in mine:
+            for a in range(len(quote)):
+                if s and quote.startswith(s, a):
+                    seen |= set(range(a, a + len(s)))
+        want[i] = bool(quote.strip(" ")) and (any(quote in s for s in mine) or all(c in " \n" or k in seen for k, c in enumerate(quote)))
+    got = evidence.covered_quotes(spark.createDataFrame(quotes, "id long, source long, quote string"), spark.createDataFrame(spans, "source long, span string"))
+    assert {r.id: r.covered for r in got.collect()} == want
+    assert 20 < sum(want.values()) < 280
