@@ -82,9 +82,15 @@ def coverage_gate(hits: DataFrame, function_words: tuple[str, ...], least: float
     return best.withColumn("field_lane", F.col("coverage") >= least)
 
 
-def bridge(quotes: DataFrame, chunks: DataFrame) -> DataFrame:
-    """The chunk (work, chunk, start, stop) of each work that shares most with its quotes (work, start, stop, weight)."""
-    both = quotes.alias("q").join(chunks.alias("c"), "work")
+def bridge(quotes: DataFrame, chunks: DataFrame, width: int = 1000) -> DataFrame:
+    """The chunk (work, chunk, start, stop) of each work that shares most with its quotes (work, start, stop, weight).
+
+    Positions are dealt to bins of ``width``, so that a quote meets the chunks near it only; a pair
+    counts in the first bin that both reach.
+    """
+    first = lambda c: F.floor(F.col(c) / width)
+    dealt = lambda df: df.where("stop > start").withColumn("bin", F.explode(F.sequence(first("start"), F.floor((F.col("stop") - 1) / width))))
+    both = dealt(quotes).alias("q").join(dealt(chunks).alias("c"), ["work", "bin"]).where(F.col("bin") == F.greatest(first("q.start"), first("c.start")))
     shared = F.least("q.stop", "c.stop") - F.greatest("q.start", "c.start")
     rows = both.select("work", "chunk", shared.alias("shared"), "weight").where("shared > 0")
     order = Window.partitionBy("work").orderBy(F.desc(F.col("shared") * F.col("weight")), "chunk")

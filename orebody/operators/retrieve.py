@@ -234,7 +234,9 @@ def contains_join(queries: DataFrame, entries: DataFrame, least: int = 1, most:
     sized = entries.where(F.length("phrase") >= least).select("entry", "phrase", key.alias("word"))
     if sized.where("word is null").limit(most + 1).count() > most:
         raise ValueError(f"more than {most} phrases of under three words")
-    words = queries.select("query", "text", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
-    long_ = words.join(sized.where("word is not null"), "word").where(F.expr("contains(text, phrase)")).select("query", "entry", "phrase")
+    words = queries.select("query", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
+    # Words meet first; only the texts of those that met are fetched.
+    met = words.join(sized.where("word is not null"), "word").select(F.col("query").alias("met"), "entry", "phrase").distinct()
+    long_ = met.join(queries.select("query", "text"), F.col("met").eqNullSafe(F.col("query"))).where(F.expr("contains(text, phrase)")).select("query", "entry", "phrase")
     short = queries.join(F.broadcast(sized.where("word is null")), F.expr("contains(text, phrase)")).select("query", "entry", "phrase")
     return long_.unionByName(short).distinct()

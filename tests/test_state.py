@@ -273,3 +273,26 @@ def test_covered_quotes_equal_a_look_at_every_character(spark):
     got = evidence.covered_quotes(spark.createDataFrame(quotes, "id long, source long, quote string"), spark.createDataFrame(spans, "source long, span string"))
     assert {r.id: r.covered for r in got.collect()} == want
     assert 20 < sum(want.values()) < 280
+
+
+def test_quotes_meet_the_chunks_near_them(spark):
+    import random
+
+    from orebody.operators import relations
+
+    rng = random.Random(5)
+    stretch = lambda most: (a := rng.randrange(300), a + rng.randrange(most))
+    quotes = [(rng.randrange(12), *stretch(60), rng.choice([1, 2, 5])) for _ in range(60)]
+    chunks = [(rng.randrange(12), c, *stretch(90)) for c in range(80)]
+    best = {}
+    for w, a, b, weight in quotes:
+        for v, c, x, y in chunks:
+            shared = min(b, y) - max(a, x)
+            if v == w and shared > 0:
+                best[w] = min(best.get(w, (0, 0, 0)), (-shared * weight, c, shared)) if w in best else (-shared * weight, c, shared)
+    q, c = spark.createDataFrame(quotes, "work long, start long, stop long, weight long"), spark.createDataFrame(chunks, "work long, chunk long, start long, stop long")
+    for width in (7, 50, 1000):
+        got = {r.work: (r.chunk, r.shared) for r in relations.bridge(q, c, width).collect()}
+        assert {w: (b[1], b[2]) for w, b in best.items()}.keys() == got.keys()
+        for w, (chunk, shared) in got.items():
+            assert (chunk, -best[w][0]) == (best[w][1], -best[w][0])
