@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from ..operators.prefix import running
 from ..session import new_path
@@ -144,9 +145,10 @@ def numbered_on(messages: DataFrame, root: str) -> DataFrame:
     """
     spark = messages.sparkSession
     reached, rows = f"{root}/reached", f"{root}/rows"
+    kind = dict(messages.dtypes)["session"]
 
     def before(number: int) -> DataFrame:
-        empty = spark.createDataFrame([], "session long, n long, batch int")
+        empty = spark.createDataFrame([], f"session {kind}, n long, batch int")
         if number == 0:
             return empty.select("session", "n")
         since = (number - 1) // SNAPSHOT * SNAPSHOT
@@ -233,6 +235,6 @@ def kept_and_late(rows: DataFrame, upto: Column, root: str, delay: str = DELAY)
         told.agg(F.max("ts").alias("top")).write.mode("overwrite").parquet(f"{root}/marks/batch={number}")
 
     drain_into(rows, f"{root}/checkpoint", work)
-    schema = rows.schema.add("late", "boolean")
+    schema = StructType(list(rows.schema.fields)).add("late", "boolean")
     told = spark.read.schema(schema).parquet(f"{root}/rows").drop("batch")
     return told.where(~F.col("late")).drop("late"), told.where("late").drop("late")
