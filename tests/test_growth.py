@@ -36,3 +36,21 @@ def test_references_of_equal_titles(spark):
     got, mb = shuffled(spark, lambda: documents.references(c, t, ("see <([^>]{2,40})>",)).select("src", "dst", "n_matches"))
     assert sorted(got) == [(a, b, 3 if b == 7 else 2) for a in range(400) for b in range(400) if a != b]
     assert mb < 0.5
+
+
+def test_merge_proposals_of_equal_patterns(spark):
+    sets = [["p", "q", "r"], ["q", "p", "r", "p"], ["p", "q"], ["a", "b", "c", "d", "e", "q"], ["a", "b", "c", "d", "e"], [None, "q", "z"], [], None]
+    rows = [(i, sets[i % 8], None if i % 11 == 0 else i % 2 // 1) for i in range(400)]
+    s = spark.createDataFrame(rows, "skill long, patterns array<string>, action int")
+    done = spark.createDataFrame([(i, i + 16) for i in range(400)] + [(1, None)], "a long, b long")
+    want = set()
+    for (a, x, m), (b, y, n) in itertools.combinations(rows, 2):
+        if x and y and m is not None and m == n and b != a + 16:
+            both = len((set(x) & set(y)) - {None})
+            j = round(both / (len(set(x)) + len(set(y)) - both), 6)
+            if both and j > 0.4:
+                want.add((a, b, j))
+    got, mb = shuffled(spark, lambda: documents.merge_proposals(s, done, 0.4))
+    assert len(got) == len(want) and {(a, b, round(j, 6)) for a, b, j in got} == want
+    assert {r[2] for r in documents.merge_proposals(s, done).collect()} == {x[2] for x in want if x[2] > 0.8}
+    assert mb < 0.5
