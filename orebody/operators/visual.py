@@ -124,11 +124,14 @@ def decisions(tiered: DataFrame, k: int = 2) -> DataFrame:
 
 
 def number_clues(photos: DataFrame, index: DataFrame, decided: DataFrame, k: int = 2) -> DataFrame:
-    """Works whose identifier was read (photo, key), not selected already, in unresolved photos only; the first ``k``."""
-    open_ = decided.where("state <> 'likely_match'")
-    found = photos.join(open_.select("photo"), "photo", "left_semi").join(index, "key").select("photo", F.explode("works").alias("work")).distinct()
-    chosen = open_.select("photo", F.explode("selected").alias("work"))
-    left = found.join(chosen, ["photo", "work"], "left_anti")
+    """Works whose identifier was read (photo, key), not selected already, in unresolved photos only; the first ``k``.
+
+    Works of ``index`` (key, works) are sorted, so a photo needs the first ``k`` of a key and as many more as it has selected.
+    """
+    open_ = decided.where("state <> 'likely_match'").select("photo", "selected")
+    some = F.slice("works", F.lit(1), F.lit(k) + F.size("selected"))
+    found = photos.join(open_.groupBy("photo").agg(F.array_distinct(F.flatten(F.collect_list("selected"))).alias("selected")), "photo").join(index, "key")
+    left = found.select("photo", F.explode(F.array_except(some, "selected")).alias("work")).distinct()
     return left.withColumn("k", F.row_number().over(Window.partitionBy("photo").orderBy("work"))).where(F.col("k") <= k)
 
 

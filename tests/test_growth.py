@@ -54,3 +54,13 @@ def test_merge_proposals_of_equal_patterns(spark):
     assert len(got) == len(want) and {(a, b, round(j, 6)) for a, b, j in got} == want
     assert {r[2] for r in documents.merge_proposals(s, done).collect()} == {x[2] for x in want if x[2] > 0.8}
     assert mb < 0.5
+
+
+def test_number_clues_take_the_first_works(spark):
+    photos = spark.range(300).select(F.col("id").alias("photo"), F.lit("K1").alias("key")).unionByName(spark.sql("select 3L photo, 'K2' key"))
+    index = spark.sql("select 'K1' key, sequence(10L, 4000L) works union all select 'K2', array(1L, 11L, 12L)")
+    decided = spark.range(300).select(F.col("id").alias("photo"), F.when(F.col("id") == 9, "likely_match").otherwise("uncertain").alias("state"), F.expr("if(id % 2 = 0, array(10L, 12L), array(77777L))").alias("selected"))
+    got, mb = shuffled(spark, lambda: visual.number_clues(photos, index, decided))
+    first = lambda i: (1, 10) if i == 3 else (11, 13) if i % 2 == 0 else (10, 11)
+    assert sorted(got) == sorted((i, w, k) for i in range(300) if i != 9 for k, w in enumerate(first(i), 1))
+    assert mb < 1
