@@ -40,10 +40,18 @@ def choose_reference(matches: DataFrame) -> DataFrame:
 
 
 def comparison_views(hits: DataFrame, views: DataFrame, works: int = 5, images: int = 2) -> DataFrame:
-    """For the first works of hits (query, work, view, rank): the retrieved image, then one of another kind if there is."""
+    """For the first works of hits (query, work, view, rank): the retrieved image, then one of another kind if there is.
+
+    A hit meets its own image and the first ``images`` others of each kind of its work, which hold all that can be chosen.
+    """
     top = hits.where(F.col("rank") <= works).select("query", "work", F.col("view").alias("got"), "rank")
     got = views.select(F.col("view").alias("got"), F.col("kind").alias("got_kind"))
-    rows = top.join(got, "got").join(views, "work")
+    hit = top.join(got, "got")
+    own = hit.join(views.select("work", F.col("view").alias("got"), "view", "kind"), ["work", "got"]).select("query", "work", "got", "rank", "got_kind", "view", "kind")
+    # One more, as the retrieved one can be among them.
+    first = views.withColumn("__k", F.row_number().over(Window.partitionBy("work", "kind").orderBy("view"))).where(F.col("__k") <= images + 1)
+    other = hit.join(first.select("work", "view", "kind"), "work").where(~F.col("view").eqNullSafe(F.col("got"))).select(*own.columns)
+    rows = own.unionByName(other)
     w = Window.partitionBy("query", "work").orderBy(F.desc(F.col("view") == F.col("got")), F.desc(F.col("kind") != F.col("got_kind")), "view")
     return rows.withColumn("k", F.row_number().over(w)).where(F.col("k") <= images).select("query", "work", "view", "k")
 

@@ -64,3 +64,24 @@ def test_number_clues_take_the_first_works(spark):
     first = lambda i: (1, 10) if i == 3 else (11, 13) if i % 2 == 0 else (10, 11)
     assert sorted(got) == sorted((i, w, k) for i in range(300) if i != 9 for k, w in enumerate(first(i), 1))
     assert mb < 1
+
+
+def test_comparison_views_meet_the_first_of_each_kind(spark):
+    rows = [(v, v % 3, [None, "whole", "detail", "whole"][v % 4]) for v in range(900)] + [(5, 2, "whole")]
+    views = spark.createDataFrame(rows, "view long, work long, kind string")
+    hits = [(q, v % 3, v, 1 + q % 6) for q in range(150) for v in (q, q + 3)] + [(900, 1, 0, 1)]
+    h = spark.createDataFrame(hits, "query long, work long, view long, rank int")
+    want = []
+    for images in (1, 2, 5):
+        got, mb = shuffled(spark, lambda n=images: visual.comparison_views(h, views, images=n))
+        groups = {}
+        for q, w, g, r in hits:
+            if r <= 5:
+                for _, _, gk in [x for x in rows if x[0] == g]:
+                    for v, vw, k in rows:
+                        if vw == w:
+                            other = None if k is None or gk is None else k != gk
+                            groups.setdefault((q, w), []).append((v != g, {True: 0, False: 1, None: 2}[other], v))
+        want = [(q, w, x[2], i) for (q, w), c in groups.items() for i, x in enumerate(sorted(c)[:images], 1)]
+        assert sorted(got) == sorted(want)
+        assert mb < 0.5
