@@ -85,3 +85,12 @@ def test_comparison_views_meet_the_first_of_each_kind(spark):
         want = [(q, w, x[2], i) for (q, w), c in groups.items() for i, x in enumerate(sorted(c)[:images], 1)]
         assert sorted(got) == sorted(want)
         assert mb < 0.5
+
+
+def test_words_end_beside_other_letters(spark):
+    texts = ["é de", "éde", "deé", "de_", "DE", "node", "niçdeé", "perſuſ", "x2de"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, x string")
+    got = [r.i for r in df.where(F.col("x").rlike(fn.any_word("find|de"))).collect()]
+    assert sorted(got) == [0, 1, 2, 4, 6]
+    assert df.where(F.col("x").rlike(fn.any_word("persus"))).count() == 0
+    assert df.where(F.concat("x", F.lit("a")).rlike(fn.any_word("persusa"))).count() == 1
