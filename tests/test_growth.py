@@ -2,11 +2,13 @@
 
 import itertools
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from orebody.functions import text as fn
-from orebody.operators import documents, expand, relations, visual
+from orebody.operators import cells, documents, expand, relations, topk, visual
 
 
 def shuffled(spark, make):
@@ -94,3 +96,19 @@ def test_words_end_beside_other_letters(spark):
     assert sorted(got) == [0, 1, 2, 4, 6]
     assert df.where(F.col("x").rlike(fn.any_word("persus"))).count() == 0
     assert df.where(F.concat("x", F.lit("a")).rlike(fn.any_word("persusa"))).count() == 1
+
+
+def test_lookups_of_common_keys(spark):
+    index = spark.range(2000).select(F.when(F.col("id") % 2 == 0, "A1").otherwise("B2").alias("key"), F.col("id").alias("work"))
+    held = index.groupBy("key").agg(F.array_sort(F.collect_set("work")).alias("works")).unionByName(spark.sql("select 'C3' key, array(0L, 5000L) works"))
+    photos = spark.createDataFrame([(i, "No: a-1\nx\nA1") for i in range(100)] + [(100, "a1\nc3"), (101, None), (102, "d4")], "query long, text string")
+    semantic = spark.sql("select 7L query, 1L work")
+    got, mb = shuffled(spark, lambda: relations.line_lookup(photos, held, semantic, "(?i)^no:"))
+    evens = range(0, 2000, 2)
+    want = [(q, w, "identifier", 0) for q in range(101) for w in evens] + [(100, 5000, "identifier", 0), (7, 1, "semantic", 1)]
+    assert sorted(got) == sorted(want)
+    assert mb < 0.5
+    q = spark.createDataFrame([(i, "find works by Ann Lee.") for i in range(100)] + [(500, "Find works dated c. 1800")], "query long, text string")
+    labels = index.select(F.lit("author").alias("kind"), F.when(F.col("key") == "A1", "ann lee").alias("key"), "work").unionByName(spark.sql("select 'date' kind, 'true|1800|' key, 3L work"))
+    found = relations.metadata_lookup(q, labels, "unknown").collect()
+    assert sorted(map(tuple, found)) == sorted([(i, "author", "ann lee", w) for i in range(100) for w in evens] + [(500, "date", "true|1800|", 3)])
