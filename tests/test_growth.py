@@ -112,3 +112,6 @@ def test_lookups_of_common_keys(spark):
     labels = index.select(F.lit("author").alias("kind"), F.when(F.col("key") == "A1", "ann lee").alias("key"), "work").unionByName(spark.sql("select 'date' kind, 'true|1800|' key, 3L work"))
     found = relations.metadata_lookup(q, labels, "unknown").collect()
     assert sorted(map(tuple, found)) == sorted([(i, "author", "ann lee", w) for i in range(100) for w in evens] + [(500, "date", "true|1800|", 3)])
+
+
+
