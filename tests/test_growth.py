@@ -114,4 +114,18 @@ def test_lookups_of_common_keys(spark):
     assert sorted(map(tuple, found)) == sorted([(i, "author", "ann lee", w) for i in range(100) for w in evens] + [(500, "date", "true|1800|", 3)])
 
 
-
+def test_near_exact_loses_no_pair(spark, monkeypatch, pivots):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(12, 8))[rng.integers(0, 12, 300)] + rng.normal(size=(300, 8)) * rng.choice([0, 0.3], (300, 1))
+    rows = [(7 * i % 300, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [1.0]), (902, [2.0]), (903, [float("nan")] * 8)]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    names = [r[0] for r in rows[:300]]
+    want = sorted([tuple(sorted((names[i], names[j]))) for i, j in zip(*np.nonzero(np.triu(unit @ unit.T >= 0.9 - 1e-12, 1)), strict=True)] + [(901, 902)])
+    monkeypatch.setattr(cells, "BLOCK", -(-304 // pivots))
+    v = spark.createDataFrame(rows, "id long, vec array<double>")
+    assert sorted(map(tuple, documents.near_exact(v, 0.1).collect())) == want
+    edges = spark.createDataFrame(want, "a long, b long")
+    forest = documents.near_exact(v, 0.1, forest=True)
+    assert sorted(documents.clusters(forest).collect()) == sorted(documents.clusters(edges).collect())
+    assert forest.count() < len(want) / 2
+    assert cells.within(v.limit(0), 0.5).count() == 0
