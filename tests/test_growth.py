@@ -129,3 +129,6 @@ def test_near_exact_loses_no_pair(spark, monkeypatch, pivots):
     assert sorted(documents.clusters(forest).collect()) == sorted(documents.clusters(edges).collect())
     assert forest.count() < len(want) / 2
     assert cells.within(v.limit(0), 0.5).count() == 0
+
+
+
