@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 #: (query, term) rows that may go to every task, some 30 bytes each; (group, term) statistics; (group, query, k) rows that a task may hold.
 MOST_TERMS, MOST_STATISTICS, MOST_HELD = 1_000_000, 1_000_000, 2_000_000
+#: Words of a task that are looked at together: some ten arrays of eight bytes each.
+PIECE = 1 << 19
 #: What rounding of a score can make of it: documents within it of the k-th are scored.
 SLACK = 2e-6
 
@@ -76,6 +78,19 @@ def _words(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64), column.flatten()
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """``batches`` cut between rows, so that a piece has about ``most`` words whatever the size of a batch."""
+    for batch in batches:
+        per, flat = _words(batch.column(batch.schema.get_field_index("fields")))
+        ends = np.concatenate([[0], np.cumsum(_words(flat.field("words"))[0])])[np.cumsum(per)] if batch.num_rows else np.zeros(0, dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            stop = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right"))
+            stop = max(stop, at + 1)
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def _segments(batch: pa.RecordBatch, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
     """Row, field and length of each text of a batch, and all words in their order."""
     column = batch.column(batch.schema.get_field_index("fields"))
@@ -106,10 +121,12 @@ def _terms_in(words: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarray]
 def _count(terms: pa.Array, names: list[str], empty: bool, kind: pa.DataType | None):
     """Rows (grp, t, n): documents with term t; t = -1: documents (with ``empty`` those without words too); t = -2 - f: words of field f."""
 
+    piece = PIECE
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[object, int], int] = {}
         size = max(len(terms), 1)
-        for batch in batches:
+        for batch in _pieces(batches, piece):
             groups, group = _groups(batch)
             row, field, length, words = _segments(batch, names)
             known = field >= 0
@@ -142,13 +159,15 @@ def _half_up(x: np.ndarray) -> np.ndarray:
 
 
 def _score(held, names: list[str], weights: np.ndarray, k: int, k1: float, b: float, presence: bool, kinds: list[pa.DataType]):
+    piece = PIECE
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, c = held.value
         size = max(len(q.terms), 1)
         idf = {g: np.log(1 + (c.n[g] - df + 0.5) / (df + 0.5)) for g, df in c.df.items()}
         scale = np.add.reduceat(q.times, q.start[:-1]) if presence and len(q.names) else None
         best: dict[tuple[object, int], list] = {}
-        for batch in batches:
+        for batch in _pieces(batches, piece):
             groups, group = _groups(batch)
             docs = batch.column(batch.schema.get_field_index("doc")).to_pylist()
             row, field, length, words = _segments(batch, names)

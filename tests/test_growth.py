@@ -131,4 +131,9 @@ def test_near_exact_loses_no_pair(spark, monkeypatch, pivots):
     assert cells.within(v.limit(0), 0.5).count() == 0
 
 
-
+def test_pieces_of_a_batch_are_bounded():
+    words = [[{"field": "text", "words": ["w"] * n}, {"field": "x", "words": None}] for n in (3, 0, 9, 1, 1, 2)]
+    batch = pa.record_batch([pa.array(range(7)), pa.array([*words, None])], names=["doc", "fields"])
+    got = list(topk._pieces(iter([batch, batch.slice(2, 0), batch.slice(3, 2)]), 4))
+    assert [p.column(0).to_pylist() for p in got] == [[0, 1], [2], [3, 4, 5, 6], [3, 4]]
+    assert [len(topk._segments(p, ["text"])[3]) for p in got] == [3, 9, 4, 2]
