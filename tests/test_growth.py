@@ -23,6 +23,7 @@ def shuffled(spark, make):
     return rows, written() - before
 
 
+@pytest.mark.parametrize("block", [1, 7, 2000])
 def test_expanded_equals_a_join(spark, block):
     left = spark.range(200).select(F.col("id").alias("a"), F.when(F.col("id") % 9 < 8, F.col("id") % 9 % 4).alias("k"))
     right = spark.range(90).select(F.col("id").alias("b"), (F.col("id") % 5).alias("k")).unionByName(spark.sql("select 1L b, 1L k"))
@@ -114,6 +115,7 @@ def test_lookups_of_common_keys(spark):
     assert sorted(map(tuple, found)) == sorted([(i, "author", "ann lee", w) for i in range(100) for w in evens] + [(500, "date", "true|1800|", 3)])
 
 
+@pytest.mark.parametrize("pivots", [1, 9])
 def test_near_exact_loses_no_pair(spark, monkeypatch, pivots):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(12, 8))[rng.integers(0, 12, 300)] + rng.normal(size=(300, 8)) * rng.choice([0, 0.3], (300, 1))
