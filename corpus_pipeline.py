@@ -14,7 +14,7 @@ from orebody.llm import cube_mix, decontaminate, quality_cnn, secret_scan, simha
 from orebody.llm.storage import stored
 
 LEAST_QUALITY = 0.3
-NEAR = simhash.Near()
+NEAR = simhash.Near(whole=True)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group stays: the one with the least id.
 
-    Near copies link by ``NEAR``: five-word shingles at a similarity of 0.8 or more, as the bits tell it.
+    Near copies link by ``NEAR``: all pairs of texts whose sets of five-word shingles have a similarity of 0.8 or more.
     """
     return simhash.keep_one(docs, near=NEAR)
 

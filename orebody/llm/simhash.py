@@ -15,27 +15,31 @@ hub are within ``radius`` of each other, and each linking pair of a bucket share
 a hub, so the star from a hub's least member to the others keeps all links.  For
 radius 2 a hub has at most 65 members however large a group of copies is.
 
-A near copy may differ in more bits than that.  ``Near`` describes links for near copies:
-candidates are texts that share a bucket by one of several fingerprints of single words (each from the same
-hashes mixed anew), as all within the radius do.  A bucket's members are compared with one of
+A near copy may differ in more bits than that.  ``Near`` describes links for near copies: texts
+link where the Jaccard similarity of their sets of five-word shingles is at least ``least``, and no
+other texts do.  First candidates are texts that share a bucket by one of several fingerprints of single
+words (each from the same hashes mixed anew).  A bucket's members are compared with one of
 them, chosen by a hash of its own for each fingerprint, so work is linear in a bucket whatever
-its size; a pair that only others of its buckets' members would show can be lost.  A
-long SimHash of five-word shingles, ``check``, rules most candidates out, with room for what it cannot
-tell; the others are decided by the texts themselves: they link where the Jaccard similarity
-of their sets of five-word shingles is at least ``least``, and no other texts do.
+its size.  A long SimHash of five-word shingles, ``check``, rules most candidates out; the others are
+decided by the texts themselves.  This finds most groups at little cost, and loses some links.
+
+With ``whole`` those are found too, and none is lost (``_rest``): two sets over ``least`` share one of their rarest shingles, of
+which each gives its first n - least x n + 1 in one order for all (Chaudhuri, Ganti and Kaushik, "A
+primitive operator for similarity joins", 2006).  Only shingles that different groups share are kept, so
+a group of any number of near copies that is known already makes no pair.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,7 +54,8 @@ class Near:
     """Links for near copies: fingerprints and words of the candidates, words, 64-bit parts and Jaccard similarity of the check.
 
     Sets of similarity J have a cosine of 2J / (1 + J) where they are of one size; the bits rule a candidate
-    out ``slack`` standard deviations beyond what they say of it.
+    out ``slack`` standard deviations beyond what they say of it.  ``whole``: links that this or the
+    buckets lose are found too, so that groups are those of all pairs.
     """
 
     seeds: int = 6
@@ -59,6 +64,7 @@ class Near:
     parts: int = 16
     least: float = 0.8
     slack: float = 4.0
+    whole: bool = False
 
     @property
     def most_bits(self) -> int:
@@ -82,31 +88,40 @@ def mixed(hashes: np.ndarray, seed: int) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
-def signature(text: bytes, shingle: int = 3, seeds: int = 1) -> np.ndarray:
-    """The fingerprints of UTF-8 ``text``, unsigned, one for each seed; zeros where it has no word.
-
-    A-Z are lowered; words are runs of bytes other than \\x20 and \\x09-\\x0D; a
-    bit is set where more than half of the XXH64 (seed 42) of the space-joined
-    shingles, repeats included, have it.  Texts of fewer words are one shingle.
-    """
+def _hashes(words: list[bytes], shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 (seed 42) of the space-joined shingles of ``words``, unsigned, in chunks; fewer words are one shingle, none give none."""
     import xxhash
 
     digest = xxhash.xxh64_intdigest
-    words = text.lower().split()
-    if not words:
-        return np.zeros(seeds, dtype="<u8")
     shingle = min(shingle, len(words))
-    n, ones = len(words) - shingle + 1, np.zeros((seeds, BITS), dtype=np.int64)
+    n = len(words) - shingle + 1 if words else 0
     for at in range(0, n, CHUNK):
         part = words[at : min(at + CHUNK, n) + shingle - 1]
         grams = map(b" ".join, zip(*(part[k:] for k in range(shingle))))
-        hashes = np.array([digest(g, 42) for g in grams], dtype="<u8")
+        yield np.array([digest(g, 42) for g in grams], dtype="<u8")
+
+
+def _majority(chunks: Iterable[np.ndarray], seeds: int) -> np.ndarray:
+    """For each seed the bits that more than half of the hashes have."""
+    n, ones = 0, np.zeros((seeds, BITS), dtype=np.int64)
+    for hashes in chunks:
+        n += len(hashes)
         for seed in range(seeds):
             bits = np.unpackbits(mixed(hashes, seed).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             ones[seed] += bits.sum(axis=0, dtype=np.int32)
     return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<u8").ravel()
 
 
+def signature(text: bytes, shingle: int = 3, seeds: int = 1) -> np.ndarray:
+    """The fingerprints of UTF-8 ``text``, unsigned, one for each seed; zeros where it has no word.
+
+    A-Z are lowered; words are runs of bytes other than \\x20 and \\x09-\\x0D; a
+    bit is set where more than half of the XXH64 (seed 42) of the space-joined
+    shingles, repeats included, have it.  Texts of fewer words are one shingle.
+    """
+    return _majority(_hashes(text.lower().split(), shingle), seeds)
+
+
 def fingerprint(text: bytes, shingle: int = 3) -> int:
     """The first fingerprint of ``text``; see ``signature``."""
     return int(signature(text, shingle)[0])
@@ -198,22 +213,99 @@ def _verified(pairs: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
     return both.mapInArrow(work, "a long, b long")
 
 
+#: Texts whose shingles are counted, and shingles of them that are told to every task as common ones.
+COUNTED, COMMON = 10_000, 200_000
+#: Times that the texts of a shingle meet one of them before they meet each other.
+ROUNDS = 2
+
+
+def _distinct(hashes: Iterable[np.ndarray]) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted; a text without words has one of its own."""
+    found = list(hashes)
+    return np.unique(np.concatenate(found)) if found else np.zeros(1, dtype="<u8")
+
+
+def _longs(rows: list[np.ndarray]) -> pa.Array:
+    """Lists of unsigned hashes as signed longs."""
+    ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows).view("<i8") if rows else np.array([], dtype="<i8")))
+
+
+def _common(docs: DataFrame, near: Near, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of some 10,000 texts have, sorted, and how many have each.
+
+    They only put shingles in order, the rarest first: any order gives the same links.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0).cast(pa.binary()):
+                found = _distinct(_hashes((t.as_py() or b"").lower().split(), near.check_shingle))
+                yield pa.RecordBatch.from_arrays([pa.array(found.view("<i8"))], names=["s"])
+
+    text = F.col(text_col).cast("string").alias("text")
+    share = max(docs.count() // COUNTED, 1)
+    some = docs.select(text).where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).distinct().mapInArrow(run, "s long")
+    n = some.groupBy("s").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "s").limit(COMMON).toArrow()
+    s = n["s"].to_numpy().view("<u8")
+    order = np.argsort(s)
+    return s[order], n["n"].to_numpy()[order]
+
+
+def _first(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+    """The rarest of a set's shingles, of which any set over ``least`` has one."""
+    known, count = common
+    n = np.zeros(len(shingles), dtype=np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+        n = np.where(known[at] == shingles, count[at], 0)
+    return shingles[np.lexsort((shingles, n))][: len(shingles) - math.ceil(least * len(shingles) - 1e-6) + 1]
+
+
+def _odd(shingles: np.ndarray) -> np.ndarray:
+    """Which of 2 to 4 bits a shingle (up to 2^15 in all) an odd number of the set's shingles have.
+
+    Two sets differ in at least as many shingles as such bits.
+    """
+    size = min(max(1 << (2 * len(shingles) - 1).bit_length(), BITS), 1 << 15)
+    odd = np.bincount((shingles % np.uint64(size)).astype(np.int64), minlength=size) % 2
+    return np.packbits(odd.astype(bool), bitorder="little").view("<u8")
+
+
+def _differ(a: Column, b: Column) -> Column:
+    """Differing bits of two sets of ``_odd``, one folded where it is twice as long as the other."""
+    k = F.least(F.size(a), F.size(b))
+    xor = lambda x, y: x.bitwiseXOR(y)
+    folded = lambda x: F.when(F.size(x) == 2 * k, F.zip_with(F.slice(x, F.lit(1), k), F.slice(x, k + 1, k), xor)).otherwise(x)
+    n = F.aggregate(F.zip_with(folded(a), folded(b), lambda x, y: F.bit_count(xor(x, y))), F.lit(0), lambda s, x: s + x)
+    return F.when(F.greatest(F.size(a), F.size(b)) <= 2 * k, n).otherwise(0)
+
+
 def near_signatures(docs: DataFrame, near: Near, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id``, ``key`` (digest of the text), ``fps``, ``check`` (arrays of bits as signed longs) for each row of ``docs``."""
+    """``id``, ``key`` (digest of the text), ``fps``, ``check`` (arrays of bits), ``n`` (distinct shingles), ``first`` (the rarest of them), ``odd`` (see ``_odd``) for each row of ``docs``.
 
-    def longs(rows: list[np.ndarray], width: int) -> pa.Array:
-        flat = pa.array(np.concatenate(rows).view("<i8") if rows else np.array([], dtype="<i8"))
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * width), flat)
+    Bits and shingles are signed longs; without ``near.whole`` the last two are empty.
+    """
+    common = docs.sparkSession.sparkContext.broadcast(_common(docs, near, text_col)) if near.whole else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.as_py() or b"" for t in batch.column(1).cast(pa.binary())]
-            fps = longs([signature(t, near.shingle, near.seeds) for t in texts], near.seeds)
-            check = longs([signature(t, near.check_shingle, near.parts) for t in texts], near.parts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_text_key(t) for t in texts], pa.binary()), fps, check], names=["id", "key", "fps", "check"])
+            fps, check, n, first, odd = [], [], [], [], []
+            for t in texts:
+                words = t.lower().split()
+                fps.append(_majority(_hashes(words, near.shingle), near.seeds))
+                hashes = list(_hashes(words, near.check_shingle))
+                check.append(_majority(hashes, near.parts))
+                found = _distinct(hashes)
+                n.append(len(found))
+                first.append(_first(found, common.value, near.least) if common else found[:0])
+                odd.append(_odd(found) if common else found[:0])
+            columns = [pa.array([_text_key(t) for t in texts], pa.binary()), _longs(fps), _longs(check), pa.array(n, pa.int32()), _longs(first), _longs(odd)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "key", "fps", "check", "n", "first", "odd"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, key binary, fps array<bigint>, check array<bigint>")
+    return rows.mapInArrow(run, "id long, key binary, fps array<bigint>, check array<bigint>, n int, first array<bigint>, odd array<bigint>")
 
 
 def _signed(x: int) -> int:
@@ -284,13 +376,60 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return sig.join(names, "fp").select("id", "fp", "component")
 
 
+def _labelled(nodes: DataFrame, edges: DataFrame, name: str = "node") -> DataFrame:
+    """``nodes`` with ``label``: the least of column ``name`` reachable over ``edges``."""
+    found = connected_components(edges).select(F.col("node").alias(name), "component")
+    joined = nodes.join(found, name, "left").withColumn("now", F.coalesce("component", name))
+    return joined.drop("component", "label").withColumnRenamed("now", "label")
+
+
+def _rest(docs: DataFrame, nodes: DataFrame, edges: DataFrame, near: Near, text_col: str) -> DataFrame:
+    """Links (a, b) between ``nodes`` (node, key, n, first, odd) that ``edges`` do not connect: all that their groups need.
+
+    Texts that share one of their first shingles are looked at by that shingle.  ``ROUNDS`` times each meets one of
+    the shingle's texts, so that large groups grow together; then all of other groups that are left meet each other.
+    """
+
+    def apart(rows: DataFrame) -> DataFrame:
+        by = Window.partitionBy("s")
+        return stored(rows.withColumn("lo", F.min("label").over(by)).withColumn("hi", F.max("label").over(by)).where("lo <> hi").drop("lo", "hi"), "live")
+
+    def met(live: DataFrame, one: DataFrame) -> DataFrame:
+        two = one.select("s", *[F.col(c).alias(f"{c}2") for c in ("node", "label", "n", "at")])
+        # Of a pair's shared shingles the first has all others behind it.
+        most = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))
+        could = most * (1 + near.least) >= near.least * (F.col("n") + F.col("n2")) - 1e-6
+        pairs = live.join(two, "s").where((F.col("label") != F.col("label2")) & could)
+        low = F.col("node") < F.col("node2")
+        ends = [F.when(low, F.col(f"{c}2")).otherwise(F.col(c)) for c in ("node", "label")], [F.when(low, F.col(c)).otherwise(F.col(f"{c}2")) for c in ("node", "label")]
+        return pairs.select(ends[0][0].alias("a"), ends[1][0].alias("b"), ends[0][1].alias("x"), ends[1][1].alias("y")).distinct()
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        one, two = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("odd").alias(f"odd_{x}")) for x in "ab")
+        # Sets over the least differ in few shingles: exact, and few texts that do not link are left.
+        few = _differ(F.col("odd_a"), F.col("odd_b")) * (1 + near.least) <= (1 - near.least) * (F.col("n_a") + F.col("n_b")) + 1e-6
+        pairs = stored(stored(pairs, "met").join(one, "a").join(two, "b").where(few).select("a", "b", "x", "y"), "few")
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "key"), "node")
+        texts = stored(_texts_of(docs, stored(needed, "needed"), text_col), "texts")
+        return stored(_verified(pairs.select("a", "b"), texts, near).join(pairs, ["a", "b"]), "rest")
+
+    live = apart(_labelled(nodes, edges).select("node", "label", "n", F.posexplode("first").alias("at", "s")))
+    found = edges.limit(0)
+    for salt in range(ROUNDS):
+        one = live.groupBy("s").agg(F.min_by(F.struct("node", "label", "n", "at"), F.xxhash64("node", "s", F.lit(salt))).alias("one"))
+        links = linked(met(live, stored(one.select("s", "one.*"), "one")))
+        found = found.unionByName(links.select("a", "b"))
+        live = apart(_labelled(live, links.select(F.col("x").alias("a"), F.col("y").alias("b")), "label"))
+    return found.unionByName(linked(met(live, live)).select("a", "b"))
+
+
 def near_groups(docs: DataFrame, near: Near, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
     """One row for each row of ``docs``: ``id``, ``key`` (digest of the text), ``component``, the least id reachable over links of ``near``.
 
     Nulls, empty texts and repeated rows are treated as by ``simhash_groups``.
     """
     sig = stored(near_signatures(docs, near, id_col, text_col), "signatures")
-    nodes = sig.groupBy("key").agg(F.min("id").alias("low"), F.first("fps").alias("fps"), F.first("check").alias("check"))
+    nodes = sig.groupBy("key").agg(F.min("id").alias("low"), *[F.first(c).alias(c) for c in ("fps", "check", "n", "first", "odd")])
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     keys = nodes.select("node", F.xxhash64("key").alias("h"), F.posexplode("fps").alias("seed", "fp")).select("node", "h", "seed", _keys(covering_masks(radius)))
     # Chosen by the text, not by the node's number, which another run may deal otherwise.
@@ -302,6 +441,8 @@ def near_groups(docs: DataFrame, near: Near, id_col: str = "doc_id", text_col: s
     pairs = stored(met.join(one, "a").join(two, "b").where(off <= near.most_bits).select("a", "b"), "pairs")
     needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "key"), "node"), "needed")
     edges = stored(_verified(pairs, stored(_texts_of(docs, needed, text_col), "texts"), near), "edges")
+    if near.whole:
+        edges = edges.unionByName(_rest(docs, nodes, edges, near, text_col))
     names = _named(nodes.select("node", "low", "key"), edges)
     return sig.select("id", "key").join(names.select("key", "component"), "key")
 

@@ -3,7 +3,9 @@ from itertools import combinations
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from orebody.llm import simhash
 from orebody.llm.components import connected_components
 
@@ -193,6 +195,45 @@ def test_nothing_below_the_similarity_is_removed(spark):
     assert {i: got[i] for i in range(9000, 9006)} == {9000: 9000, 9001: 9000, 9002: 9000, 9003: 9003, 9004: 9003, 9005: 9005}
 
 
+def test_near_loses_no_link(spark):
+    """Groups equal those of all pairs by Jaccard, also of texts that share no bucket or that only others of their bucket would show."""
+    import random
+
+    rng = random.Random(12)
+    rows, line = [], "all rights are reserved by the owner of this page and its friends"
+    for i in range(60):
+        words = [f"w{rng.randrange(100_000)}" for _ in range(60)]
+        for k in range(4):
+            now = list(words)
+            for _ in range(rng.choice([0, 1, 2, 3])):
+                now[rng.randrange(60)] = rng.choice(["new", f"w{rng.randrange(100_000)}"])
+            rows.append((10 * i + k, " ".join(now) + (f" {line}" if i % 2 else "")))
+    # The same sets of shingles, very different numbers of each.
+    long, short = "one two three four five six seven eight nine ten eleven twelve", "a b c d e f"
+    rows += [(5000, f"{long} {short} " + f"{short} " * 40), (5001, f"{long} {short} " + f"{long} " * 20), (5002, line), (5003, f"{line} now")]
+    sets = [brute_shingles(t) for _, t in rows]
+    links = [(i, j) for i, j in combinations(range(len(rows)), 2) if alike(sets[i], sets[j]) >= 0.8]
+    label = components(range(len(rows)), links)
+    want = {rows[i][0]: rows[label[i]][0] for i in range(len(rows))}
+    near = corpus_pipeline.NEAR
+    assert want != {i: c for i, _, c in brute(rows, near=near)}
+    assert {i: c for i, _, c in run(spark, rows, near=near)} == want
+
+
+def test_odd_bits_tell_no_more_than_the_sets(spark):
+    import numpy as np
+
+    rng, rows = np.random.default_rng(3), []
+    for n in (1, 20, 60, 70, 1000, 9000):
+        pool = rng.integers(0, 1 << 64, 3 * n, dtype="u8")
+        for m in (n, max(n * 4 // 5, 1), n + n // 4, 3 * n):
+            x, y = np.unique(pool[:n]), np.unique(pool[n // 10 :][:m])
+            rows.append((*(simhash._odd(z).view("<i8").tolist() for z in (x, y)), len(np.setxor1d(x, y))))
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>, n int")
+    got = df.select(simhash._differ(F.col("a"), F.col("b")).alias("d"), "n").collect()
+    assert all(r.d <= r.n for r in got) and sum(r.d > r.n / 3 for r in got) > len(got) / 3
+
+
 def test_one_row_of_a_repeated_id_stays_the_same_in_every_run(spark):
     rows = [(1, f"text number {i} of the same id", i) for i in range(20)] + [(2, "another one", 7)]
     for parts in (1, 5):
