@@ -85,11 +85,11 @@ def bm25f(fields: DataFrame, queries: DataFrame, weights: dict[str, float], k: i
     document frequency counts works; every work counts, even one without a token.  Which
     fields matched is one bit each until the best are known.  A work's fields are brought
     together once; then it is scored where it is (``topk.top_documents``), or by joins where the
-    queries are too many to go to every task.
+    queries are too many to go to every task.  Queries of one text are answered once.
     """
     if k1 <= 0 or not 0 <= b <= 1 or any(w <= 0 for w in weights.values()):
         raise ValueError("k1 and weights must be positive, b between 0 and 1")
-    terms = query_terms(queries)
+    terms = query_terms(queries.select(F.col("text").alias("query"), "text").distinct())
     names = sorted(weights)
     one = F.when(F.col("field").isin(*names), F.struct("field", tokens(F.col("text")).alias("words")))
     index = stored(fields.groupBy(F.col("work").alias("doc")).agg(F.collect_list(one).alias("fields")), "works")
@@ -97,7 +97,8 @@ def bm25f(fields: DataFrame, queries: DataFrame, weights: dict[str, float], k: i
     if found is None:
         found = _bm25f_joined(fields, terms, weights, k, k1, b)
     matched = F.array_compact(F.array(*[F.when(F.col("bits").bitwiseAND(1 << i) != 0, F.lit(f)) for i, f in enumerate(names)]))
-    return found.select("query", "doc", "score", matched.alias("fields"), "rank")
+    answers = found.select(F.col("query").alias("text"), "doc", "score", matched.alias("fields"), "rank")
+    return queries.select("query", "text").join(answers, "text").select("query", "doc", "score", "fields", "rank")
 
 
 def _bm25f_joined(fields: DataFrame, terms: DataFrame, weights: dict[str, float], k: int, k1: float, b: float) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orebody.functions import text as fn
-from orebody.operators import cells, documents, expand, relations, topk, visual
+from orebody.operators import cells, documents, evaluate, expand, memory, relations, retrieve, topk, visual
 
 
 def shuffled(spark, make):
@@ -139,3 +139,13 @@ def test_pieces_of_a_batch_are_bounded():
     got = list(topk._pieces(iter([batch, batch.slice(2, 0), batch.slice(3, 2)]), 4))
     assert [p.column(0).to_pylist() for p in got] == [[0, 1], [2], [3, 4, 5, 6], [3, 4]]
     assert [len(topk._segments(p, ["text"])[3]) for p in got] == [3, 9, 4, 2]
+
+
+def test_equal_queries_are_asked_once(spark, monkeypatch):
+    fields = spark.createDataFrame([(1, "name", "red ring"), (2, "name", "blue ring"), (3, "name", "x")], "work long, field string, text string")
+    q = spark.createDataFrame([(i, "red ring" if i % 2 else "blue") for i in range(50)] + [(50, None), (51, "")], "query long, text string")
+    seen, real = [], retrieve.top_documents
+    monkeypatch.setattr(retrieve, "top_documents", lambda index, terms, *a, **k: seen.append(terms.select("query").distinct().count()) or real(index, terms, *a, **k))
+    got = retrieve.bm25f(fields, q, {"name": 2.0}, 2).select("query", "doc", "fields", "rank").collect()
+    want = [x for i in range(50) for x in ([(i, 1, ["name"], 1), (i, 2, ["name"], 2)] if i % 2 else [(i, 2, ["name"], 1)])]
+    assert sorted(map(tuple, got)) == want and seen == [2]
