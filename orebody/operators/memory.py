@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_sensitive, tokens
+from .expand import tasks_for
 from .prefix import running
 
 
@@ -82,9 +83,14 @@ def forget(facts: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]
 def valid_sources(facts: DataFrame, documents: DataFrame, chunks: DataFrame) -> DataFrame:
     """``fact``, ``n_sources``, ``n_valid``: references (fact, dept, version, chunk) whose chunk exists in an active
     document of the same department and, where given, version."""
-    found = facts.join(chunks.select("chunk", "doc"), "chunk", "left").join(documents.select("doc", F.col("dept").alias("doc_dept"), F.col("version").alias("doc_version"), "status"), "doc", "left")
+    n = tasks_for(facts, chunks)
+    docs = documents.select("doc", F.col("dept").alias("doc_dept"), F.col("version").alias("doc_version"), "status")
+    # Chunks meet documents first: references without a chunk have no document to be dealt by.
+    held = chunks.select("chunk", "doc").repartition(n, "doc").join(docs.repartition(n, "doc"), "doc", "left").drop("doc")
+    found = facts.repartition(n, "chunk").join(held.repartition(n, "chunk"), "chunk", "left")
     ok = (F.col("status") == "active") & (F.col("dept") == F.col("doc_dept")) & (F.col("version").isNull() | (F.col("version") == F.col("doc_version")))
-    return found.groupBy("fact").agg(F.count("*").alias("n_sources"), F.sum(F.coalesce(ok, F.lit(False)).cast("long")).alias("n_valid"))
+    marked = found.select("fact", F.coalesce(ok, F.lit(False)).cast("long").alias("ok")).repartition(n, "fact")
+    return marked.groupBy("fact").agg(F.count("*").alias("n_sources"), F.sum("ok").alias("n_valid"))
 
 
 def org_recall(facts: DataFrame, queries: DataFrame, authority: dict[str, float], k: int = 8) -> DataFrame:

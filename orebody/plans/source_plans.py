@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import chunks as c
 from ..operators import versions as v
+from ..operators.expand import tasks_for
 from ..operators.memory import valid_sources
 from ..session import new_path
 from ..sources import catalogue as cat
@@ -285,9 +286,11 @@ def _(t: Tables):
 SELECT o_orderkey AS fact, count(*) AS n_sources, count(*) FILTER (o_orderstatus <> 'P' AND l_linenumber < 6 AND l_returnflag <> 'A') AS n_valid FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1""")
 def _(t: Tables):
     key = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_shipdate", "l_returnflag", "l_quantity", "l_discount", "l_tax")
-    chunks = t.lineitem.where("l_linenumber < 6").select(key.alias("chunk"), F.col("l_orderkey").alias("doc")).distinct()
+    n = tasks_for(t.lineitem, t.orders)
+    chunks = t.lineitem.where("l_linenumber < 6").select(key.alias("chunk"), F.col("l_orderkey").alias("doc")).repartition(n, "chunk").distinct()
     docs = t.orders.select(F.col("o_orderkey").alias("doc"), F.col("o_orderpriority").alias("dept"), F.lit("1.0").alias("version"), F.when(F.col("o_orderstatus") == "P", "archived").otherwise("active").alias("status"))
-    facts = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_orderkey").alias("fact"), key.alias("chunk"), F.col("o_orderpriority").alias("dept"), F.when(F.col("l_returnflag") == "A", "2.0").when(F.col("l_returnflag") == "R", "1.0").alias("version"))
+    lines = t.lineitem.repartition(n, "l_orderkey").join(t.orders.repartition(n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    facts = lines.select(F.col("o_orderkey").alias("fact"), key.alias("chunk"), F.col("o_orderpriority").alias("dept"), F.when(F.col("l_returnflag") == "A", "2.0").when(F.col("l_returnflag") == "R", "1.0").alias("version"))
     return valid_sources(facts, docs, chunks)
 
 

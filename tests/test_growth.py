@@ -149,3 +149,25 @@ def test_equal_queries_are_asked_once(spark, monkeypatch):
     got = retrieve.bm25f(fields, q, {"name": 2.0}, 2).select("query", "doc", "fields", "rank").collect()
     want = [x for i in range(50) for x in ([(i, 1, ["name"], 1), (i, 2, ["name"], 2)] if i % 2 else [(i, 2, ["name"], 1)])]
     assert sorted(map(tuple, got)) == want and seen == [2]
+
+
+def _same_in_more_tasks(monkeypatch, make, least):
+    rows, one = sorted(map(str, make().collect())), make().rdd.getNumPartitions()
+    monkeypatch.setattr(expand, "DEALT", 20, raising=False)
+    assert sorted(map(str, make().collect())) == rows
+    assert make().rdd.getNumPartitions() >= least > one
+
+
+def test_sources_are_checked_in_tasks_of_bounded_rows(spark, monkeypatch):
+    facts = spark.range(400).selectExpr("id % 90 fact", "if(id % 7 = 0, null, id % 60) chunk", "'d' || id % 2 dept", "if(id % 3 = 0, null, '1') version")
+    facts = facts.withColumn("chunk", F.col("chunk").cast("long"))
+    chunks = spark.range(50).selectExpr("id chunk", "if(id % 9 = 0, null, id % 20) doc")
+    docs = spark.range(18).selectExpr("id doc", "'d' || id % 2 dept", "'1' version", "if(id % 5 = 0, 'archived', 'active') status")
+    _same_in_more_tasks(monkeypatch, lambda: memory.valid_sources(facts, docs, chunks), 20)
+    have, doc = {r.chunk: r.doc for r in chunks.collect()}, {r.doc: r for r in docs.collect()}
+    want = {}
+    for r in facts.collect():
+        d = doc.get(have.get(r.chunk))
+        n, ok = want.get(r.fact, (0, 0))
+        want[r.fact] = (n + 1, ok + bool(d and d.status == "active" and d.dept == r.dept and r.version in (None, d.version)))
+    assert {r.fact: (r.n_sources, r.n_valid) for r in memory.valid_sources(facts, docs, chunks).collect()} == want
