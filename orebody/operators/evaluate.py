@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import identifier_key
 from .cleaning import label_lines
+from .expand import tasks_for
 from .prefix import percentiles as exact
 
 MISSING = 99
@@ -51,9 +52,10 @@ def arm_summary(ranks: DataFrame, times: DataFrame) -> DataFrame:
 
 def stage_ranks(ranked: DataFrame, gold: DataFrame) -> DataFrame:
     """``case``: best gold chunk rank, whether within 25, distinct documents."""
-    marked = ranked.join(gold.withColumn("g", F.lit(True)), ["case", "doc"], "left")
+    n = tasks_for(ranked)
+    marked = ranked.repartition(n, "case", "doc").join(gold.withColumn("g", F.lit(True)).repartition(n, "case", "doc"), ["case", "doc"], "left")
     best = F.min(F.when(F.col("g"), F.col("rank")))
-    return marked.groupBy("case").agg(best.alias("chunk_rank"), F.coalesce(best <= 25, F.lit(False)).alias("in25"), F.count_distinct("doc").alias("works"))
+    return marked.repartition(n, "case").groupBy("case").agg(best.alias("chunk_rank"), F.coalesce(best <= 25, F.lit(False)).alias("in25"), F.count_distinct("doc").alias("works"))
 
 
 def paired(ranks: DataFrame, before: str, after: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as ev
+from ..operators.expand import tasks_for
 from .registry import Tables, query
 
 #: Rows that tie in every column are interchangeable.
@@ -22,12 +23,14 @@ PAIRS = f"""{RANKED}, pairs AS (SELECT x."case", coalesce(x.rank, 99) AS rank_be
 
 
 def ranked(t: Tables):
-    by = lambda arm, *order: t.lineitem.select(F.col("l_orderkey").alias("case"), F.lit(arm).alias("arm"), F.col("l_partkey").alias("doc"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order)).alias("rank"))
+    lines = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").repartition(tasks_for(t.lineitem), "l_orderkey")
+    by = lambda arm, *order: lines.select(F.col("l_orderkey").alias("case"), F.lit(arm).alias("arm"), F.col("l_partkey").alias("doc"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order)).alias("rank"))
     return by("before", "l_extendedprice", "l_partkey", "l_suppkey").unionByName(by("after", "l_quantity", "l_extendedprice", "l_partkey", "l_suppkey"))
 
 
 def gold(t: Tables):
-    return t.lineitem.where("l_discount >= 0.08").select(F.col("l_orderkey").alias("case"), F.col("l_partkey").alias("doc")).distinct()
+    n = tasks_for(t.lineitem)
+    return t.lineitem.where("l_discount >= 0.08").select(F.col("l_orderkey").alias("case"), F.col("l_partkey").alias("doc")).repartition(n, "case", "doc").distinct()
 
 
 def ranks(t: Tables):

@@ -171,3 +171,9 @@ def test_sources_are_checked_in_tasks_of_bounded_rows(spark, monkeypatch):
         n, ok = want.get(r.fact, (0, 0))
         want[r.fact] = (n + 1, ok + bool(d and d.status == "active" and d.dept == r.dept and r.version in (None, d.version)))
     assert {r.fact: (r.n_sources, r.n_valid) for r in memory.valid_sources(facts, docs, chunks).collect()} == want
+
+
+def test_stage_ranks_in_tasks_of_bounded_rows(spark, monkeypatch):
+    ranked = spark.range(400).selectExpr("id % 40 case", "id % 33 doc", "id div 40 + 1 rank")
+    gold = ranked.where("doc % 5 = 0").select("case", "doc").distinct()
+    _same_in_more_tasks(monkeypatch, lambda: evaluate.stage_ranks(ranked, gold), 20)
