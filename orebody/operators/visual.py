@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cells import best_works
+from .expand import tasks_for
 from .index import dot
 
 FEATURE = "array<struct<part:string,relation:string,distinctive:boolean,query_visible:boolean,reference_visible:boolean,query_detail:string,reference_detail:string,query_surface:string,reference_surface:string,same_region:boolean>>"
@@ -166,13 +167,15 @@ def rerank_support(hits: DataFrame, inliers: DataFrame, least: int = 12, cells:
 def aliased(candidates: DataFrame) -> DataFrame:
     """Candidates (request, candidate) under names C01, C02, ... that tell nothing of them."""
     w = Window.partitionBy("request").orderBy(F.xxhash64("request", "candidate"), "candidate")
-    return candidates.withColumn("alias", F.format_string("C%02d", F.row_number().over(w)))
+    dealt = candidates.repartition(tasks_for(candidates), "request")
+    return dealt.withColumn("alias", F.format_string("C%02d", F.row_number().over(w)))
 
 
 def restored(answers: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(answers (request, alias) with their candidates, rejected: unknown or repeated aliases)."""
-    n = answers.groupBy("request", "alias").agg(F.count("*").alias("n"))
-    both = n.join(aliases, ["request", "alias"], "left")
+    tasks = tasks_for(answers)
+    n = answers.repartition(tasks, "request", "alias").groupBy("request", "alias").agg(F.count("*").alias("n"))
+    both = n.join(aliases.repartition(tasks, "request", "alias"), ["request", "alias"], "left")
     good = both.where("n = 1 and candidate is not null").select("request", "alias", "candidate")
     bad = both.where("n > 1 or candidate is null").select("request", "alias", F.when(F.col("n") > 1, "repeated").otherwise("unknown").alias("problem"))
     return good, bad

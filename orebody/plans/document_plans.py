@@ -10,6 +10,7 @@ from ..operators import documents as d
 from ..operators import evidence as e
 from ..operators import index
 from ..operators import visual as v
+from ..operators.expand import tasks_for
 from ..operators.retrieve import cosine_top
 from .registry import Tables, query
 
@@ -418,7 +419,8 @@ def _(t: Tables):
 
 @query("v15_aliases", "SELECT l_orderkey AS request, l_partkey AS candidate, true AS restored FROM lineitem GROUP BY 1, 2")
 def _(t: Tables):
-    c = t.lineitem.select(F.col("l_orderkey").alias("request"), F.col("l_partkey").alias("candidate")).distinct()
+    c = t.lineitem.select(F.col("l_orderkey").alias("request"), F.col("l_partkey").alias("candidate"))
+    c = c.repartition(tasks_for(c), "request").distinct()
     named = v.aliased(c)
     good, _bad = v.restored(named.select("request", "alias"), named)
     return good.select("request", "candidate", F.lit(True).alias("restored"))

@@ -177,3 +177,10 @@ def test_stage_ranks_in_tasks_of_bounded_rows(spark, monkeypatch):
     ranked = spark.range(400).selectExpr("id % 40 case", "id % 33 doc", "id div 40 + 1 rank")
     gold = ranked.where("doc % 5 = 0").select("case", "doc").distinct()
     _same_in_more_tasks(monkeypatch, lambda: evaluate.stage_ranks(ranked, gold), 20)
+
+
+def test_aliases_in_tasks_of_bounded_rows(spark, monkeypatch):
+    c = spark.range(400).selectExpr("id % 40 request", "id candidate")
+    _same_in_more_tasks(monkeypatch, lambda: visual.aliased(c), 20)
+    named = visual.aliased(c)
+    assert visual.restored(named.select("request", "alias"), named)[0].count() == 400
