@@ -208,8 +208,7 @@ def _(t: Tables):
 s AS (SELECT doc, p.term, round(tf * ln(n / df), 6) AS weight FROM p JOIN f USING (term), c)
 SELECT doc, term, weight, place FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY weight DESC, term) AS place FROM s) WHERE place <= 6""")
 def _(t: Tables):
-    terms = index.term_index(t.documents)
-    return index.keywords(index.index_postings(terms), index.index_collection(terms))
+    return index.index_keywords(index.term_index(t.documents))
 
 
 @query("t6_hash_vectors", r"""

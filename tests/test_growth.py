@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orebody.functions import text as fn
-from orebody.operators import cells, documents, evaluate, expand, memory, relations, retrieve, topk, visual
+from orebody.operators import cells, documents, evaluate, expand, index, memory, relations, retrieve, topk, visual
 
 
 def shuffled(spark, make):
@@ -184,3 +184,13 @@ def test_aliases_in_tasks_of_bounded_rows(spark, monkeypatch):
     _same_in_more_tasks(monkeypatch, lambda: visual.aliased(c), 20)
     named = visual.aliased(c)
     assert visual.restored(named.select("request", "alias"), named)[0].count() == 400
+
+
+def test_keywords_without_a_shuffle_of_postings(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(f"w{x}" for x in rng.zipf(1.2, 400) % 3000)) for i in range(400)] + [(400, ""), (401, None), (402, "w1 w1 zz")]
+    terms = index.term_index(spark.createDataFrame(rows, "doc_id long, text string"))
+    want, old = shuffled(spark, lambda: index.keywords(index.index_postings(terms), index.index_collection(terms)))
+    got, mb = shuffled(spark, lambda: index.index_keywords(terms))
+    assert sorted(got) == sorted(want) == sorted(map(tuple, index.index_keywords(terms, most=5).collect()))
+    assert len(got) > 2000 and mb < old / 4
