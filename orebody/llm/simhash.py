@@ -25,8 +25,9 @@ decided by the texts themselves.  This finds most groups at little cost, and los
 
 With ``whole`` those are found too, and none is lost (``_rest``): two sets over ``least`` share one of their rarest shingles, of
 which each gives its first n - least x n + 1 in one order for all (Chaudhuri, Ganti and Kaushik, "A
-primitive operator for similarity joins", 2006).  Only shingles that different groups share are kept, so
-a group of any number of near copies that is known already makes no pair.
+primitive operator for similarity joins", 2006).  How rare a shingle is, all texts say: every other shingle, by its hash,
+that a sample does not show as common is counted, and those of one group come first.  They make no pair, so
+a text a fifth of whose shingles nobody shares meets none, nor does a group of any number of near copies that is known already.
 """
 
 from __future__ import annotations
@@ -234,7 +235,7 @@ def _longs(rows: list[np.ndarray]) -> pa.Array:
 def _common(docs: DataFrame, near: Near, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several of some 10,000 texts have, sorted, and how many have each.
 
-    They only put shingles in order, the rarest first: any order gives the same links.
+    They only put shingles in order, the common ones last: any order gives the same links.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,14 +253,22 @@ def _common(docs: DataFrame, near: Near, text_col: str) -> tuple[np.ndarray, np.
     return s[order], n["n"].to_numpy()[order]
 
 
-def _first(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
-    """The rarest of a set's shingles, of which any set over ``least`` has one."""
+def _length(n, least: float):
+    """How many of a set's ``n`` shingles any set over ``least`` shares one of."""
+    return n - F.ceil(n * least - 1e-6) + 1 if isinstance(n, Column) else n - math.ceil(least * n - 1e-6) + 1
+
+
+def _first(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float) -> tuple[np.ndarray, int]:
+    """A set's shingles to be counted, then as many in the order of the sample as are left to ``_length``; how many are counted."""
     known, count = common
     n = np.zeros(len(shingles), dtype=np.int64)
     if len(known):
         at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
         n = np.where(known[at] == shingles, count[at], 0)
-    return shingles[np.lexsort((shingles, n))][: len(shingles) - math.ceil(least * len(shingles) - 1e-6) + 1]
+    counted = (n == 0) & (shingles % np.uint64(2) == 0)
+    rest, n = shingles[~counted], n[~counted]
+    more = max(_length(len(shingles), least) - int(counted.sum()), 0)
+    return np.concatenate([shingles[counted], rest[np.lexsort((rest, n))][:more]]), int(counted.sum())
 
 
 def _odd(shingles: np.ndarray) -> np.ndarray:
@@ -282,16 +291,16 @@ def _differ(a: Column, b: Column) -> Column:
 
 
 def near_signatures(docs: DataFrame, near: Near, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id``, ``key`` (digest of the text), ``fps``, ``check`` (arrays of bits), ``n`` (distinct shingles), ``first`` (the rarest of them), ``odd`` (see ``_odd``) for each row of ``docs``.
+    """``id``, ``key`` (digest of the text), ``fps``, ``check`` (arrays of bits), ``n`` (distinct shingles), ``first``, ``counted`` (see ``_first``), ``odd`` (see ``_odd``) for each row of ``docs``.
 
-    Bits and shingles are signed longs; without ``near.whole`` the last two are empty.
+    Bits and shingles are signed longs; without ``near.whole`` the last three are empty.
     """
     common = docs.sparkSession.sparkContext.broadcast(_common(docs, near, text_col)) if near.whole else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.as_py() or b"" for t in batch.column(1).cast(pa.binary())]
-            fps, check, n, first, odd = [], [], [], [], []
+            fps, check, n, first, counted, odd = [], [], [], [], [], []
             for t in texts:
                 words = t.lower().split()
                 fps.append(_majority(_hashes(words, near.shingle), near.seeds))
@@ -299,13 +308,15 @@ def near_signatures(docs: DataFrame, near: Near, id_col: str = "doc_id", text_co
                 check.append(_majority(hashes, near.parts))
                 found = _distinct(hashes)
                 n.append(len(found))
-                first.append(_first(found, common.value, near.least) if common else found[:0])
+                some, of = _first(found, common.value, near.least) if common else (found[:0], 0)
+                first.append(some)
+                counted.append(of)
                 odd.append(_odd(found) if common else found[:0])
-            columns = [pa.array([_text_key(t) for t in texts], pa.binary()), _longs(fps), _longs(check), pa.array(n, pa.int32()), _longs(first), _longs(odd)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "key", "fps", "check", "n", "first", "odd"])
+            columns = [pa.array([_text_key(t) for t in texts], pa.binary()), _longs(fps), _longs(check), pa.array(n, pa.int32()), _longs(first), pa.array(counted, pa.int32()), _longs(odd)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "key", "fps", "check", "n", "first", "counted", "odd"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, key binary, fps array<bigint>, check array<bigint>, n int, first array<bigint>, odd array<bigint>")
+    return rows.mapInArrow(run, "id long, key binary, fps array<bigint>, check array<bigint>, n int, first array<bigint>, counted int, odd array<bigint>")
 
 
 def _signed(x: int) -> int:
@@ -384,22 +395,33 @@ def _labelled(nodes: DataFrame, edges: DataFrame, name: str = "node") -> DataFra
 
 
 def _rest(docs: DataFrame, nodes: DataFrame, edges: DataFrame, near: Near, text_col: str) -> DataFrame:
-    """Links (a, b) between ``nodes`` (node, key, n, first, odd) that ``edges`` do not connect: all that their groups need.
+    """Links (a, b) between ``nodes`` (node, key, n, first, counted, odd) that ``edges`` do not connect: all that their groups need.
 
     Texts that share one of their first shingles are looked at by that shingle.  ``ROUNDS`` times each meets one of
     the shingle's texts, so that large groups grow together; then all of other groups that are left meet each other.
     """
 
-    def apart(rows: DataFrame) -> DataFrame:
+    def shared(rows: DataFrame) -> DataFrame:
         by = Window.partitionBy("s")
-        return stored(rows.withColumn("lo", F.min("label").over(by)).withColumn("hi", F.max("label").over(by)).where("lo <> hi").drop("lo", "hi"), "live")
+        return rows.withColumn("lo", F.min("label").over(by)).withColumn("hi", F.max("label").over(by)).where("lo <> hi").drop("lo", "hi")
+
+    def apart(rows: DataFrame) -> DataFrame:
+        return stored(shared(rows), "live")
+
+    def rarest(rows: DataFrame) -> DataFrame:
+        """Of each text's shingles that groups share those among its first, with the place ``at``: after all counted ones that no other group has."""
+        held = stored(shared(rows.withColumn("df", F.count("*").over(Window.partitionBy("s")))), "shared").withColumn("mine", F.col("i") < F.col("counted"))
+        of = Window.partitionBy("node", "mine")
+        place = F.col("counted") - F.count("*").over(of) + F.row_number().over(of.orderBy("df", "s")) - 1
+        placed = held.withColumn("at", F.when(F.col("mine"), place).otherwise(F.col("i")))
+        return placed.where(F.col("at") < _length(F.col("n"), near.least)).select("node", "label", "n", F.col("at").cast("int").alias("at"), "s")
 
-    def met(live: DataFrame, one: DataFrame) -> DataFrame:
+    def met(live: DataFrame, one: DataFrame, once: Column | None = None) -> DataFrame:
         two = one.select("s", *[F.col(c).alias(f"{c}2") for c in ("node", "label", "n", "at")])
         # Of a pair's shared shingles the first has all others behind it.
         most = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))
         could = most * (1 + near.least) >= near.least * (F.col("n") + F.col("n2")) - 1e-6
-        pairs = live.join(two, "s").where((F.col("label") != F.col("label2")) & could)
+        pairs = live.join(two, "s").where((F.col("label") != F.col("label2")) & could & (F.lit(True) if once is None else once))
         low = F.col("node") < F.col("node2")
         ends = [F.when(low, F.col(f"{c}2")).otherwise(F.col(c)) for c in ("node", "label")], [F.when(low, F.col(c)).otherwise(F.col(f"{c}2")) for c in ("node", "label")]
         return pairs.select(ends[0][0].alias("a"), ends[1][0].alias("b"), ends[0][1].alias("x"), ends[1][1].alias("y")).distinct()
@@ -413,14 +435,14 @@ def _rest(docs: DataFrame, nodes: DataFrame, edges: DataFrame, near: Near, text_
         texts = stored(_texts_of(docs, stored(needed, "needed"), text_col), "texts")
         return stored(_verified(pairs.select("a", "b"), texts, near).join(pairs, ["a", "b"]), "rest")
 
-    live = apart(_labelled(nodes, edges).select("node", "label", "n", F.posexplode("first").alias("at", "s")))
+    live = apart(rarest(_labelled(nodes, edges).select("node", "label", "n", "counted", F.posexplode("first").alias("i", "s"))))
     found = edges.limit(0)
     for salt in range(ROUNDS):
         one = live.groupBy("s").agg(F.min_by(F.struct("node", "label", "n", "at"), F.xxhash64("node", "s", F.lit(salt))).alias("one"))
         links = linked(met(live, stored(one.select("s", "one.*"), "one")))
         found = found.unionByName(links.select("a", "b"))
         live = apart(_labelled(live, links.select(F.col("x").alias("a"), F.col("y").alias("b")), "label"))
-    return found.unionByName(linked(met(live, live)).select("a", "b"))
+    return found.unionByName(linked(met(live, live, F.col("node") < F.col("node2"))).select("a", "b"))
 
 
 def near_groups(docs: DataFrame, near: Near, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
@@ -429,7 +451,7 @@ def near_groups(docs: DataFrame, near: Near, id_col: str = "doc_id", text_col: s
     Nulls, empty texts and repeated rows are treated as by ``simhash_groups``.
     """
     sig = stored(near_signatures(docs, near, id_col, text_col), "signatures")
-    nodes = sig.groupBy("key").agg(F.min("id").alias("low"), *[F.first(c).alias(c) for c in ("fps", "check", "n", "first", "odd")])
+    nodes = sig.groupBy("key").agg(F.min("id").alias("low"), *[F.first(c).alias(c) for c in ("fps", "check", "n", "first", "counted", "odd")])
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     keys = nodes.select("node", F.xxhash64("key").alias("h"), F.posexplode("fps").alias("seed", "fp")).select("node", "h", "seed", _keys(covering_masks(radius)))
     # Chosen by the text, not by the node's number, which another run may deal otherwise.

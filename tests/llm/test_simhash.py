@@ -220,6 +220,28 @@ def test_near_loses_no_link(spark):
     assert {i: c for i, _, c in run(spark, rows, near=near)} == want
 
 
+def test_texts_that_share_a_little_are_not_paired(spark, monkeypatch):
+    """Every text shares some shingles with each of many others; a fifth of its own that nobody shares keeps it apart."""
+    rows, made = [], {}
+    for i in range(60):
+        own = [f"own{i}x{j}" for j in range(120)]
+        lines = [f"line{min(i, k)}y{max(i, k)} " + " ".join(f"v{min(i, k)}y{max(i, k)}z{j}" for j in range(4)) for k in range(60) if k != i and (i + k) % 3 == 0]
+        rows.append((i, " ".join([*own, *lines])))
+    rows += [(100 + i, rows[i][1] + " end") for i in range(5)]
+    stored = simhash.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        made[name] = made.get(name, 0) + (out.count() if name == "met" else 0)
+        return out
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    sets = [brute_shingles(t) for _, t in rows]
+    label = components(range(len(rows)), [(i, j) for i, j in combinations(range(len(rows)), 2) if alike(sets[i], sets[j]) >= 0.8])
+    assert {i: c for i, _, c in run(spark, rows, near=corpus_pipeline.NEAR)} == {rows[i][0]: rows[label[i]][0] for i in range(len(rows))}
+    assert made["met"] <= 20
+
+
 def test_odd_bits_tell_no_more_than_the_sets(spark):
     import numpy as np
 
