@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_sensitive, tokens
+from ..session import stored
 from .expand import tasks_for
+from .index import term_index
 from .prefix import running
+from .retrieve import one_field
+from .topk import top_documents
 
 
 def user_readable(user: Column, now: Column) -> Column:
@@ -96,15 +100,27 @@ def valid_sources(facts: DataFrame, documents: DataFrame, chunks: DataFrame) ->
 def org_recall(facts: DataFrame, queries: DataFrame, authority: dict[str, float], k: int = 8) -> DataFrame:
     """Organisation facts by token overlap x authority, above 0; the ``k`` best of each query.
 
-    Facts meet queries on shared tokens, never all with all.
+    Facts of each authority are scored where they are (``topk.top_documents``).  Queries too many for that, or weights so small
+    that six places do not tell one shared token from two, meet facts on shared tokens.
     """
     weights = F.create_map(*[F.lit(x) for pair in authority.items() for x in pair])
-    f = facts.select("fact", "authority", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    words = F.array_distinct(tokens(F.col("text")))
-    q = queries.select("query", F.size(words).alias("n"), F.explode(words).alias("term"))
-    shared = q.join(f, "term").groupBy("query", "fact", "n", "authority").agg(F.count("*").alias("m"))
-    scored = shared.select("query", "fact", F.round(F.col("m") / F.col("n") * F.coalesce(F.element_at(weights, F.col("authority")), F.lit(0.0)), 6).alias("score")).where("score > 0")
+    score = F.round(F.col("m") / F.col("n") * F.coalesce(F.element_at(weights, F.col("authority")), F.lit(0.0)), 6)
     order = Window.partitionBy("query").orderBy(F.desc("score"), "fact")
+    known = {a: w for a, w in authority.items() if w > 0}
+    words = F.array_distinct(tokens(F.col("text")))
+    held = stored(queries.select("query", F.size(words).alias("n"), words.alias("words")), "asked")
+    q = held.select("query", "n", F.explode("words").alias("term"))
+    most, found = held.agg(F.max("n")).first()[0], None
+    if known and min(1.0, *known.values()) > 4e-6 * max(most or 0, 1):
+        index = one_field(term_index(facts.where(F.col("authority").isin(*known)), "fact", keep=("authority",)), ("authority",))
+        found = top_documents(index, q.select("query", "term"), k, {"text": 1.0}, within="authority", presence=True)
+    if found is None:
+        f = facts.select("fact", "authority", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+        shared = q.join(f, "term").groupBy("query", "fact", "n", "authority").agg(F.count("*").alias("m"))
+    else:
+        best = found.select("query", F.col("doc").alias("fact"), "authority", F.col("score").alias("share"))
+        shared = best.join(held.select("query", "n").distinct(), "query").withColumn("m", F.round(F.col("share") * F.col("n")).cast("long"))
+    scored = shared.select("query", "fact", score.alias("score")).where("score > 0")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 

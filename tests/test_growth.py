@@ -194,3 +194,20 @@ def test_keywords_without_a_shuffle_of_postings(spark):
     got, mb = shuffled(spark, lambda: index.index_keywords(terms))
     assert sorted(got) == sorted(want) == sorted(map(tuple, index.index_keywords(terms, most=5).collect()))
     assert len(got) > 2000 and mb < old / 4
+
+
+def test_org_recall_hands_on_no_row_for_each_fact_of_a_common_word(spark):
+    kinds = ("official", "inferred", "rumour", None)
+    facts = [(i, kinds[i % 4], f"the w{i % 50} w{i % 7} The") for i in range(3000)] + [(9000, "official", None), (9001, "official", "")]
+    asked = [(j, f"the w{j} w{j % 7} zz") for j in range(60)] + [(100, ""), (101, None)]
+    weights = {"official": 1.0, "inferred": 0.4, "rumour": 0.0}
+    want = []
+    for j, q in asked:
+        mine = set((q or "").split())
+        found = [(-round(len(mine & set((t or "").lower().split())) / len(mine) * weights.get(a, 0), 6), i) for i, a, t in facts] if mine else []
+        want += [(j, i, -s, r) for r, (s, i) in enumerate(sorted(x for x in found if x[0] < 0)[:8], 1)]
+    f, q = spark.createDataFrame(facts, "fact long, authority string, text string").cache(), spark.createDataFrame(asked, "query long, text string").cache()
+    got, mb = shuffled(spark, lambda: memory.org_recall(f, q, weights))
+    assert sorted(got) == sorted(want) and mb < 0.3
+    tiny = {"official": 1e-7, "inferred": 1.0}
+    assert {r.fact % 4 for r in memory.org_recall(f, q, tiny).collect()} == {1}
