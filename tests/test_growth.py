@@ -211,3 +211,19 @@ def test_org_recall_hands_on_no_row_for_each_fact_of_a_common_word(spark):
     assert sorted(got) == sorted(want) and mb < 0.3
     tiny = {"official": 1e-7, "inferred": 1.0}
     assert {r.fact % 4 for r in memory.org_recall(f, q, tiny).collect()} == {1}
+
+
+def test_backtest_deals_traces_into_tasks_of_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(expand, "DEALT", 50)
+    skills = spark.createDataFrame([("a", ["x", "y"]), ("b", ["y", None]), ("none", ["zzz"]), ("empty", [])], "skill string, patterns array<string>")
+    rows = [(i % 900, "xy"[i % 2] + ("y" if i % 3 == 0 else ""), i % 5 == 0) for i in range(1000)] + [(5000, None, True)]
+    traces = spark.createDataFrame(rows, "trace long, text string, ok boolean")
+    hits = {}
+    for skill, phrases in (("a", "xy"), ("b", "y")):
+        for trace, text, ok in rows:
+            if any(p in (text or "") for p in phrases):
+                hits.setdefault(skill, {})[trace] = hits.get(skill, {}).get(trace, False) or ok
+    want = {s: (len(h), round(sum(h.values()) / len(h), 6)) for s, h in hits.items()} | {"none": (0, 0.0), "empty": (0, 0.0)}
+    found = documents.backtest(skills, traces)
+    assert {r.skill: (r.n, r.success) for r in found.collect()} == want
+    assert "hashpartitioning(trace" in (plan := found._jdf.queryExecution().toString()) and "hashpartitioning(skill#" in plan and ", trace#" not in "".join(x for x in plan.split("\n") if "hashpartitioning(skill" in x)
