@@ -26,7 +26,8 @@ decided by the texts themselves.  This finds most groups at little cost, and los
 With ``whole`` those are found too, and none is lost (``_rest``): two sets over ``least`` share one of their rarest shingles, of
 which each gives its first n - least x n + 1 in one order for all (Chaudhuri, Ganti and Kaushik, "A
 primitive operator for similarity joins", 2006).  How rare a shingle is, all texts say: every other shingle, by its hash,
-that a sample does not show as common is counted, and those of one group come first.  They make no pair, so
+that a sample does not show as common is counted (made anew
+from the texts for it and not stored, as these are most of all), and those of one group come first.  They make no pair, so
 a text a fifth of whose shingles nobody shares meets none, nor does a group of any number of near copies that is known already.
 """
 
@@ -258,8 +259,8 @@ def _length(n, least: float):
     return n - F.ceil(n * least - 1e-6) + 1 if isinstance(n, Column) else n - math.ceil(least * n - 1e-6) + 1
 
 
-def _first(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float) -> tuple[np.ndarray, int]:
-    """A set's shingles to be counted, then as many in the order of the sample as are left to ``_length``; how many are counted."""
+def _first(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """A set's shingles to be counted, and as many others in the order of the sample as are then left to ``_length``."""
     known, count = common
     n = np.zeros(len(shingles), dtype=np.int64)
     if len(known):
@@ -268,7 +269,44 @@ def _first(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: f
     counted = (n == 0) & (shingles % np.uint64(2) == 0)
     rest, n = shingles[~counted], n[~counted]
     more = max(_length(len(shingles), least) - int(counted.sum()), 0)
-    return np.concatenate([shingles[counted], rest[np.lexsort((rest, n))][:more]]), int(counted.sum())
+    return shingles[counted], rest[np.lexsort((rest, n))][:more]
+
+
+def _short(key: bytes) -> int:
+    """32 bits of a text's digest, signed."""
+    return int.from_bytes(key[:4], "little", signed=True)
+
+
+def _counted(docs: DataFrame, common, near: Near, text_col: str) -> DataFrame:
+    """``s``, ``h``: 48 bits of each shingle to be counted, and ``_short`` of a text that has it; once for each text of a task.
+
+    These are most of all shingles, so they are made anew from the texts and shuffled as few bytes, and never stored.
+    Fewer bits let some shingles or texts look alike: that adds candidates and loses none.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, found, of = set(), [], []
+
+        def rows() -> pa.RecordBatch:
+            s = (np.concatenate(found) >> np.uint64(16)).view("<i8")
+            return pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.repeat(np.array(of, dtype=np.int32), [len(x) for x in found]))], names=["s", "h"])
+
+        for batch in batches:
+            for t in batch.column(0).cast(pa.binary()):
+                text = t.as_py() or b""
+                key = _text_key(text)
+                if key in seen:
+                    continue
+                seen.add(key)
+                found.append(_first(_distinct(_hashes(text.lower().split(), near.check_shingle)), common.value, near.least)[0])
+                of.append(_short(key))
+                if len(found) == 1000:
+                    yield rows()
+                    found, of = [], []
+        if found:
+            yield rows()
+
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "s long, h int")
 
 
 def _odd(shingles: np.ndarray) -> np.ndarray:
@@ -290,17 +328,17 @@ def _differ(a: Column, b: Column) -> Column:
     return F.when(F.greatest(F.size(a), F.size(b)) <= 2 * k, n).otherwise(0)
 
 
-def near_signatures(docs: DataFrame, near: Near, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id``, ``key`` (digest of the text), ``fps``, ``check`` (arrays of bits), ``n`` (distinct shingles), ``first``, ``counted`` (see ``_first``), ``odd`` (see ``_odd``) for each row of ``docs``.
+def near_signatures(docs: DataFrame, near: Near, common=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id``, ``key`` (digest of the text), ``h`` (see ``_short``), ``fps``, ``check`` (arrays of bits), ``n`` (distinct shingles), ``counted`` (how many are counted), ``others`` (see ``_first``), ``odd`` (see ``_odd``) for each row of ``docs``.
 
-    Bits and shingles are signed longs; without ``near.whole`` the last three are empty.
+    Bits and shingles are signed longs; without ``common`` (a broadcast of ``_common``) the last three are empty.
     """
-    common = docs.sparkSession.sparkContext.broadcast(_common(docs, near, text_col)) if near.whole else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.as_py() or b"" for t in batch.column(1).cast(pa.binary())]
-            fps, check, n, first, counted, odd = [], [], [], [], [], []
+            keys = [_text_key(t) for t in texts]
+            fps, check, n, counted, others, odd = [], [], [], [], [], []
             for t in texts:
                 words = t.lower().split()
                 fps.append(_majority(_hashes(words, near.shingle), near.seeds))
@@ -308,15 +346,15 @@ def near_signatures(docs: DataFrame, near: Near, id_col: str = "doc_id", text_co
                 check.append(_majority(hashes, near.parts))
                 found = _distinct(hashes)
                 n.append(len(found))
-                some, of = _first(found, common.value, near.least) if common else (found[:0], 0)
-                first.append(some)
-                counted.append(of)
+                mine, rest = _first(found, common.value, near.least) if common else (found[:0], found[:0])
+                counted.append(len(mine))
+                others.append(rest)
                 odd.append(_odd(found) if common else found[:0])
-            columns = [pa.array([_text_key(t) for t in texts], pa.binary()), _longs(fps), _longs(check), pa.array(n, pa.int32()), _longs(first), pa.array(counted, pa.int32()), _longs(odd)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "key", "fps", "check", "n", "first", "counted", "odd"])
+            columns = [pa.array(keys, pa.binary()), pa.array(map(_short, keys), pa.int32()), _longs(fps), _longs(check), pa.array(n, pa.int32()), pa.array(counted, pa.int32()), _longs(others), _longs(odd)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "key", "h", "fps", "check", "n", "counted", "others", "odd"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, key binary, fps array<bigint>, check array<bigint>, n int, first array<bigint>, counted int, odd array<bigint>")
+    return rows.mapInArrow(run, "id long, key binary, h int, fps array<bigint>, check array<bigint>, n int, counted int, others array<bigint>, odd array<bigint>")
 
 
 def _signed(x: int) -> int:
@@ -394,8 +432,8 @@ def _labelled(nodes: DataFrame, edges: DataFrame, name: str = "node") -> DataFra
     return joined.drop("component", "label").withColumnRenamed("now", "label")
 
 
-def _rest(docs: DataFrame, nodes: DataFrame, edges: DataFrame, near: Near, text_col: str) -> DataFrame:
-    """Links (a, b) between ``nodes`` (node, key, n, first, counted, odd) that ``edges`` do not connect: all that their groups need.
+def _rest(docs: DataFrame, nodes: DataFrame, edges: DataFrame, near: Near, common, text_col: str) -> DataFrame:
+    """Links (a, b) between ``nodes`` (node, key, h, n, counted, others, odd) that ``edges`` do not connect: all that their groups need.
 
     Texts that share one of their first shingles are looked at by that shingle.  ``ROUNDS`` times each meets one of
     the shingle's texts, so that large groups grow together; then all of other groups that are left meet each other.
@@ -408,12 +446,15 @@ def _rest(docs: DataFrame, nodes: DataFrame, edges: DataFrame, near: Near, text_
     def apart(rows: DataFrame) -> DataFrame:
         return stored(shared(rows), "live")
 
-    def rarest(rows: DataFrame) -> DataFrame:
+    def rarest(named: DataFrame) -> DataFrame:
         """Of each text's shingles that groups share those among its first, with the place ``at``: after all counted ones that no other group has."""
-        held = stored(shared(rows.withColumn("df", F.count("*").over(Window.partitionBy("s")))), "shared").withColumn("mine", F.col("i") < F.col("counted"))
+        often = _counted(docs, common, near, text_col).withColumn("df", F.count("*").over(Window.partitionBy("s"))).where("df > 1")
+        mine = stored(often, "often").join(named.select("h", "node", "label", "n", "counted"), "h").select("node", "label", "n", "counted", F.lit(None).cast("int").alias("i"), "s", "df")
+        others = named.select("node", "label", "n", "counted", F.posexplode("others").alias("i", "s"), F.lit(0).cast("long").alias("df"))
+        held = stored(shared(mine.unionByName(others)), "shared").withColumn("mine", F.col("i").isNull())
         of = Window.partitionBy("node", "mine")
         place = F.col("counted") - F.count("*").over(of) + F.row_number().over(of.orderBy("df", "s")) - 1
-        placed = held.withColumn("at", F.when(F.col("mine"), place).otherwise(F.col("i")))
+        placed = held.withColumn("at", F.when(F.col("mine"), place).otherwise(F.col("counted") + F.col("i")))
         return placed.where(F.col("at") < _length(F.col("n"), near.least)).select("node", "label", "n", F.col("at").cast("int").alias("at"), "s")
 
     def met(live: DataFrame, one: DataFrame, once: Column | None = None) -> DataFrame:
@@ -435,7 +476,8 @@ def _rest(docs: DataFrame, nodes: DataFrame, edges: DataFrame, near: Near, text_
         texts = stored(_texts_of(docs, stored(needed, "needed"), text_col), "texts")
         return stored(_verified(pairs.select("a", "b"), texts, near).join(pairs, ["a", "b"]), "rest")
 
-    live = apart(rarest(_labelled(nodes, edges).select("node", "label", "n", "counted", F.posexplode("first").alias("i", "s"))))
+    named = _labelled(nodes.select("node", "h", "n", "counted", "others"), edges)
+    live = apart(rarest(stored(named, "named")))
     found = edges.limit(0)
     for salt in range(ROUNDS):
         one = live.groupBy("s").agg(F.min_by(F.struct("node", "label", "n", "at"), F.xxhash64("node", "s", F.lit(salt))).alias("one"))
@@ -450,8 +492,9 @@ def near_groups(docs: DataFrame, near: Near, id_col: str = "doc_id", text_col: s
 
     Nulls, empty texts and repeated rows are treated as by ``simhash_groups``.
     """
-    sig = stored(near_signatures(docs, near, id_col, text_col), "signatures")
-    nodes = sig.groupBy("key").agg(F.min("id").alias("low"), *[F.first(c).alias(c) for c in ("fps", "check", "n", "first", "counted", "odd")])
+    common = docs.sparkSession.sparkContext.broadcast(_common(docs, near, text_col)) if near.whole else None
+    sig = stored(near_signatures(docs, near, common, id_col, text_col), "signatures")
+    nodes = sig.groupBy("key").agg(F.min("id").alias("low"), *[F.first(c).alias(c) for c in ("h", "fps", "check", "n", "counted", "others", "odd")])
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     keys = nodes.select("node", F.xxhash64("key").alias("h"), F.posexplode("fps").alias("seed", "fp")).select("node", "h", "seed", _keys(covering_masks(radius)))
     # Chosen by the text, not by the node's number, which another run may deal otherwise.
@@ -464,7 +507,7 @@ def near_groups(docs: DataFrame, near: Near, id_col: str = "doc_id", text_col: s
     needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "key"), "node"), "needed")
     edges = stored(_verified(pairs, stored(_texts_of(docs, needed, text_col), "texts"), near), "edges")
     if near.whole:
-        edges = edges.unionByName(_rest(docs, nodes, edges, near, text_col))
+        edges = edges.unionByName(_rest(docs, nodes, edges, near, common, text_col))
     names = _named(nodes.select("node", "low", "key"), edges)
     return sig.select("id", "key").join(names.select("key", "component"), "key")
 

@@ -242,6 +242,24 @@ def test_texts_that_share_a_little_are_not_paired(spark, monkeypatch):
     assert made["met"] <= 20
 
 
+def test_shingles_are_not_stored(spark, monkeypatch):
+    """What is stored for exact links follows the texts, not their shingles, nearly all of which one text has alone."""
+    rows = [(i, " ".join(f"own{i}x{j}" for j in range(1000))) for i in range(40)]
+    rows += [(100 + i, rows[i][1] + " end") for i in range(5)] + [(200, rows[7][1])]
+    stored, longs = simhash.stored, []
+
+    def counted(df, name):
+        out = stored(df, name)
+        arrays = [f.name for f in out.schema if f.dataType.typeName() == "array"]
+        longs.append(sum(sum(r) for r in out.select(*[F.size(c) for c in arrays]).collect()) if arrays else out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    want = {i: i - 100 if 100 <= i < 200 else 7 if i == 200 else i for i, _ in rows}
+    assert {i: c for i, _, c in run(spark, rows, near=corpus_pipeline.NEAR)} == want
+    assert sum(longs) < 1000 * len(rows) / 2
+
+
 def test_odd_bits_tell_no_more_than_the_sets(spark):
     import numpy as np
 
