@@ -133,6 +133,19 @@ def test_near_exact_loses_no_pair(spark, monkeypatch, pivots):
     assert cells.within(v.limit(0), 0.5).count() == 0
 
 
+def test_clusters_make_their_pairs_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    pairs = spark.range(400).selectExpr("id div 10 * 10 a", "if(id % 10 = 0, null, id) b").mapInArrow(count, "a long, b long")
+    got = {r.node: r.cluster for r in documents.clusters(pairs.where("b is not null")).collect()}
+    assert got == {i: i // 10 * 10 for i in range(400)} and made.value == 400
+
+
 def test_pieces_of_a_batch_are_bounded():
     words = [[{"field": "text", "words": ["w"] * n}, {"field": "x", "words": None}] for n in (3, 0, 9, 1, 1, 2)]
     batch = pa.record_batch([pa.array(range(7)), pa.array([*words, None])], names=["doc", "fields"])
