@@ -32,6 +32,23 @@ def test_expanded_equals_a_join(spark, block):
     assert expand.expanded(left.limit(0), right, ["k"]).count() == 0
 
 
+def test_questions_are_parsed_in_tasks_of_bounded_rows(spark, monkeypatch):
+    """Values are read once, and rows are dealt by their number however few files hold them."""
+    monkeypatch.setattr(expand, "DEALT", 20)
+    names = ["Ann Lee", "lee ann", "unknown", "A (1801-1850)", "7", None, "é ü"]
+    dates = ["1800", "c. 1801 - 1802", "1802-1801", "0000", "x", "", "约1700年"]
+    rows = [(i, f"Maker: {names[i % 7]}\nDate: {dates[i % 7]}" if names[i % 7] else None) for i in range(140)]
+    works = spark.createDataFrame(rows, "work long, content string").coalesce(1)
+    made = index.label_index(works, {"author": ("Maker",), "date": ("Date",)}, "unknown")
+    found = {(r.kind, r.key): 0 for r in made.collect()}
+    assert found.keys() == {("author", "ann lee"), ("author", "a"), ("author", "é ü"), ("date", "false|1800|"), ("date", "true|1801|1802"), ("date", "true|1700|")}
+    assert "RoundRobinPartitioning(32)" in made._jdf.queryExecution().toString()
+    asked = [(1, "Find works dated ca. 1801-1802"), (2, "find works by  Lee, Ann."), (3, "find works by unknown"), (4, "Find objects dated 1802-1801"), (5, None), (6, "1800"), (None, "Find works dated 1800")]
+    got = relations.metadata_lookup(spark.createDataFrame(asked, "query long, text string"), made, "unknown").collect()
+    want = [(1, "date", "true|1801|1802", i) for i in range(1, 140, 7)] + [(2, "author", "ann lee", i) for i in range(140) if i % 7 < 2] + [(None, "date", "false|1800|", i) for i in range(0, 140, 7)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_references_of_equal_titles(spark):
     c = spark.range(400).select(F.col("id").alias("doc"), F.lit("see <red ring> and see <red ring> see <hot>").alias("text"))
     t = spark.range(400).select(F.col("id").alias("doc"), F.lit("red ring two").alias("title"))
